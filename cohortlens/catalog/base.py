@@ -99,12 +99,15 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r6(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles at six decimals and dates as text, so that engines can be compared."""
+    """Doubles at six decimals and dates as text, so that engines can be compared.
+
+    Halves go up, by arithmetic both engines do alike; their own ``round`` treats them differently.
+    """
     cols: list[Column] = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            c = F.round(c, digits)
+            c = F.floor(c * F.lit(10.0**digits) + F.lit(0.5)) / F.lit(10.0**digits)
         elif isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd")
         cols.append(c.alias(field.name))
@@ -163,9 +166,10 @@ def sql(names: str, body: str, **extra: str) -> str:
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
 
 
-def rd(expr: str) -> str:
-    """Six decimals, with negative zero made zero."""
-    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+def rd(expr: str, digits: int = 6) -> str:
+    """As ``r6`` rounds."""
+    unit = f"1e{digits}::DOUBLE"
+    return f"(floor(CAST({expr} AS DOUBLE) * {unit} + 0.5::DOUBLE) / {unit})"
 
 
 def day(expr: str) -> str:

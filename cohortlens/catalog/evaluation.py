@@ -150,9 +150,9 @@ def _auc_sql(by: str, on: str) -> str:
         lt=life["lt"],
         stay="SELECT g, time, CASE WHEN n > d THEN 1.0 - c / (n - d) ELSE 1.0 END AS stay FROM lt",
         gb="SELECT a.g, a.time, coalesce(product(b.stay) FILTER (b.time < a.time), 1.0) AS before FROM stay a JOIN stay b ON b.g = a.g AND b.time <= a.time GROUP BY a.g, a.time",
-        gh=f"SELECT g, product(stay) FILTER (time <= {HORIZON}) AS at FROM stay GROUP BY g",
+        gh=f"SELECT g, product(stay) FILTER (time <= {HORIZON}) AS g_h FROM stay GROUP BY g",
         ca=f"SELECT id, s.g, score, 1.0 / before AS w FROM (SELECT *, {by} AS g FROM scor) s JOIN gb ON gb.g = s.g AND gb.time = s.time WHERE event = 1 AND s.time <= {HORIZON}",
-        co=f"SELECT id, s.g, score, 1.0 / at AS w FROM (SELECT *, {by} AS g FROM scor) s JOIN gh ON gh.g = s.g WHERE time > {HORIZON}",
+        co=f"SELECT id, s.g, score, 1.0 / g_h AS w FROM (SELECT *, {by} AS g FROM scor) s JOIN gh ON gh.g = s.g WHERE time > {HORIZON}",
     )
 
 

@@ -25,7 +25,7 @@ def _stage(spark, d):
     q = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("vk")).agg(F.avg("l_quantity").alias("q"))
     v = base.visits(spark, d).select("id", "vk", "t", "x").join(q, "vk", "left")
     index = index_event(v, "id", "t", ["x", "q"], "vk").select("id", "index_x", "index_q")
-    changed = from_baseline(v, index, id="id", x="x", baseline="index_x").join(index.select("id", "index_q"), "id")
+    changed = from_baseline(v, index, id="id", x="x", baseline="index_x", keep=["index_q"])
     staged = endpoints.stage(changed, x="x", change="x_change", corroborating="q", baseline_corroborating="index_q", rules=RULES)
     return staged.select("id", "vk", "stage")
 

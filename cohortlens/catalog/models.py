@@ -14,6 +14,7 @@ from cohortlens.operators import models
 from cohortlens.operators.endpoints import horizon_value, person_period
 from cohortlens.operators.splits import class_weights, folds, split_entity
 from cohortlens.plans.flows import landmark_features, train_and_evaluate
+from cohortlens.plans.skew import skew_join
 from cohortlens.session import checkpointed
 
 HORIZON = 1826
@@ -25,7 +26,7 @@ MEANS = {"index_x": 250_000.0, "balance": 4_500.0, "n_visits": 10.0}
 def _features(spark, d):
     """Baseline facts plus the number of visits in the first year, known at the landmark."""
     s = base.survival(spark, d)
-    early = base.visits(spark, d).join(s.select("id", "index_t"), "id").where(F.datediff("t", "index_t") <= 365)
+    early = skew_join(base.visits(spark, d).select("id", "t"), s.select("id", "index_t"), "id").where(F.datediff("t", "index_t") <= 365)
     n = early.groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("n_early"))
     return checkpointed(s.join(n, "id").select("id", "segment", "site", "time", "event", *COLUMNS))
 

@@ -78,7 +78,7 @@ SQL = {
     ),
     "H3_nelson_aalen": sql(
         "surv",
-        "SELECT g AS segment, time, n AS at_risk, d AS n_event, round(na, 9) + 0.0 AS cum_hazard, round(nv, 9) + 0.0 AS variance FROM kmc",
+        f"SELECT g AS segment, time, n AS at_risk, d AS n_event, {rd('na', 9)} AS cum_hazard, {rd('nv', 9)} AS variance FROM kmc",
         **life_table("segment"),
     ),
     "H4_cif": sql(

@@ -12,6 +12,7 @@ from cohortlens.catalog import base
 from cohortlens.catalog.base import day, r6, rd, sql
 from cohortlens.operators import cleaning
 from cohortlens.operators.cohort import attrition, cohort_size, exclude_history, include, incidence, index_event
+from cohortlens.plans.skew import skew_join
 from cohortlens.session import shared_dir
 from cohortlens.sources import harmonize_codes, load, unmapped_codes, write_table
 
@@ -83,7 +84,7 @@ def _availability(spark, d):
 
 
 def _missing(spark, d):
-    v = base.gappy_visits(spark, d).join(base.patients(spark, d).select("id", "site"), "id")
+    v = skew_join(base.gappy_visits(spark, d), base.patients(spark, d).select("id", "site"), "id")
     v = v.withColumn("prio", F.when(F.col("prio") != "5-LOW", F.col("prio")))
     return r6(cleaning.missing_profile(v, ["x", "prio", "t"], "site"))
 
@@ -184,7 +185,7 @@ SQL = {
     "ON p_brand = code",
     "A2_unmapped_codes": f"SELECT p_brand, count(*) AS n_rows FROM part WHERE p_brand NOT IN "
     f"(SELECT code FROM (VALUES {_MAP_VALUES}) m(code, canonical)) GROUP BY p_brand",
-    "A3_write_table": sql("v", "SELECT prio, count(*) AS n, round(sum(x), 2) AS x FROM v WHERE status = 'F' GROUP BY prio"),
+    "A3_write_table": sql("v", f"SELECT prio, count(*) AS n, {rd('sum(x)', 2)} AS x FROM v WHERE status = 'F' GROUP BY prio"),
     "B1_dedup": "SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, "
     "l_extendedprice FROM lineitem ORDER BY l_orderkey, l_linenumber, l_extendedprice DESC, l_partkey, l_suppkey, l_quantity",
     "B2_range_clean": "SELECT l_orderkey, l_linenumber, l_partkey, "

@@ -102,7 +102,7 @@ def _flags(spark, d):
 def _impute(how, by):
     def query(spark, d):
         """Learn on the training entities, fill everyone."""
-        v = base.gappy_visits(spark, d).select("id", "vk", "x").join(base.patients(spark, d).select("id", "site"), "id")
+        v = skew_join(base.gappy_visits(spark, d).select("id", "vk", "x"), base.patients(spark, d).select("id", "site"), "id")
         v = split_entity(v, "id", {"train": 0.6, "test": 0.4}, "imp")
         fit = features.fit_impute(v.where(F.col("split") == "train"), ["x"], by, how)
         return r6(fit.apply(v))
@@ -237,8 +237,9 @@ SQL = {
     ),
     "E1_progression": sql(
         "gv",
-        "SELECT id, count(*) AS n_measures, round(CASE WHEN count(DISTINCT t) > 1 THEN "
-        "regr_slope(x, date_diff('day', DATE '1970-01-01', t) / 365.25::DOUBLE) END, 3) + 0.0 AS slope_per_year "
+        "SELECT id, count(*) AS n_measures, "
+        + rd("CASE WHEN count(DISTINCT t) > 1 THEN regr_slope(x, date_diff('day', DATE '1970-01-01', t) / 365.25::DOUBLE) END", 3)
+        + " AS slope_per_year "
         "FROM gv WHERE x IS NOT NULL GROUP BY id",
     ),
     "E2_visit_rate": sql(

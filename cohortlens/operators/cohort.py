@@ -37,6 +37,7 @@ def include(
     t: str | None = None,
     min_visits: int = 0,
     min_follow_up_days: int = 0,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Rows meeting every criterion, optionally with enough visits and follow-up."""
     out = df
@@ -48,7 +49,7 @@ def include(
         F.count(F.lit(1)).alias("_n"), days_between(F.max(t), F.min(t)).alias("_span")
     )
     enough = enough.where((F.col("_n") >= min_visits) & (F.col("_span") >= min_follow_up_days))
-    return out.join(enough.select(id), id, "left_semi")
+    return skew_join(out, enough.select(id), id, "left_semi", group_rows)
 
 
 def exclude_history(

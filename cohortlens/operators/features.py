@@ -60,10 +60,14 @@ def mismatch(
 
 
 def from_baseline(
-    visits: DataFrame, index: DataFrame, *, id: str, x: str, baseline: str, group_rows: int | None = None
+    visits: DataFrame, index: DataFrame, *, id: str, x: str, baseline: str, keep: Sequence[str] = (),
+    group_rows: int | None = None,
 ) -> DataFrame:
-    """Absolute and relative change of each visit from the entity's baseline (E5)."""
-    out = skew_join(visits, index.select(id, baseline), id, "inner", group_rows)
+    """Absolute and relative change of each visit from the entity's baseline (E5).
+
+    ``keep`` names further index columns to carry along.
+    """
+    out = skew_join(visits, index.select(id, baseline, *keep), id, "inner", group_rows)
     change = F.col(x) - F.col(baseline)
     return out.withColumns(
         {f"{x}_change": change, f"{x}_change_share": F.try_divide(change, F.col(baseline))}

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import AFTSurvivalRegression, GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
@@ -24,7 +24,8 @@ from cohortlens.operators.scoring import weibull_cdf
 
 
 def _assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
+    """Missing values are an error here: impute them first, fitted on the training rows."""
+    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error")
 
 
 @dataclass
@@ -87,8 +88,9 @@ def fit_pwe(
 
     Each period has its own baseline hazard. Its coefficients estimate those of a Cox model.
     """
-    rows = person_period.where(F.col(exposure) > 0).withColumn("_offset", F.log(F.col(exposure).cast("double")))
+    rows = person_period.where(F.col(exposure) > 0)
     stages = [
+        SQLTransformer(statement=f"SELECT *, ln(CAST({exposure} AS DOUBLE)) AS _offset FROM __THIS__"),
         OneHotEncoder(inputCols=[period], outputCols=["_period_vec"], handleInvalid="keep"),
         _assembler([*features, "_period_vec"]),
         GeneralizedLinearRegression(

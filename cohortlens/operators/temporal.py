@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.time import day_number, days_between
 from cohortlens.plans.scan import ordered_scan
-from cohortlens.plans.skew import as_list, hot_keys, skew_join
+from cohortlens.plans.skew import as_list, attach, hot_keys, skew_join
 
 
 def value_at(
@@ -175,7 +175,7 @@ def visit_gaps(
     """
     t = order[0]
     hot = hot_keys(df, id, group_rows)
-    scanned = ordered_scan(df, id, order, prev={"_pt": t}, group_rows=group_rows)
+    scanned = ordered_scan(df, id, order, prev={"_pt": t}, hot=hot, probe=False, group_rows=group_rows)
     out = scanned.withColumns({"gap_days": days_between(t, "_pt"), "_day": day_number(t)}).drop("_pt")
     recent = Window.partitionBy(id).orderBy("_day").rangeBetween(-last_days, 0)
     sofar = Window.partitionBy(id).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -191,7 +191,7 @@ def visit_gaps(
     per_day = per_day.select(
         id, "_day", F.max("_g").over(upto).alias("_gmax"), F.sum("_n").over(recent).alias("n_recent")
     )
-    out = out.join(per_day, [id, "_day"], "left")
+    out = attach(out, per_day, [id, "_day"], small=False)
     largest = F.when(F.col("gap_days").isNotNull(), F.col("_gmax"))
     return out.select(*[F.col(c) for c in df.columns], "gap_days", largest.alias("max_gap_days"), "n_recent")
 

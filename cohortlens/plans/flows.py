@@ -16,6 +16,7 @@ from cohortlens.operators.models import WeibullModel, fit_aft
 from cohortlens.operators.splits import split_entity
 from cohortlens.operators.survival import km
 from cohortlens.operators.temporal import value_at
+from cohortlens.plans.skew import skew_join
 from cohortlens.session import checkpointed
 
 
@@ -56,7 +57,7 @@ def landmark_features(
     """
     at_risk = survival.where(F.col("time") > landmark)
     t = order[0]
-    early = visits.join(at_risk.select(id, index), id)
+    early = skew_join(visits, at_risk.select(id, index), id)
     early = early.where(F.datediff(t, index) <= landmark).select(*visits.columns)
     slope = progression(early, id, t, x).select(id, "slope_per_year", F.col("n_measures").cast("double").alias("n_measures"))
     now = value_at(early, at_risk, id=id, t=t, index=index, x=x, horizons=[landmark], back=landmark, how="last",

@@ -1,9 +1,10 @@
-"""Exact quantiles of large groups.
+"""Exact quantiles of groups of any size.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one task's memory.
-Here each round counts a group's values in equal-width bins, with map-side combine, finds
-the bin holding the wanted rank and keeps only its rows, so the group shrinks by about
-the number of bins per round until its distinct values fit in one window.
+Here each round counts a group's values in equal-width bins, with map-side combine, and
+keeps only the value range of the bin that holds the wanted rank. A round reads the data
+again but moves only the bin counts, and shrinks a group about ``BINS`` times, until its
+remaining distinct values fit in one window.
 """
 
 from __future__ import annotations
@@ -13,79 +14,82 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.plans.sizes import plan_bytes
-from cohortlens.plans.skew import GROUP_ROWS, PROBE_BYTES, lookup_join
-from cohortlens.session import checkpointed
+from cohortlens.plans.sizes import pin, plan_bytes
+from cohortlens.plans.skew import GROUP_ROWS, PROBE_BYTES, attach
 
 BINS = 4096
-MAX_ROUNDS = 12
+MAX_ROUNDS = 10
 
 
 def exact_quantile(
-    df: DataFrame, x: str, q: float, by: Sequence[str] = (), group_rows: int | None = None
+    df: DataFrame, x: str, q: float, by: Sequence[str] = (), group_rows: int | None = None, bins: int = BINS
 ) -> DataFrame:
     """The ``q`` quantile of ``x`` per group, linearly interpolated, in column ``quantile``."""
-    by = list(by)
     rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x"))
-    group = by or ["_all"]
+    group = list(by) or ["_all"]
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
-    counted = rows.groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n"))
     size = plan_bytes(df)
-    small = group_rows is None and size is not None and size < PROBE_BYTES
-    if not small:
-        counted = _narrow(counted, group, q, group_rows or GROUP_ROWS)
-    out = _interpolate(counted, group, q)
-    return out.select(*by, "quantile")
+    if group_rows is None and size is not None and size < PROBE_BYTES:
+        counted = rows.groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n"))
+        counted = counted.withColumns(
+            {"_total": F.sum("_n").over(Window.partitionBy(*group)), "_skipped": F.lit(0).cast("bigint")}
+        )
+    else:
+        ranges, small = _narrow(rows, group, q, group_rows or GROUP_ROWS, bins)
+        inside = attach(rows, ranges, group, small, "inner").where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+        counted = inside.groupBy(*group, "_x", "_total", "_skipped").agg(F.count(F.lit(1)).alias("_n"))
+    return _interpolate(counted, group, q).select(*by, "quantile")
+
+
+def _rank(q: float):
+    """Position of the quantile among ``_total`` ordered values, counted from 0."""
+    return (F.col("_total") - 1) * F.lit(float(q))
 
 
 def _interpolate(counted: DataFrame, group: list[str], q: float) -> DataFrame:
-    """Linear interpolation between the two order statistics around rank q * (n - 1)."""
-    w = Window.partitionBy(*group).orderBy("_x")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*group)
-    if "_skipped" not in counted.columns:
-        counted = counted.withColumn("_skipped", F.lit(0).cast("bigint"))
-        counted = counted.withColumn("_total", F.sum("_n").over(whole))
-    ranked = counted.withColumn("_hi", F.sum("_n").over(upto) + F.col("_skipped"))
-    ranked = ranked.withColumn("_pos", (F.col("_total") - 1) * F.lit(q))
-    lower = F.min(F.when(F.col("_hi") > F.floor("_pos"), F.col("_x")))
-    upper = F.min(F.when(F.col("_hi") > F.ceil("_pos"), F.col("_x")))
-    share = F.first(F.col("_pos") - F.floor("_pos"))
-    picked = ranked.groupBy(*group).agg(lower.alias("_lo"), upper.alias("_up"), share.alias("_f"))
-    value = F.col("_lo") + (F.col("_up") - F.col("_lo")) * F.col("_f")
+    """Between the two values around the wanted rank; ``_skipped`` values lie below those given."""
+    upto = Window.partitionBy(*group).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumns({"_end": F.sum("_n").over(upto) + F.col("_skipped"), "_pos": _rank(q)})
+    picked = ranked.groupBy(*group).agg(
+        F.min(F.when(F.col("_end") > F.floor("_pos"), F.col("_x"))).alias("_a"),
+        F.min(F.when(F.col("_end") > F.ceil("_pos"), F.col("_x"))).alias("_b"),
+        F.max(F.col("_pos") - F.floor("_pos")).alias("_f"),
+    )
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")
     return picked.select(*group, value.alias("quantile"))
 
 
-def _narrow(counted: DataFrame, group: list[str], q: float, group_rows: int) -> DataFrame:
-    """Shrink every group to the bins around its wanted ranks.
+def _narrow(rows: DataFrame, group: list[str], q: float, group_rows: int, bins: int) -> tuple[DataFrame, bool]:
+    """Per group, a value range that holds the wanted ranks, and how many values lie below it.
 
-    ``_skipped`` counts the rows below what is kept and ``_total`` all rows, so ranks stay
-    those of the whole group. A group stops shrinking once it holds few distinct values.
+    Rounds stop when every range holds few rows or a single value. Stopping early would
+    cost time, never exactness: the caller ranks whatever the ranges hold.
     """
-    facts = counted.groupBy(*group).agg(F.sum("_n").alias("_total"))
-    rows = lookup_join(counted, facts, group).withColumn("_skipped", F.lit(0).cast("bigint"))
-    for _ in range(MAX_ROUNDS):
-        rows = checkpointed(rows)
-        spread = rows.groupBy(*group).agg(
-            F.count(F.lit(1)).alias("_distinct"), F.min("_x").alias("_min"), F.max("_x").alias("_max")
-        )
-        if spread.where(F.col("_distinct") > group_rows).isEmpty():
-            return rows
-        width = (F.col("_max") - F.col("_min")) / F.lit(float(BINS))
-        bin_of = F.least(F.lit(BINS - 1), F.floor(F.try_divide(F.col("_x") - F.col("_min"), width)).cast("int"))
-        binned = lookup_join(rows, spread, group).withColumn("_bin", F.coalesce(bin_of, F.lit(0)))
-        bins = binned.groupBy(*group, "_bin").agg(
-            F.sum("_n").alias("_n"), F.first("_total").alias("_total"), F.first("_skipped").alias("_s")
+    ranges, small = pin(
+        rows.groupBy(*group).agg(
+            F.count(F.lit(1)).alias("_total"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
+            F.lit(0).cast("bigint").alias("_skipped"), F.count(F.lit(1)).alias("_inside"),
         )
-        w = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-        pos = (F.col("_total") - 1) * F.lit(q)
-        bins = bins.withColumn("_end", F.sum("_n").over(w) + F.col("_s")).withColumn("_begin", F.col("_end") - F.col("_n"))
-        # Keep the bins that hold rank floor(pos) or rank ceil(pos).
-        wanted = bins.where((F.col("_begin") <= F.ceil(pos)) & (F.col("_end") > F.floor(pos)))
-        edge = wanted.groupBy(*group).agg(
-            F.min("_bin").alias("_b0"), F.max("_bin").alias("_b1"), F.min("_begin").alias("_skip")
+    )
+    for _ in range(MAX_ROUNDS):
+        wide = (F.col("_inside") > group_rows) & (F.col("_lo") < F.col("_hi"))
+        if ranges.where(wide).isEmpty():
+            break
+        inside = attach(rows, ranges.where(wide), group, small, "inner")
+        inside = inside.where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+        share = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        binned = inside.groupBy(
+            *group, "_total", "_skipped", F.least(F.lit(bins - 1), F.floor(share * bins).cast("int")).alias("_bin")
+        ).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        upto = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        ended = binned.withColumn("_end", F.sum("_n").over(upto) + F.col("_skipped"))
+        begin = F.col("_end") - F.col("_n")
+        # The bins holding the ranks just below and just above the quantile's position.
+        wanted = ended.where((begin <= F.ceil(_rank(q))) & (F.col("_end") > F.floor(_rank(q))))
+        narrowed = wanted.groupBy(*group).agg(
+            F.max("_total").alias("_total"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"),
+            F.min(begin).alias("_skipped"), F.sum("_n").alias("_inside"),
         )
-        kept = lookup_join(binned, edge, group).where((F.col("_bin") == F.col("_b0")) | (F.col("_bin") == F.col("_b1")))
-        rows = kept.select(*group, "_x", "_n", "_total", F.col("_skip").alias("_skipped"))
-    return checkpointed(rows)
+        ranges, small = pin(narrowed.unionByName(ranges.where(~wide)))
+    return ranges, small

@@ -38,17 +38,16 @@ def slot_of(df: DataFrame, order: str) -> Column:
     raise TypeError(f"cannot segment along {order}: {dtype.simpleString()}")
 
 
-def segment(df: DataFrame, keys: Sequence[str], order: str, group_rows: int | None) -> tuple[DataFrame, list[str]] | None:
+def segment(
+    df: DataFrame, keys: Sequence[str], order: str, hot: tuple[DataFrame, bool], group_rows: int | None
+) -> tuple[DataFrame, list[str]]:
     """Number each hot key's rows into consecutive segments along ``order``.
 
     Counts per (hot key, slot) are summed along the slots and cut every ``group_rows``
-    rows. Returns the frame with a segment column, or None when no key is hot.
+    rows. Returns the frame with a segment column, and the columns to partition by.
     """
-    found = hot_keys(df, keys, group_rows)
-    if found is None:
-        return None
     limit = group_rows or GROUP_ROWS
-    hot, small = found
+    hot, small = hot
     slotted = df.withColumn(SLOT, F.coalesce(slot_of(df, order), F.lit(-(2**62))))
     counts = attach(slotted.select(*keys, SLOT), hot.select(*keys), keys, small, "left_semi")
     counts = counts.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_n"))
@@ -69,6 +68,8 @@ def ordered_scan(
     prev: Mapping[str, str] | None = None,
     carry: Mapping[str, str] | None = None,
     running: Mapping[str, str] | None = None,
+    hot: tuple[DataFrame, bool] | None = None,
+    probe: bool = True,
     group_rows: int | None = None,
 ) -> DataFrame:
     """Add columns computed along ``order`` within ``keys``.
@@ -78,11 +79,14 @@ def ordered_scan(
     running  {new: column}: the sum up to and including this row
 
     ``order`` must be a total order within the key; its first column is the time along
-    which hot keys are cut.
+    which hot keys are cut. A caller that has already looked for hot keys passes them as
+    ``hot`` with ``probe=False``.
     """
     keys, order = as_list(keys), as_list(order)
     prev, carry, running = dict(prev or {}), dict(carry or {}), dict(running or {})
-    split = segment(df, keys, order[0], group_rows)
+    if probe:
+        hot = hot_keys(df, keys, group_rows)
+    split = None if hot is None else segment(df, keys, order[0], hot, group_rows)
     frame, parts = (df, keys) if split is None else split
     if prev:
         frame = frame.withColumn("_row", F.struct(*[F.col(c).alias(n) for n, c in prev.items()]))
@@ -124,7 +128,7 @@ def _carry_over(frame, scanned, keys, order, prev, carry, running):
         handed.append(F.last(f"_tc_{name}", ignorenulls=True).over(earlier).alias(f"_hc_{name}"))
     for name in running:
         handed.append(F.sum(f"_tr_{name}").over(earlier).alias(f"_hr_{name}"))
-    out = scanned.join(seg.select(*handed), [*keys, SEG], "left")
+    out = attach(scanned, seg.select(*handed), [*keys, SEG], small=False)
     if prev:
         out = out.withColumn("_prev", F.coalesce("_prev", "_h_row"))
     for name in carry:

@@ -10,11 +10,13 @@ plain one-shuffle plan, and no row is ever dropped.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.plans.sizes import pin, plan_bytes
+from cohortlens.plans.sizes import BROADCAST_BYTES, pin, plan_bytes, small_broadcast
 
 # Rows of one key that one task may hold.
 GROUP_ROWS = 2_000_000
@@ -46,13 +48,19 @@ def hot_keys(df: DataFrame, keys: str | Sequence[str], group_rows: int | None =
         group_rows = GROUP_ROWS
     keys = as_list(keys)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(KEY_ROWS)).where(F.col(KEY_ROWS) > group_rows)
-    table, small = pin(counts.dropna(subset=keys))
+    table, small = pin(counts)
     return None if table.isEmpty() else (table, small)
 
 
 def attach(df: DataFrame, table: DataFrame, on: Sequence[str], small: bool, how: str = "left") -> DataFrame:
-    """Join a table of per-key facts, broadcasting it only when it was found small."""
-    return df.join(F.broadcast(table) if small else table, list(on), how)
+    """Join a table of per-key facts, broadcasting it only when it was found small.
+
+    A missing key matches a missing key here: rows without an id can be a hot group too.
+    """
+    renamed = table.withColumnsRenamed({c: f"_on{i}" for i, c in enumerate(on)})
+    same = [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(on)]
+    out = df.join(F.broadcast(renamed) if small else renamed, reduce(and_, same), how)
+    return out if how == "left_semi" else out.drop(*[f"_on{i}" for i in range(len(on))])
 
 
 def skew_join(
@@ -72,9 +80,9 @@ def skew_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not split a {how} join")
     size = plan_bytes(one)
-    found = None if size is not None and size <= PROBE_BYTES // 8 else hot_keys(many, on, group_rows)
-    if group_rows is not None and found is None:
-        found = hot_keys(many, on, group_rows)
+    if group_rows is None and size is not None and size <= BROADCAST_BYTES:
+        return many.join(F.broadcast(one), on, how)
+    found = hot_keys(many, on, group_rows)
     if found is None:
         return many.join(one, on, how)
     table, small = found
@@ -105,8 +113,6 @@ def lookup_join(
     The table's size is checked first: proven small, it is broadcast; otherwise the
     join shuffles both sides and splits hot keys.
     """
-    from cohortlens.plans.sizes import small_broadcast
-
     hinted = small_broadcast(table)
     if hinted is not None:
         return df.join(hinted, as_list(on), how)

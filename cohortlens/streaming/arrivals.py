@@ -106,8 +106,12 @@ def stream_overdue(
 
 
 def read_file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A Parquet file stream with an explicit schema."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A Parquet file stream with an explicit schema, from a folder or a single file.
+
+    A plain path must be a folder; written as a pattern, it may be a file as well.
+    """
+    pattern = path if any(ch in path for ch in "*?[{") else f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
 def write_once(stream: DataFrame, path: str, checkpoint: str) -> None:
