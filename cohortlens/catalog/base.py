@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from cohortlens.operators.cohort import index_event
 from cohortlens.operators.endpoints import competing, first_event, survival_table
 from cohortlens.operators.features import from_baseline
+from cohortlens.plans.flows import time_to_crossing
 from cohortlens.plans.skew import skew_join
 from cohortlens.sources import load
 
@@ -60,10 +61,17 @@ def crossings(spark: SparkSession, d: str) -> DataFrame:
 
 def survival(spark: SparkSession, d: str) -> DataFrame:
     """(id, segment, site, balance, index_t, index_x, n_visits, time, event)."""
+    return time_to_crossing(
+        visits(spark, d), patients(spark, d), id="id", order=["t", "vk"], x="x", rise=RISE, level=LEVEL,
+        keep=["segment", "site", "balance"],
+    )
+
+
+def survival_by_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the separate operators: index, change, first event, censoring."""
     events = first_event(crossings(spark, d), "id", ["t", "vk"], "flag")
-    keep = ["segment", "site", "balance", "index_t", "index_x", "n_visits"]
     return survival_table(
-        cohort(spark, d), events, visits(spark, d), id="id", index="index_t", event_t="event_t", last_t="t", keep=keep
+        cohort(spark, d), events, visits(spark, d), id="id", index="index_t", event_t="event_t", last_t="t",
     )
 
 

@@ -10,6 +10,7 @@ from cohortlens.catalog.survival import life_table
 from cohortlens.operators import evaluation as ev
 from cohortlens.operators.endpoints import horizon_value
 from cohortlens.operators.scoring import risk_tier
+from cohortlens.session import materialized
 
 HORIZON = 1826
 CUTS = (0.2, 0.4, 0.6, 0.8)
@@ -23,20 +24,25 @@ def _pairs(df, by):
     return r6(df.withColumns(counts).select(*by, *counts, "c_index"))
 
 
+def _predictions(spark, d):
+    """The scored table as a written one, since these metrics read it several times."""
+    return materialized(base.scored(spark, d))
+
+
 def _cindex(spark, d):
-    return _pairs(ev.cindex(base.scored(spark, d)), [])
+    return _pairs(ev.cindex(_predictions(spark, d)), [])
 
 
 def _cindex_by(spark, d):
-    return _pairs(ev.by_subgroup(lambda df, by: ev.cindex(df, by=by), base.scored(spark, d), ["segment", "site"]), ["subgroup", "level"])
+    return _pairs(ev.by_subgroup(lambda df, by: ev.cindex(df, by=by), _predictions(spark, d), ["segment", "site"]), ["subgroup", "level"])
 
 
 def _auc(by):
-    return lambda s, d: r6(ev.td_auc(base.scored(s, d), HORIZON, by=by))
+    return lambda s, d: r6(ev.td_auc(_predictions(s, d), HORIZON, by=by))
 
 
 def _calibration(spark, d):
-    return r6(ev.calibration(base.scored(spark, d), "score", HORIZON, bins=5))
+    return r6(ev.calibration(_predictions(spark, d), "score", HORIZON, bins=5))
 
 
 def _labelled(spark, d):
@@ -56,12 +62,13 @@ def _gap(spark, d):
     return r6(ev.fairness_gap(m, "subgroup", ["sensitivity", "specificity"]))
 
 
-def _metrics(spark, d, score):
-    return ev.decision_table(_labelled(spark, d), score, "label", CUTS, by="site").select("site", "cut", "sensitivity", "specificity")
+def _metrics(labelled, score):
+    return ev.decision_table(labelled, score, "label", CUTS, by="site").select("site", "cut", "sensitivity", "specificity")
 
 
 def _compare(spark, d):
-    return r6(ev.compare(_metrics(spark, d, "score"), _metrics(spark, d, "other"), ["site", "cut"], ["sensitivity", "specificity"]))
+    rows = materialized(_labelled(spark, d))
+    return r6(ev.compare(_metrics(rows, "score"), _metrics(rows, "other"), ["site", "cut"], ["sensitivity", "specificity"]))
 
 
 def _bootstrap(spark, d):

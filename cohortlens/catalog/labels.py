@@ -47,7 +47,7 @@ def _truth(spark, d):
 
 
 def _survival(spark, d):
-    return base.survival(spark, d).select("id", "time", "event")
+    return base.survival_by_steps(spark, d)
 
 
 def _competing(spark, d):

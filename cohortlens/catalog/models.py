@@ -15,7 +15,7 @@ from cohortlens.operators.endpoints import horizon_value, person_period
 from cohortlens.operators.splits import class_weights, folds, split_entity
 from cohortlens.plans.flows import landmark_features, train_and_evaluate
 from cohortlens.plans.skew import skew_join
-from cohortlens.session import checkpointed
+from cohortlens.session import materialized
 
 HORIZON = 1826
 COLUMNS = ["index_x", "balance", "n_early"]
@@ -28,13 +28,13 @@ def _features(spark, d):
     s = base.survival(spark, d)
     early = skew_join(base.visits(spark, d).select("id", "t"), s.select("id", "index_t"), "id").where(F.datediff("t", "index_t") <= 365)
     n = early.groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("n_early"))
-    return checkpointed(s.join(n, "id").select("id", "segment", "site", "time", "event", *COLUMNS))
+    return materialized(s.join(n, "id").select("id", "segment", "site", "time", "event", *COLUMNS))
 
 
 def _labelled(spark, d):
     f = _features(spark, d)
     f = f.withColumn("label", horizon_value(F.col("time"), F.col("event"), HORIZON).cast("double"))
-    return checkpointed(class_weights(f.where(F.col("label").isNotNull()), "label"))
+    return materialized(class_weights(f.where(F.col("label").isNotNull()), "label"))
 
 
 def _aft(spark, d):
@@ -43,7 +43,7 @@ def _aft(spark, d):
 
 
 def _periods(spark, d):
-    return checkpointed(person_period(_features(spark, d), "time", "event", 365, HORIZON))
+    return materialized(person_period(_features(spark, d), "time", "event", 365, HORIZON))
 
 
 def _hazard(spark, d):
@@ -75,7 +75,7 @@ def _ensemble(spark, d):
 
 
 def _tune(spark, d):
-    rows = checkpointed(folds(_labelled(spark, d), "id", 3))
+    rows = materialized(folds(_labelled(spark, d), "id", 3))
     rows = VectorAssembler(inputCols=COLUMNS, outputCol="features").transform(rows)
     lr = LogisticRegression(weightCol="weight", maxIter=20)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.1]).addGrid(lr.elasticNetParam, [0.0, 0.5]).build()

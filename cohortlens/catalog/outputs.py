@@ -21,6 +21,7 @@ CRITERIA = dict(zip(("view", "click", "signup", "purchase", "error"), scorecard.
 COEF = {"value": 0.01, "balance": -0.0001}
 INTERCEPT = -0.5
 DELAY = "2 hours"
+DUE_DAYS = 2
 
 
 def _risk(spark, d):
@@ -139,6 +140,18 @@ def _batch_score(spark, d):
     return r6(_score(load(spark, d, "events"), spark, d))
 
 
+def _stream_overdue(spark, d):
+    """Users without an event in the two days after one."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, arrivals.ROCKSDB)
+    try:
+        alerts = arrivals.stream_overdue(_stream(spark, d), "user_id", "ts", DUE_DAYS, DELAY)
+        return _landed(spark, alerts, "id BIGINT, last_ms BIGINT, due_ms BIGINT")
+    finally:
+        spark.conf.set(name, before)
+
+
 QUERIES = {
     "J1_risk_table": _risk,
     "J2_risk_tier": _tier,
@@ -156,6 +169,7 @@ QUERIES = {
     "N1_stream_dedup": _stream_dedup,
     "N2_stream_score": _stream_score,
     "N2_batch_score": _batch_score,
+    "N3_stream_overdue": _stream_overdue,
 }
 
 _TIER = f"CASE WHEN score < {TIERS[0]} THEN 'Low' WHEN score < {TIERS[1]} THEN 'Moderate' ELSE 'High' END"
@@ -239,4 +253,9 @@ SQL = {
     "N1_stream_dedup": "SELECT DISTINCT event_id, user_id, event_type, value FROM events",
     "N2_stream_score": sql("pat", _SCORE),
     "N2_batch_score": sql("pat", _SCORE),
+    # Due times up to the last watermark: the latest event less the lateness bound.
+    "N3_stream_overdue": f"WITH s AS (SELECT DISTINCT user_id AS id, (epoch_ms(ts) // 3600000 + 1) * 3600000 AS t FROM events) "
+    f"SELECT id, t AS last_ms, t + {DUE_DAYS * 86400000} AS due_ms FROM s WHERE t + {DUE_DAYS * 86400000} < "
+    "(SELECT epoch_ms(max(ts)) - 7200000 FROM events) AND NOT EXISTS (SELECT 1 FROM s n WHERE n.id = s.id AND n.t > s.t "
+    f"AND n.t <= s.t + {DUE_DAYS * 86400000})",
 }

@@ -80,6 +80,14 @@ def resolve_truth(
     return stacked.groupBy(id).agg(best.alias("_b")).select(id, "_b.*")
 
 
+def censored(index: Column, event_t: Column, last_t: Column) -> tuple[Column, Column]:
+    """``time`` in days from index to the event or, failing that, the last contact, and ``event``."""
+    end = F.coalesce(last_t, event_t, index)
+    occurred = event_t.isNotNull() & (event_t.cast("date") <= end.cast("date"))
+    time = F.greatest(days_between(F.when(occurred, event_t).otherwise(end), index), F.lit(0))
+    return time.alias("time"), occurred.cast("int").alias("event")
+
+
 def survival_table(
     cohort: DataFrame,
     events: DataFrame,
@@ -99,10 +107,7 @@ def survival_table(
     first = events.groupBy(id).agg(F.min(event_t).alias("_e"))
     last = last_seen.groupBy(id).agg(F.max(last_t).alias("_l"))
     both = cohort.join(first, id, "left").join(last, id, "left")
-    end = F.coalesce(F.col("_l"), F.col("_e"), F.col(index))
-    occurred = F.col("_e").isNotNull() & (F.col("_e").cast("date") <= end.cast("date"))
-    time = F.greatest(days_between(F.when(occurred, F.col("_e")).otherwise(end), index), F.lit(0))
-    return both.select(id, *keep, time.alias("time"), occurred.cast("int").alias("event"))
+    return both.select(id, *keep, *censored(F.col(index), F.col("_e"), F.col("_l")))
 
 
 def competing(

@@ -1,7 +1,7 @@
 """Risk models on ``spark.ml``: thin set-up around distributed estimators.
 
-Training reads its input many times. Pass a written or checkpointed feature table, not a
-long plan; ``session.checkpointed`` makes one.
+Training reads its input many times. Pass a written feature table, not a
+long plan; ``session.materialized`` makes one.
 """
 
 from __future__ import annotations

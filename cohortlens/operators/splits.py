@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import SPAN, bucket, hash32
@@ -74,6 +74,7 @@ def leakage(
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Weight each row by n / (classes * n_class), so every class weighs the same."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k")).first()
-    weight = F.lit(float(totals["_t"] or 0)) / (F.lit(float(totals["_k"] or 1)) * F.col("_n"))
+    # One row per class, so the window over all of them is as small as the label's vocabulary.
+    every = Window.partitionBy(F.lit(0))
+    weight = F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n").cast("double"))
     return lookup_join(df, counts.select(label, weight.alias(out)), label)

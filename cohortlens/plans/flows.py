@@ -4,44 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.cleaning import dedup
 from cohortlens.operators.cohort import index_event
-from cohortlens.operators.endpoints import first_event, survival_table
+from cohortlens.operators.endpoints import censored, first_event
 from cohortlens.operators.evaluation import calibration, cindex, td_auc
 from cohortlens.operators.features import fit_impute, from_baseline, missing_flags, progression
 from cohortlens.operators.models import WeibullModel, fit_aft
 from cohortlens.operators.splits import split_entity
 from cohortlens.operators.survival import km
 from cohortlens.operators.temporal import value_at
-from cohortlens.plans.skew import skew_join
-from cohortlens.session import checkpointed
+from cohortlens.plans.skew import hot_keys, skew_join
+from cohortlens.session import materialized
 
 
 def time_to_crossing(
     visits: DataFrame, entities: DataFrame, *, id: str, order: Sequence[str], x: str, rise: float, level: float,
-    keep: Sequence[str] = (),
+    keep: Sequence[str] = (), group_rows: int | None = None,
 ) -> DataFrame:
     """Records to a survival table: when did the measure first rise by ``rise`` to ``level``?
 
     De-duplicates visits on ``(id, *order)``, takes the first as the index, and censors at
-    the last visit.
+    the last visit. Ordinarily the visits are read once and shuffled once. If some entity
+    is too big for one task, the same steps run as aggregates and split joins instead.
     """
-    t, ties = order[0], list(order[1:])
-    clean = dedup(visits.select(id, *order, x), [id, *order], [F.desc(x)])
-    index = index_event(clean, id, t, [x], ties)
-    changed = from_baseline(clean, index, id=id, x=x, baseline=f"index_{x}")
-    crossed = ((F.col(f"{x}_change") >= rise) & (F.col(x) >= level)).cast("int")
-    events = first_event(changed.withColumn("_crossed", crossed), id, order, "_crossed")
-    cohort = index.join(entities.select(id, *keep), id)
-    return survival_table(
-        cohort, events, clean, id=id, index=f"index_{t}", event_t="event_t", last_t=t,
-        keep=[*keep, f"index_{t}", f"index_{x}", "n_visits"],
+    t = order[0]
+    visits = visits.where(F.col(t).isNotNull() & F.col(id).isNotNull()).select(id, *order, x)
+    plan = _crossing_one_shuffle if hot_keys(visits, id, group_rows) is None else _crossing_split
+    per = plan(visits, id, list(order), x, rise, level, group_rows)
+    index = [f"index_{t}", f"index_{x}", "n_visits"]
+    joined = per.join(entities.select(id, *keep), id)
+    return joined.select(id, *keep, *index, *censored(F.col(f"index_{t}"), F.col("_event"), F.col("_last")))
+
+
+def _crossed(x: str, rise: float, level: float):
+    return (F.col(x) - F.col(f"index_{x}") >= rise) & (F.col(x) >= level)
+
+
+def _crossing_one_shuffle(visits, id, order, x, rise, level, group_rows):
+    """All of an entity's visits meet in one task, where every step is a pass over them."""
+    t = order[0]
+    clean = dedup(visits.repartition(id), [id, *order], [F.desc(x)])
+    first = Window.partitionBy(id).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    based = clean.withColumns({f"index_{c}": F.first(c).over(first) for c in (t, x)})
+    return based.groupBy(id).agg(
+        F.min(f"index_{t}").alias(f"index_{t}"),
+        F.min(f"index_{x}").alias(f"index_{x}"),
+        F.count(F.lit(1)).alias("n_visits"),
+        F.min(F.when(_crossed(x, rise, level), F.col(t))).alias("_event"),
+        F.max(t).alias("_last"),
     )
 
 
+def _crossing_split(visits, id, order, x, rise, level, group_rows):
+    """Nothing but per-task partial aggregates and a salted join touches a big entity's visits."""
+    t, ties = order[0], order[1:]
+    clean = dedup(visits, [id, *order], [F.desc(x)])
+    index = index_event(clean, id, t, [x], ties)
+    changed = from_baseline(clean, index, id=id, x=x, baseline=f"index_{x}", group_rows=group_rows)
+    events = first_event(changed.withColumn("_flag", _crossed(x, rise, level).cast("int")), id, order, "_flag", out="_event")
+    last = clean.groupBy(id).agg(F.max(t).alias("_last"))
+    return index.join(events, id, "left").join(last, id)
+
+
 def crossing_curves(visits: DataFrame, entities: DataFrame, by: str, **how) -> DataFrame:
     """Kaplan-Meier curve of time to threshold crossing per subgroup."""
     return km(time_to_crossing(visits, entities, keep=[by], **how), by=by)
@@ -72,13 +99,13 @@ def train_and_evaluate(
 ) -> tuple[WeibullModel, DataFrame, dict[str, DataFrame]]:
     """Split by entity, impute from the training part, fit, score the test part, evaluate.
 
-    The split table is checkpointed once, since fitting reads it many times.
+    The split table is written once, since fitting reads it many times.
     """
-    parts = checkpointed(split_entity(features, id, weights or {"train": 0.7, "test": 0.3}, "flow"))
+    parts = materialized(split_entity(features, id, weights or {"train": 0.7, "test": 0.3}, "flow"))
     train = parts.where(F.col("split") == "train")
     fill = fit_impute(train, columns)
     model = fit_aft(fill.apply(train), columns)
-    scored = checkpointed(model.risk(fill.apply(parts.where(F.col("split") == "test")), horizon))
+    scored = materialized(model.risk(fill.apply(parts.where(F.col("split") == "test")), horizon))
     metrics = {
         "concordance": cindex(scored),
         "auc": td_auc(scored, horizon),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.session import checkpointed
+from cohortlens.session import materialized
 
 # A table Catalyst itself expects to be this small is broadcast without counting it.
 BROADCAST_BYTES = 10 * 1024 * 1024
@@ -24,33 +24,24 @@ def plan_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def is_local(df: DataFrame) -> bool:
-    """Whether the plan is literally rows held by the driver."""
-    try:
-        return df._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation"
-    except Exception:
-        return False
-
-
 def bounded_rows(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame | None:
     """``df`` as driver-held rows if it has at most ``max_rows``, else None.
 
     The limit stops the job early, so an oversized table costs no more than the check.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def pin(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> tuple[DataFrame, bool]:
-    """Compute ``df`` once: driver-held if small, otherwise a reliable checkpoint.
+    """Compute ``df`` once: driver-held if small, otherwise a table in the shared folder.
 
     Returns the table and whether it is small enough to broadcast.
     """
-    saved = checkpointed(df)
-    local = bounded_rows(saved, max_rows)
-    return (saved, False) if local is None else (local, True)
+    local = bounded_rows(df, max_rows)
+    return (materialized(df), False) if local is None else (local, True)
 
 
 def small_broadcast(df: DataFrame) -> DataFrame | None:

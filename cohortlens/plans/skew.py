@@ -2,9 +2,10 @@
 
 A join or an ordered window puts all rows of a key in one task. When a single key
 may hold a large share of the data that task never finishes. ``hot_keys`` finds such
-keys with one map-side-combined count; joins then salt only those keys, and ordered
-windows split only those keys along time (``plans.scan``). Ordinary keys keep the
-plain one-shuffle plan, and no row is ever dropped.
+keys with one map-side-combined count. Joins leave the splitting to adaptive execution
+where the session allows it and otherwise salt those keys; ordered windows, which Spark
+cannot split, cut those keys along time (``plans.scan``). Ordinary keys keep the plain
+one-shuffle plan, and no row is ever dropped.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.plans.sizes import BROADCAST_BYTES, pin, plan_bytes, small_broadcast
+from cohortlens.session import splits_skewed_joins
 
 # Rows of one key that one task may hold.
 GROUP_ROWS = 2_000_000
@@ -72,7 +74,9 @@ def skew_join(
 ) -> DataFrame:
     """Join ``many`` rows per key with ``one`` row per key, splitting hot keys.
 
-    Rows of a hot key are spread over ``ceil(rows / group_rows)`` salts by a hash of
+    A side of proven size is broadcast. Otherwise the join is left to adaptive execution if
+    the session lets it split skewed joins; if not, or if ``group_rows`` is given, hot keys
+    are looked for and salted here. Rows of a hot key are spread over ``ceil(rows / group_rows)`` salts by a hash of
     their own values, and only that key's row of ``one`` is repeated per salt. The salt
     is a pure function of the row, so a recomputed task yields the same rows.
     """
@@ -82,6 +86,8 @@ def skew_join(
     size = plan_bytes(one)
     if group_rows is None and size is not None and size <= BROADCAST_BYTES:
         return many.join(F.broadcast(one), on, how)
+    if group_rows is None and splits_skewed_joins(many.sparkSession):
+        return many.join(one, on, how)
     found = hot_keys(many, on, group_rows)
     if found is None:
         return many.join(one, on, how)

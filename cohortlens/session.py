@@ -9,8 +9,9 @@ used throughout this package.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -61,10 +62,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def checkpointed(df):
-    """``df.checkpoint()`` into the shared folder."""
+def materialized(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint, so lost executors cost nothing already
+    computed, but computes ``df`` once rather than twice and keeps it columnar, so later
+    reads prune columns and know its true size.
+    """
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_dir(spark)}/cohortlens-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def splits_skewed_joins(spark: SparkSession) -> bool:
+    """Whether adaptive execution splits skewed joins, whatever comes after them."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled", "spark.sql.adaptive.forceOptimizeSkewedJoin")
+    return all(spark.conf.get(n, "false").lower() == "true" for n in names)

@@ -49,30 +49,39 @@ def stream_score(
     return both.withColumn(out, F.when(F.col("_known") == 1, linear_score(coef, intercept))).drop("_known")
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 class OverdueProcessor(StatefulProcessor):
-    """Per entity: remember the latest visit and a timer at its due time."""
+    """Per entity: visits whose due time has not passed yet, each with a timer at its due time.
+
+    When a visit's timer fires, the entity is overdue unless another visit lies between. All
+    such visits are still held then, their own timers being later, so the answer does not
+    depend on how arrivals were cut into batches.
+    """
 
     def __init__(self, due_ms: int):
         self.due_ms = due_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        ms = T.StructType([T.StructField("ms", T.LongType())])
         self.handle = handle
-        self.last = handle.getValueState("last_ms", T.StructType([T.StructField("ms", T.LongType())]))
+        self.visits = handle.getMapState("visits", ms, ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        newest = max(int(pdf["t_ms"].max()) for pdf in rows)
-        known = self.last.get()[0] if self.last.exists() else None
-        if known is None or newest > known:
-            if known is not None:
-                self.handle.deleteTimer(known + self.due_ms)
-            self.last.update((newest,))
-            self.handle.registerTimer(newest + self.due_ms)
+        for pdf in rows:
+            for t in pdf["t_ms"].unique().tolist():
+                self.visits.updateValue((t,), (t,))
+                self.handle.registerTimer(t + self.due_ms)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
-        self.last.clear()
-        yield pd.DataFrame({"id": [key[0]], "last_ms": [due - self.due_ms], "due_ms": [due]})
+        visit = due - self.due_ms
+        came = any(visit < later[0] <= due for later in self.visits.keys())
+        self.visits.removeKey((visit,))
+        if not came:
+            yield pd.DataFrame({"id": [key[0]], "last_ms": [visit], "due_ms": [due]})
 
     def close(self) -> None:
         pass
@@ -81,20 +90,20 @@ class OverdueProcessor(StatefulProcessor):
 def stream_overdue(
     stream: DataFrame, id: str, t: str, due_days: int, delay: str, slot_seconds: int = 3600
 ) -> DataFrame:
-    """One alert when an entity has no visit for ``due_days``.
+    """One alert per visit that is not followed by another within ``due_days``.
 
     Alerts fire as the watermark passes the due time, so a stream that stops sending
     altogether raises none until something arrives. Arrivals are first reduced to one per
-    entity and time slot, in state keyed by both, so that one busy entity's rows are spread
-    over slots before they meet in its timer; the slot's end stands for its visits, which
-    moves a due time later by less than a slot.
+    entity and time slot, in state keyed by both: a busy entity's rows are spread over its
+    slots, and its own state holds at most one entry per slot of the due interval. The
+    slot's end stands for its visits, which moves a due time by less than a slot.
+
+    Needs the RocksDB state store (``ROCKSDB`` in ``spark.sql.streaming.stateStore.providerClass``).
     """
-    slot_end = (F.floor(F.unix_seconds(t) / F.lit(float(slot_seconds))) + 1) * F.lit(slot_seconds)
     slots = (
         stream.withWatermark(t, delay)
-        .select(F.col(id).alias("id"), F.col(t), slot_end.cast("bigint").alias("_slot"))
-        .dropDuplicatesWithinWatermark(["id", "_slot"])
-        .select("id", F.col(t), (F.col("_slot") * 1000).alias("t_ms"))
+        .select(F.col(id).alias("id"), F.col(t), slot_end_ms(t, slot_seconds).alias("t_ms"))
+        .dropDuplicatesWithinWatermark(["id", "t_ms"])
     )
     id_type = stream.schema[id].dataType.simpleString()
     return slots.groupBy("id").transformWithStateInPandas(
@@ -105,6 +114,11 @@ def stream_overdue(
     )
 
 
+def slot_end_ms(t: str, slot_seconds: int) -> Column:
+    """End of the time slot holding ``t``, in milliseconds since 1970."""
+    return ((F.floor(F.unix_seconds(t) / F.lit(float(slot_seconds))) + 1) * F.lit(slot_seconds * 1000)).cast("bigint")
+
+
 def read_file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
     """A Parquet file stream with an explicit schema, from a folder or a single file.
 

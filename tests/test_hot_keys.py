@@ -168,3 +168,12 @@ def test_two_level_ranks(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "WINDOW_SPAN", 10)
     assert [int(v) for v in evaluation.cindex(df).first()[:3]] == brute
     assert evaluation.td_auc(df, 20).first().auc == pytest.approx(auc)
+
+
+def test_time_to_crossing(visits, index):
+    from cohortlens.plans.flows import time_to_crossing
+
+    people = index.select("id", (F.col("id") % 2).alias("g"))
+    twice = visits.where("x IS NOT NULL").unionByName(visits.where("x IS NOT NULL AND vk % 2 = 0"))
+    args = dict(id="id", order=["t", "vk"], x="x", rise=20.0, level=60.0, keep=["g"])
+    same(time_to_crossing(twice, people, **args), time_to_crossing(twice, people, group_rows=LIMIT, **args))
