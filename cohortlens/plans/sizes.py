@@ -24,18 +24,19 @@ def plan_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def bounded_rows(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame | None:
+def bounded_rows(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
     """``df`` as driver-held rows if it has at most ``max_rows``, else None.
 
     The limit stops the job early, so an oversized table costs no more than the check.
     """
+    max_rows = LOOKUP_ROWS if max_rows is None else max_rows
     rows = df.limit(max_rows + 1).toArrow()
     if rows.num_rows > max_rows:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
-def pin(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> tuple[DataFrame, bool]:
+def pin(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
     """Compute ``df`` once: driver-held if small, otherwise a table in the shared folder.
 
     Returns the table and whether it is small enough to broadcast.
