@@ -39,27 +39,67 @@ def slot_of(df: DataFrame, order: str) -> Column:
 
 
 def segment(
-    df: DataFrame, keys: Sequence[str], order: str, hot: tuple[DataFrame, bool], group_rows: int | None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: tuple[DataFrame, bool], group_rows: int | None
 ) -> tuple[DataFrame, list[str]]:
     """Number each hot key's rows into consecutive segments along ``order``.
 
     Counts per (hot key, slot) are summed along the slots and cut every ``group_rows``
-    rows. Returns the frame with a segment column, and the columns to partition by.
+    rows. A slot that is itself too big, such as a default date, is cut further along the
+    next order columns. Returns the frame with a segment column, and the columns to
+    partition by.
     """
     limit = group_rows or GROUP_ROWS
     hot, small = hot
-    slotted = df.withColumn(SLOT, F.coalesce(slot_of(df, order), F.lit(-(2**62))))
-    counts = attach(slotted.select(*keys, SLOT), hot.select(*keys), keys, small, "left_semi")
-    counts = counts.groupBy(*keys, SLOT).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
-    cuts = counts.select(
-        *keys, SLOT, F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(limit)).cast("int").alias(SEG)
-    )
-    cuts, cuts_small = pin(cuts)
-    out = attach(slotted, cuts, [*keys, SLOT], cuts_small).drop(SLOT)
+    slots = [f"{SLOT}0"]
+    slotted = df.withColumn(slots[0], F.coalesce(slot_of(df, order[0]), F.lit(-(2**62))))
+    rows = attach(slotted, hot.select(*keys), keys, small, "left_semi")
+    for column in order[1:]:
+        finer = _finer(rows, [*keys, *slots], column, limit)
+        if finer is None:
+            break
+        table, table_small = finer
+        slots.append(f"{SLOT}{len(slots)}")
+        at = F.floor((_number(df, column) - F.col("_from")) / F.col("_step")).cast("bigint")
+        cut = lambda frame: attach(frame, table, [*keys, *slots[:-1]], table_small).withColumn(
+            slots[-1], F.coalesce(at, F.lit(0))
+        ).drop("_from", "_step")
+        slotted, rows = cut(slotted), cut(rows)
+    counts = rows.groupBy(*keys, *slots).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(*slots).rowsBetween(Window.unboundedPreceding, -1)
+    seg = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(limit)).cast("int")
+    cuts, cuts_small = pin(counts.select(*keys, *slots, seg.alias(SEG)))
+    out = attach(slotted, cuts, [*keys, *slots], cuts_small).drop(*slots)
     return out.withColumn(SEG, F.coalesce(F.col(SEG), F.lit(0))), [*keys, SEG]
 
 
+def _number(df: DataFrame, column: str) -> Column | None:
+    """An order column as a number, or None if it has no natural one."""
+    dtype, col = df.schema[column].dataType, F.col(column)
+    if isinstance(dtype, T.NumericType):
+        return col.cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(col).cast("double")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(col.cast("timestamp")).cast("double")
+    return None
+
+
+def _finer(rows: DataFrame, group: list[str], column: str, limit: int) -> tuple[DataFrame, bool] | None:
+    """Even steps along ``column`` inside each group that holds too many rows."""
+    number = _number(rows, column)
+    if number is None:
+        return None
+    sizes = rows.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(number).alias("_from"), F.max(number).alias("_to")
+    )
+    step = (F.col("_to") - F.col("_from")) / F.ceil(F.lit(2.0) * F.col("_n") / F.lit(limit))
+    wide = sizes.where((F.col("_n") > limit) & (F.col("_from") < F.col("_to")))
+    table, small = pin(wide.select(*group, "_from", step.alias("_step")))
+    if table.isEmpty() and sizes.where(F.col("_n") > limit).isEmpty():
+        return None
+    return table, small
+
+
 def ordered_scan(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -86,7 +126,7 @@ def ordered_scan(
     prev, carry, running = dict(prev or {}), dict(carry or {}), dict(running or {})
     if probe:
         hot = hot_keys(df, keys, group_rows)
-    split = None if hot is None else segment(df, keys, order[0], hot, group_rows)
+    split = None if hot is None else segment(df, keys, order, hot, group_rows)
     frame, parts = (df, keys) if split is None else split
     if prev:
         frame = frame.withColumn("_row", F.struct(*[F.col(c).alias(n) for n, c in prev.items()]))

@@ -177,3 +177,19 @@ def test_time_to_crossing(visits, index):
     twice = visits.where("x IS NOT NULL").unionByName(visits.where("x IS NOT NULL AND vk % 2 = 0"))
     args = dict(id="id", order=["t", "vk"], x="x", rise=20.0, level=60.0, keep=["g"])
     same(time_to_crossing(twice, people, **args), time_to_crossing(twice, people, group_rows=LIMIT, **args))
+
+
+def test_one_instant_holding_most_rows_is_cut(spark):
+    from cohortlens.plans.scan import SEG, segment
+
+    start = dt.datetime(2020, 1, 1)
+    data = [(1, start, k, float(k) if k % 3 else None) for k in range(100)]
+    data += [(1, start + dt.timedelta(days=k), 100 + k, float(k)) for k in range(20)]
+    df = spark.createDataFrame(data, "id INT, t TIMESTAMP, vk INT, x DOUBLE")
+    cut, _ = segment(df, ["id"], ["t", "vk"], hot_keys(df, "id", LIMIT), LIMIT)
+    sizes = [r["count"] for r in cut.groupBy(SEG).count().collect()]
+    assert sum(sizes) == 120 and max(sizes) <= 2 * LIMIT
+    same(temporal.locf(df, "id", ["t", "vk"], "x"), temporal.locf(df, "id", ["t", "vk"], "x", None, LIMIT))
+    left, right = df.where("vk % 2 = 0").select("id", "t", "vk"), df.where("vk % 2 = 1").select("id", "t", "vk", "x")
+    how = dict(by="id", t="t", left_order=["vk"], right_order=["vk"])
+    same(temporal.asof(left, right, **how), temporal.asof(left, right, group_rows=LIMIT, **how))
