@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,11 +11,19 @@ from pyspark.sql import functions as F
 from cohortlens.functions.hashing import bucket
 from cohortlens.plans.skew import as_list, lookup_join
 
-# Identifier patterns and the text put in their place, applied in this order.
-TEXT_PATTERNS: dict[str, tuple[str, str]] = {
-    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
-    "ip": (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "[IP]"),
-    "phone": (r"(?:\+?[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", "[PHONE]"),
+class TextPattern(NamedTuple):
+    """An identifier's pattern, the text put in its place, and something any match contains."""
+
+    pattern: str
+    mask: str
+    needs: str
+
+
+# Identifier patterns, applied in this order.
+TEXT_PATTERNS: dict[str, TextPattern] = {
+    "email": TextPattern(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]", "@"),
+    "ip": TextPattern(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "[IP]", "[0-9]"),
+    "phone": TextPattern(r"(?:\+?[0-9]{1,3}[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", "[PHONE]", "[0-9]"),
 }
 
 
@@ -28,17 +37,26 @@ def pseudonymize(df: DataFrame, ids: str | Sequence[str], salt: str) -> DataFram
     )
 
 
-def mask_text(df: DataFrame, text: str, patterns: Mapping[str, tuple[str, str]] = TEXT_PATTERNS) -> DataFrame:
+def mask_text(df: DataFrame, text: str, patterns: Mapping[str, TextPattern] = TEXT_PATTERNS) -> DataFrame:
     """Mask identifiers in the whole text and count each kind (L2).
 
     A kind is counted in the text left by the kinds before it, so no characters count twice.
+    Texts without the character every match needs skip the pattern, and only texts that it
+    changed are counted; each step is its own projection, so no pattern runs twice.
     """
-    current = F.col(text)
-    counts = {}
-    for kind, (pattern, mask) in patterns.items():
-        counts[f"n_{kind}"] = F.regexp_count(current, F.lit(pattern))
-        current = F.regexp_replace(current, pattern, mask.replace("$", r"\$"))
-    return df.withColumns({**counts, text: current})
+    out, current = df, F.col(text)
+    steps = [f"_masked_{kind}" for kind in patterns]
+    for step, rule in zip(steps, patterns.values()):
+        needed = current.contains(rule.needs) if len(rule.needs) == 1 else current.rlike(rule.needs)
+        masked = F.regexp_replace(current, rule.pattern, rule.mask.replace("$", r"\$"))
+        out = out.withColumn(step, F.when(needed, masked).otherwise(current))
+        current = F.col(step)
+    before = [text, *steps]
+    counts = {
+        f"n_{kind}": F.when(F.col(was) == F.col(now), F.lit(0)).otherwise(F.regexp_count(F.col(was), F.lit(rule.pattern)))
+        for (kind, rule), was, now in zip(patterns.items(), before, steps)
+    }
+    return out.withColumns(counts).withColumn(text, current).drop(*steps)
 
 
 def shift_dates(df: DataFrame, id: str, cols: Sequence[str], max_days: int, salt: str) -> DataFrame:

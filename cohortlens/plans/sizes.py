@@ -14,14 +14,32 @@ LOOKUP_ROWS = 100_000
 
 
 def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate for a plan, or None when it is not available.
+    """Catalyst's size estimate for a plan, or None on a session without a JVM handle.
 
     Costs no job. Joins multiply their inputs' sizes, so the estimate errs upwards.
     """
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # no JVM handle on this kind of session: treat the size as unknown
+    plan = _optimized(df)
+    return None if plan is None else int(plan.stats().sizeInBytes())
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Size of everything a plan reads, or its own estimate if smaller; None when unknown.
+
+    Catalyst multiplies the sizes of joined inputs, which says nothing about a join to one
+    row per key. Such joins, filters and aggregates never hold more rows than their inputs,
+    so the sum of the inputs tells whether any group could be big.
+    """
+    plan = _optimized(df)
+    if plan is None:
         return None
+    leaves = plan.collectLeaves()
+    total = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return min(int(plan.stats().sizeInBytes()), total)
+
+
+def _optimized(df: DataFrame):
+    jdf = getattr(df, "_jdf", None)
+    return None if jdf is None else jdf.queryExecution().optimizedPlan()
 
 
 def bounded_rows(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:

@@ -12,6 +12,7 @@ from cohortlens import sources
 from cohortlens.catalog import base
 from cohortlens.operators import cleaning, splits, temporal
 from cohortlens.operators.evaluation import decision_table
+from cohortlens.plans import sizes
 from cohortlens.plans.flows import time_to_crossing
 from cohortlens.plans.skew import lookup_join, skew_join
 from cohortlens.session import materialized
@@ -76,8 +77,6 @@ def test_decision_table_does_not_repeat_rows_per_cutoff(spark):
 
 
 def test_small_lookup_is_broadcast_and_large_is_not(spark, monkeypatch):
-    from cohortlens.plans import sizes
-
     df = base.visits(spark, D)
     table = df.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     small = lookup_join(df, table, "id")
@@ -88,6 +87,13 @@ def test_small_lookup_is_broadcast_and_large_is_not(spark, monkeypatch):
     assert lookup_join(df, table, "id").exceptAll(small).isEmpty()
 
 
+def test_sizes_are_known_without_a_job(spark):
+    v = base.visits(spark, D)
+    joined = v.join(base.patients(spark, D), "id")
+    assert 0 < sizes.input_bytes(v) <= sizes.plan_bytes(v) < 10**7
+    assert sizes.input_bytes(joined) < 10**7 < sizes.plan_bytes(joined)
+
+
 def test_materialized_keeps_rows_and_types(spark):
     df = base.visits(spark, D)
     again = materialized(df)
