@@ -16,6 +16,7 @@ HORIZON = 1826
 CUTS = (0.2, 0.4, 0.6, 0.8)
 PLAN = {"Low": 730, "Moderate": 365, "High": 180}
 TIERS = (0.3, 0.7)
+REPS = 40
 
 
 def _pairs(df, by):
@@ -72,7 +73,7 @@ def _compare(spark, d):
 
 
 def _bootstrap(spark, d):
-    return r6(ev.bootstrap_difference(_labelled(spark, d), "id", "label", "score", "other", reps=40))
+    return r6(ev.bootstrap_difference(_labelled(spark, d), "id", "label", "score", "other", reps=REPS))
 
 
 def _threshold(spark, d):
@@ -163,6 +164,8 @@ def _auc_sql(by: str, on: str) -> str:
     )
 
 
+_POISSON = "CASE " + " ".join(f"WHEN u < {e!r}::DOUBLE THEN {k}" for k, e in enumerate(ev.poisson_edges())) + " ELSE 12 END"
+_LOW = int((1 - 0.95) / 2 * (REPS - 1))
 _DELAY = (
     "SELECT f.id, CAST(date_diff('day', event_t, (SELECT min(t) FROM v WHERE v.id = f.id AND prio = '1-URGENT' AND t >= event_t)) AS INTEGER) AS delay_days FROM firsts f"
 )
@@ -209,6 +212,16 @@ SQL = {
         a=_counts_sql("site,"),
         b=_counts_sql("site,", "other"),
     ),
+    "K7_bootstrap_difference": sql(
+        "scor",
+        f"SELECT {rd('(SELECT avg(dd) FROM dif)')} AS difference, {rd(f'list_sort(list(b))[{_LOW + 1}]')} AS lower, "
+        f"{rd(f'list_sort(list(b))[{REPS - _LOW}]')} AS upper FROM reps",
+        lab=_LAB,
+        dif="SELECT id, pow(score - label, 2) - pow(other - label, 2) AS dd FROM lab WHERE label IS NOT NULL",
+        drawn=f"SELECT r, dd, CAST('0x' || substr(md5('boot' || r || ':' || id), 1, 8) AS BIGINT) / {2**32}.0::DOUBLE AS u "
+        f"FROM dif, range({REPS}) g(r)",
+        reps=f"SELECT r, sum(dd * w) / sum(w) AS b FROM (SELECT *, {_POISSON} AS w FROM drawn) GROUP BY r",
+    ),
     "K8_meets_threshold": sql(
         "scor",
         " UNION ALL ".join(

@@ -11,6 +11,7 @@ from cohortlens.catalog import base
 from cohortlens.catalog.base import day, r6, rd, sql
 from cohortlens.catalog.labels import hashed
 from cohortlens.operators import privacy, scorecard, scoring
+from cohortlens.plans.skew import skew_join
 from cohortlens.session import shared_dir
 from cohortlens.sources import TABLE_SCHEMAS, load
 from cohortlens.streaming import arrivals
@@ -61,7 +62,7 @@ def _devices(spark, d):
         F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("p_partkey")
     )
     parts = load(spark, d, "part").select("p_partkey", "p_brand", "p_size")
-    return first.join(lines, "l_orderkey").join(parts, "p_partkey").select("id", "n_visits", "p_brand", "p_size")
+    return skew_join(first.join(lines, "l_orderkey"), parts, "p_partkey").select("id", "n_visits", "p_brand", "p_size")
 
 
 def _reliability(spark, d):

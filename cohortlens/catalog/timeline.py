@@ -119,8 +119,9 @@ def _vector(spark, d):
 
     c = base.cohort(spark, d).select("id", "segment", "site", "balance", "index_x")
     model = features.feature_pipeline(["balance", "index_x"], ["segment", "site"]).fit(c)
-    return model.transform(c).select("id", F.size(vector_to_array("features")).alias("n_features"),
-                                     F.round(F.aggregate(vector_to_array("features"), F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+    vector = vector_to_array("features")
+    total = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x)
+    return r6(model.transform(c).select("id", F.size(vector).alias("n_features"), total.alias("total")), 2)
 
 
 QUERIES = {
@@ -263,6 +264,12 @@ SQL = {
     ),
     "E7_impute_group_median": _impute_sql("quantile_cont(x, 0.5)", True),
     "E7_impute_mean": _impute_sql("avg(x)", False),
+    # Two numbers, and for each category its levels plus one for unseen values; a row sets one of each.
+    "E9_feature_pipeline": sql(
+        "coh",
+        "SELECT id, CAST((SELECT 4 + count(DISTINCT segment) + count(DISTINCT site) FROM coh) AS INTEGER) AS n_features, "
+        f"{rd('balance + index_x + 2', 2)} AS total FROM coh",
+    ),
     "E8_pivot_flags": sql(
         "v",
         "SELECT id, "

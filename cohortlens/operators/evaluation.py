@@ -294,16 +294,17 @@ def compare(a: DataFrame, b: DataFrame, on: str | Sequence[str], values: Sequenc
     return both.withColumns({f"{v}_diff": F.col(f"{v}_model") - F.col(f"{v}_comparator") for v in values})
 
 
-def poisson_weight(id: str, rep: int, salt: str = "boot") -> Column:
+def poisson_edges() -> list[float]:
+    """Cumulative Poisson(1) probabilities of 0, 1, ... 11."""
+    masses = [math.exp(-1.0) / math.factorial(k) for k in range(12)]
+    return [math.fsum(masses[: k + 1]) for k in range(12)]
+
+
+def poisson_weight(id: str, rep: str, salt: str = "boot") -> Column:
     """A Poisson(1) draw fixed by (entity, replicate), from the hash's place in the distribution."""
-    u = hash32(id, f"{salt}{rep}:") / F.lit(float(SPAN))
-    weight, edge, mass = F.lit(12), [], math.exp(-1.0)
-    total = 0.0
-    for k in range(12):
-        total += mass
-        edge.append((k, total))
-        mass /= k + 1
-    for k, upper in reversed(edge):
+    u = hash32(F.concat(F.col(rep).cast("string"), F.lit(":"), F.col(id).cast("string")), salt) / F.lit(float(SPAN))
+    weight = F.lit(12)
+    for k, upper in reversed(list(enumerate(poisson_edges()))):
         weight = F.when(u < F.lit(upper), F.lit(k)).otherwise(weight)
     return weight
 
@@ -313,20 +314,22 @@ def bootstrap_difference(
 ) -> DataFrame:
     """Interval for the difference in mean squared error of two predictions (K7).
 
-    Every replicate is one weighted sum in a single aggregate pass; no row is repeated and
-    the replicates do not depend on partitioning.
+    Rows are repeated per replicate only inside the map tasks, which send one partial sum
+    per replicate. The draws do not depend on partitioning, so a rerun gives the same interval.
     """
     known = df.where(F.col(label).isNotNull() & F.col(model).isNotNull() & F.col(comparator).isNotNull())
     error = lambda p: F.pow(F.col(p) - F.col(label), F.lit(2.0))
     rows = known.select(F.col(id).alias("_id"), (error(model) - error(comparator)).alias("_d"))
-    sums = [F.avg("_d").alias("difference")]
-    for r in range(reps):
-        w = poisson_weight("_id", r)
-        sums.append(F.try_divide(F.sum(F.col("_d") * w), F.sum(w).cast("double")).alias(f"_b{r}"))
-    out = rows.agg(*sums)
-    ordered = F.array_sort(F.array(*[F.col(f"_b{r}") for r in range(reps)]))
-    lo = max(int(math.floor((1 - level) / 2 * (reps - 1))), 0)
-    return out.select("difference", ordered[lo].alias("lower"), ordered[reps - 1 - lo].alias("upper"))
+    # Replicate -1 weighs every row once, so that the plain difference comes from the same pass.
+    drawn = rows.withColumn("_rep", F.explode(F.sequence(F.lit(-1), F.lit(reps - 1))))
+    drawn = drawn.withColumn("_w", F.when(F.col("_rep") < 0, F.lit(1)).otherwise(poisson_weight("_id", "_rep")))
+    per_rep = drawn.groupBy("_rep").agg(
+        F.try_divide(F.sum(F.col("_d") * F.col("_w")), F.sum("_w").cast("double")).alias("_b")
+    )
+    draws = F.array_sort(F.collect_list(F.when(F.col("_rep") >= 0, F.col("_b"))))
+    out = per_rep.agg(F.max(F.when(F.col("_rep") < 0, F.col("_b"))).alias("difference"), draws.alias("_draws"))
+    lo = int((1 - level) / 2 * (reps - 1))
+    return out.select("difference", F.col("_draws")[lo].alias("lower"), F.col("_draws")[reps - 1 - lo].alias("upper"))
 
 
 def meets_threshold(metrics: DataFrame, limits: Mapping[str, float], metric: str = "metric", value: str = "value") -> DataFrame:
