@@ -12,7 +12,7 @@ from cohortlens.catalog import base
 from cohortlens.catalog.base import r6, rd, sql
 from cohortlens.operators import models
 from cohortlens.operators.endpoints import horizon_value, person_period
-from cohortlens.operators.splits import class_weights, folds, split_entity
+from cohortlens.operators.splits import class_weights, folds
 from cohortlens.plans.flows import landmark_features, train_and_evaluate
 from cohortlens.plans.skew import skew_join
 from cohortlens.session import materialized

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from cohortlens.catalog import base
 from cohortlens.catalog.base import LEVEL, RISE, SEGMENTS, r6, rd, sql
 from cohortlens.operators import survival

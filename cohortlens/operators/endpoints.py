@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.time import days_between
 from cohortlens.plans.scan import ordered_scan
-from cohortlens.plans.skew import as_list
 
 
 def stage(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.hashing import SPAN, hash32
 from cohortlens.functions.time import days_between
 from cohortlens.operators.survival import ipcw, km, surv_at
-from cohortlens.plans.skew import as_list, lookup_join, skew_join
+from cohortlens.plans.skew import as_list, attach, lookup_join, skew_join
 
 # Distinct scores one window may hold; wider spans are ranked in two levels.
 WINDOW_SPAN = 1_000_000
@@ -43,7 +43,7 @@ def sum_below(table: DataFrame, parts: Sequence[str], key: str, value: str, span
     totals = chunked.groupBy(*parts, "_chunk").agg(F.sum(value).alias("_sum"))
     totals = totals.select(*parts, "_chunk", F.coalesce(F.sum("_sum").over(w(parts, "_chunk")), zero).alias("_base"))
     inside = chunked.withColumn("_in", F.coalesce(F.sum(value).over(w([*parts, "_chunk"], key)), zero))
-    both = inside.join(totals, [*parts, "_chunk"])
+    both = attach(inside, totals, [*parts, "_chunk"], small=False, how="inner")
     return both.withColumn(out, F.col("_in") + F.col("_base")).drop("_chunk", "_in", "_base")
 
 
@@ -170,7 +170,7 @@ def calibration(
     parts = [*by, "bin"]
     predicted = binned.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"))
     observed = surv_at(km(binned, time, event, parts), [horizon], parts)
-    out = predicted.join(observed, parts)
+    out = attach(predicted, observed, parts, small=False, how="inner")
     return out.select(*parts, "n", "predicted", (F.lit(1.0) - F.col("survival")).alias("observed"))
 
 
@@ -290,7 +290,7 @@ def compare(a: DataFrame, b: DataFrame, on: str | Sequence[str], values: Sequenc
     on = as_list(on)
     left = a.select(*on, *[F.col(v).alias(f"{v}_model") for v in values])
     right = b.select(*on, *[F.col(v).alias(f"{v}_comparator") for v in values])
-    both = left.join(right, on)
+    both = attach(left, right, on, small=False, how="inner")
     return both.withColumns({f"{v}_diff": F.col(f"{v}_model") - F.col(f"{v}_comparator") for v in values})
 
 

@@ -62,7 +62,7 @@ def attach(df: DataFrame, table: DataFrame, on: Sequence[str], small: bool, how:
     renamed = table.withColumnsRenamed({c: f"_on{i}" for i, c in enumerate(on)})
     same = [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(on)]
     out = df.join(F.broadcast(renamed) if small else renamed, reduce(and_, same), how)
-    return out if how == "left_semi" else out.drop(*[f"_on{i}" for i in range(len(on))])
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_on{i}" for i in range(len(on))])
 
 
 def skew_join(
@@ -71,6 +71,7 @@ def skew_join(
     on: str | Sequence[str],
     how: str = "inner",
     group_rows: int | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join ``many`` rows per key with ``one`` row per key, splitting hot keys.
 
@@ -78,19 +79,20 @@ def skew_join(
     the session lets it split skewed joins; if not, or if ``group_rows`` is given, hot keys
     are looked for and salted here. Rows of a hot key are spread over ``ceil(rows / group_rows)`` salts by a hash of
     their own values, and only that key's row of ``one`` is repeated per salt. The salt
-    is a pure function of the row, so a recomputed task yields the same rows.
+    is a pure function of the row, so a recomputed task yields the same rows. With
+    ``null_safe`` a missing key matches a missing key.
     """
     on = as_list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not split a {how} join")
     size = plan_bytes(one)
     if group_rows is None and size is not None and size <= BROADCAST_BYTES:
-        return many.join(F.broadcast(one), on, how)
+        return _joined(many, one, on, True, how, null_safe)
     if group_rows is None and splits_skewed_joins(many.sparkSession):
-        return many.join(one, on, how)
+        return _joined(many, one, on, False, how, null_safe)
     found = hot_keys(many, on, group_rows)
     if found is None:
-        return many.join(one, on, how)
+        return _joined(many, one, on, False, how, null_safe)
     table, small = found
     salts = F.ceil(F.col(KEY_ROWS) / F.lit(group_rows or GROUP_ROWS)).cast("int")
     table = table.select(*on, salts.alias(SALTS))
@@ -104,7 +106,13 @@ def skew_join(
     right = attach(one, table, on, small).withColumn(
         SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(SALTS), F.lit(1)) - 1))
     )
-    return left.drop(SALTS).join(right.drop(SALTS), [*on, SALT], how).drop(SALT)
+    return _joined(left.drop(SALTS), right.drop(SALTS), [*on, SALT], False, how, null_safe).drop(SALT)
+
+
+def _joined(many: DataFrame, one: DataFrame, on: list[str], small: bool, how: str, null_safe: bool) -> DataFrame:
+    if null_safe:
+        return attach(many, one, on, small, how)
+    return many.join(F.broadcast(one) if small else one, on, how)
 
 
 def lookup_join(
@@ -117,9 +125,10 @@ def lookup_join(
     """Join a small table of one row per key without shuffling ``df``.
 
     The table's size is checked first: proven small, it is broadcast; otherwise the
-    join shuffles both sides and splits hot keys.
+    join shuffles both sides and splits hot keys. Rows whose key is missing look up the
+    row whose key is missing, as when both come from grouping by that key.
     """
     hinted = small_broadcast(table)
     if hinted is not None:
-        return df.join(hinted, as_list(on), how)
-    return skew_join(df, table, on, how, group_rows)
+        return attach(df, hinted, as_list(on), True, how)
+    return skew_join(df, table, on, how, group_rows, null_safe=True)

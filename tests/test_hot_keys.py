@@ -179,6 +179,22 @@ def test_time_to_crossing(visits, index):
     same(time_to_crossing(twice, people, **args), time_to_crossing(twice, people, group_rows=LIMIT, **args))
 
 
+@pytest.mark.parametrize("span", [10, 1_000_000])
+def test_rows_without_a_stratum_form_one(spark, monkeypatch, span):
+    random.seed(6)
+    data = [(i, random.randint(1, 30), random.randint(0, 1), round(random.random(), 2), i % 3 or None) for i in range(200)]
+    df = spark.createDataFrame(data, "id INT, time INT, event INT, score DOUBLE, site INT")
+    named = df.withColumn("site", F.coalesce("site", F.lit(9)))
+    monkeypatch.setattr(evaluation, "WINDOW_SPAN", span)
+    for metric in (
+        lambda d: evaluation.cindex(d, by="site"),
+        lambda d: evaluation.td_auc(d, 15, by="site"),
+        lambda d: evaluation.calibration(d, "score", 15, bins=3, by="site"),
+    ):
+        got = metric(df).withColumn("site", F.coalesce("site", F.lit(9)))
+        same(got.select(*[F.col(c).cast("double") for c in got.columns]), metric(named).select(*[F.col(c).cast("double") for c in got.columns]))
+
+
 def test_one_instant_holding_most_rows_is_cut(spark):
     from cohortlens.plans.scan import SEG, segment
 
