@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe
+from cohortlens.llm import bpe, mixing, shards, urls
 from cohortlens.llm.rows import small_batches
 
 
@@ -20,5 +21,44 @@ def op1_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.round_trip(table(spark, d, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe,)}
-SQL: dict[str, str] = {}
+def op2_ring_shards(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in eight shards by a ring with bounded loads; counts differ by one at most."""
+    text = F.coalesce("text", F.lit(""))
+    columns = {"size": F.octet_length(text).cast("long") + 1, "text_crc32": F.crc32(text.cast("binary"))}
+    out = shards.ring_shards(table(spark, d, "documents"), "doc_id", columns, 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's URL by the site rules and the vocabulary."""
+    return urls.judged(table(spark, d, "pages"))
+
+
+def _standing_alone(term: str) -> str:
+    return f"CAST(regexp_matches(u, '(^|[^a-z0-9]){term}([^a-z0-9]|$)') AS INTEGER)"
+
+
+def _op4_sql() -> str:
+    rules = sorted(urls.RULES, key=lambda r: -len(r[0] + r[1]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in rules]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits) + " END"
+    says = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits)
+    a, z = urls.UPPER, urls.LOWER
+    return f"""
+WITH parts AS (SELECT page_id, coalesce(translate(url, '{a}', '{z}'), '') AS u,
+  translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{a}', '{z}') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+hits AS (SELECT *, {" + ".join(map(_standing_alone, urls.STRICT_TERMS))} AS strict_terms,
+  {" + ".join(map(_standing_alone, urls.SOFT_TERMS))} AS soft_terms FROM parts)
+SELECT page_id, host, path, {rule} AS rule,
+  {says} WHEN strict_terms > 0 OR soft_terms >= {urls.SOFT} THEN 'block' ELSE 'allow' END AS verdict,
+  CAST(strict_terms AS INTEGER) AS strict_terms, CAST(soft_terms AS INTEGER) AS soft_terms FROM hits"""
+
+
+def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with the words that the mix takes of them."""
+    return mixing.mixed(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op4_url_filter, op10_source_mix)}
+SQL: dict[str, str] = {"op4_url_filter": _op4_sql()}
