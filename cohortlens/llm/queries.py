@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, mixing, shards, urls
+from cohortlens.llm import bpe, exact, mixing, shards, urls
 from cohortlens.llm.rows import small_batches
 
 
@@ -29,6 +29,18 @@ def op2_ring_shards(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the one that stays of those with equal normalised text."""
+    classes = exact.dedup(exact.located(table(spark, d, "documents")))
+    return classes.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+OP3_SQL = r"""
+WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (text_sha256)"""
+
+
 def op4_url_filter(spark: SparkSession, d: str) -> DataFrame:
     """Every page's URL by the site rules and the vocabulary."""
     return urls.judged(table(spark, d, "pages"))
@@ -60,5 +72,5 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op4_url_filter, op10_source_mix)}
-SQL: dict[str, str] = {"op4_url_filter": _op4_sql()}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op10_source_mix)}
+SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql()}
