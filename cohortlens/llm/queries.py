@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, exact, mixing, shards, urls
+from cohortlens.llm import bpe, exact, mixing, shards, urls, warc
 from cohortlens.llm.rows import small_batches
+from cohortlens.session import shared_dir
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -67,10 +70,24 @@ SELECT page_id, host, path, {rule} AS rule,
   CAST(strict_terms AS INTEGER) AS strict_terms, CAST(soft_terms AS INTEGER) AS soft_terms FROM hits"""
 
 
+def op9_warc(spark: SparkSession, d: str) -> DataFrame:
+    """Every page written to archives in the shared folder and read back."""
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    rows = warc.read_archives(spark, warc.write_archives(table(spark, d, "pages"), folder), folder)
+    return rows.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)"""
+
+
 def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
     """All documents with the words that the mix takes of them."""
     return mixing.mixed(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op10_source_mix)}
-SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql()}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op9_warc, op10_source_mix)}
+SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql(), "op9_warc": OP9_SQL}
