@@ -130,7 +130,7 @@ def _unequal(docs: DataFrame, groups: DataFrame, id: str, text: str, digest: Cal
     at_place = (F.col("path") == F.col("_first_path")) & (F.col("row") == F.col("_first_row"))
     stored = members.where(at_place).select("digest", F.col("text").alias("stored"))
     hits = members.where(~at_place).select("digest", "id", "path", "row", "text")
-    wrong = hits.join(stored, "digest").where(F.col("text") != F.col("stored")).drop("stored")
+    wrong = materialized(hits.join(stored, "digest").where(F.col("text") != F.col("stored")).drop("stored"))  # as a rule none
     classes = wrong.groupBy("digest", "text").agg(_least().alias("first"), F.count(F.lit(1)).alias("n"))
     return wrong.join(classes, ["digest", "text"]).select("path", "row", "digest", "first", "n")
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, exact, mixing, shards, urls, warc
+from cohortlens.llm import bagminhash, bpe, exact, language, mixing, shards, urls, warc
 from cohortlens.llm.rows import small_batches
 from cohortlens.session import shared_dir
 
@@ -70,6 +70,17 @@ SELECT page_id, host, path, {rule} AS rule,
   CAST(strict_terms AS INTEGER) AS strict_terms, CAST(soft_terms AS INTEGER) AS soft_terms FROM hits"""
 
 
+def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """The language of every document, by a model of three quarters of them."""
+    return language.identified(table(spark, d, "documents"))
+
+
+def op8_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its class of near-duplicates, of which the smallest doc_id stays."""
+    classes = bagminhash.near_duplicates(exact.located(table(spark, d, "documents")))
+    return classes.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
 def op9_warc(spark: SparkSession, d: str) -> DataFrame:
     """Every page written to archives in the shared folder and read back."""
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -89,5 +100,5 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op9_warc, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op7_language_id, op8_near_dedup, op9_warc, op10_source_mix)}
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql(), "op9_warc": OP9_SQL}
