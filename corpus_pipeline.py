@@ -1,7 +1,7 @@
 """A text corpus from documents to tokens, in stages that are each written and read again.
 
 Language ID, exact de-duplication, near de-duplication, mixing to target weights, encoding.
-Stages are added as their operators are.
+All but the last return the columns of ``documents``; each works on all that the one before kept.
 """
 
 from __future__ import annotations
@@ -9,38 +9,71 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe
-from cohortlens.llm.rows import small_batches
-from cohortlens.session import shared_dir
+from cohortlens.llm import bagminhash, bpe, exact, language, mixing
+from cohortlens.llm.rows import small_batches, small_enough
+from cohortlens.session import materialized, shared_dir
+
+#: Language ID rejects texts in no language, and those whose best language is less likely than this.
+LEAST_SCORE = 0.35
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told; those without letters or below ``LEAST_SCORE`` go."""
+    small_batches(spark)
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    found = docs.select("*", language.language(model, docs, F.col("text")).alias("_found"))
+    return found.where((F.col("_found.lang") != language.UNKNOWN) & (F.col("_found.score") >= LEAST_SCORE)).drop("_found")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal text the one with the smallest doc_id."""
+    placed = exact.located(docs)
+    return exact.kept_rows(placed, exact.dedup(placed))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest doc_id."""
+    placed = exact.located(docs)
+    return exact.kept_rows(placed, bagminhash.near_duplicates(placed))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    placed = exact.located(docs)
+    taken = materialized(mixing.mixed(placed, keep=["_path", "_row"]).where("copies > 0").select("_path", "_row", F.col("copies").alias("_copies")))
+    out = placed.join(small_enough(taken), ["_path", "_row"])
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: per document its id, source, ids and number of ids, and whether they decode to the text."""
+    """(doc_id, source, lang, ids, n_tokens, decodes) per row; ``decodes`` tells whether the ids give the text back."""
     import public_tokenizers
-    from pyspark.sql import functions as F
 
     small_batches(spark)
     tokenizer = bpe.Tokenizer(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    ids = docs.select("doc_id", "source", "lang", "text", tokenizer.encode("text").alias("ids"))
-    back = ids.withColumn("data", tokenizer.decode("ids"))
-    whole = F.col("data") == F.coalesce("text", F.lit("")).cast("binary")
+    back = docs.select("doc_id", "source", "lang", "text", tokenizer.encode("text").alias("ids")).withColumn("_data", tokenizer.decode("ids"))
+    whole = F.col("_data") == F.coalesce("text", F.lit("")).cast("binary")
     return back.select("doc_id", "source", "lang", "ids", F.size("ids").cast("long").alias("n_tokens"), whole.alias("decodes"))
 
 
-STAGES = [("encode", encode)]
-#: The stages use models, hashing of word sequences and a tokenizer, which SQL cannot express.
+STAGES = [
+    ("language_id", identify),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("source_mix", mix),
+    ("byte_bpe", encode),
+]
+#: The stages use a fitted model, hashing of word sequences and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written to the shared folder and read again."""
+    """All stages over the documents; each but the last is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
