@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bagminhash, bpe, exact, language, mixing, shards, urls, warc
+from cohortlens.llm import bagminhash, bpe, exact, language, mixing, quality_rules, shards, urls, warc
 from cohortlens.llm.rows import small_batches
 from cohortlens.session import shared_dir
 
@@ -70,6 +70,22 @@ SELECT page_id, host, path, {rule} AS rule,
   CAST(strict_terms AS INTEGER) AS strict_terms, CAST(soft_terms AS INTEGER) AS soft_terms FROM hits"""
 
 
+#: At most so many labelled documents, those with the smallest hash, are the trusted target of the quality rules.
+TRUSTED = 20_000
+
+
+def trusted(spark: SparkSession, d: str, rows: int = TRUSTED) -> DataFrame:
+    """(doc_id, trusted): good and not toxic documents, at most ``rows``."""
+    good = table(spark, d, "labels").where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
+    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("trusted", F.lit(True))
+
+
+def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Every document by the base rules and by its n-grams' likelihood ratio."""
+    docs = table(spark, d, "documents").join(F.broadcast(trusted(spark, d)), "doc_id", "left")
+    return quality_rules.judged(docs, F.col("trusted"))
+
+
 def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
     """The language of every document, by a model of three quarters of them."""
     return language.identified(table(spark, d, "documents"))
@@ -100,5 +116,5 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op7_language_id, op8_near_dedup, op9_warc, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op5_quality_rules, op7_language_id, op8_near_dedup, op9_warc, op10_source_mix)}
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql(), "op9_warc": OP9_SQL}
