@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bagminhash, bpe, exact, language, mixing, quality_rules, shards, urls, warc
+from cohortlens.llm import bagminhash, bpe, exact, language, mixing, quality_rules, shards, site_quality, urls, warc
 from cohortlens.llm.rows import small_batches
 from cohortlens.session import shared_dir
 
@@ -86,6 +86,12 @@ def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.judged(docs, F.col("trusted"))
 
 
+def op6_site_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's quality; its source is its host, and its language there its path."""
+    docs = table(spark, d, "documents")
+    return site_quality.classified(docs, table(spark, d, "labels"), F.col("source"), F.col("lang"))
+
+
 def op7_language_id(spark: SparkSession, d: str) -> DataFrame:
     """The language of every document, by a model of three quarters of them."""
     return language.identified(table(spark, d, "documents"))
@@ -116,5 +122,5 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op5_quality_rules, op7_language_id, op8_near_dedup, op9_warc, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op5_quality_rules, op6_site_quality, op7_language_id, op8_near_dedup, op9_warc, op10_source_mix)}
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql(), "op9_warc": OP9_SQL}
