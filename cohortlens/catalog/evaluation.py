@@ -152,13 +152,13 @@ def _auc_sql(by: str, on: str) -> str:
         "scor",
         ("" if by == "0" else "")
         + f"SELECT {'g AS site, ' if by != '0' else ''}n_cases, n_controls, {rd('won / total')} AS auc FROM "
-        "(SELECT a.g, count(DISTINCT a.id) AS n_cases, count(DISTINCT b.id) AS n_controls, sum(a.w * b.w * (CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END)) AS won, "
-        "sum(a.w * b.w) AS total FROM ca a JOIN co b ON a.g = b.g GROUP BY a.g)",
+        "(SELECT a.g, count(DISTINCT a.id) AS n_cases, count(DISTINCT b.id) AS n_controls, sum(a.w * b.w * (CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) ORDER BY a.id, b.id) AS won, "
+        "sum(a.w * b.w ORDER BY a.id, b.id) AS total FROM ca a JOIN co b ON a.g = b.g GROUP BY a.g)",
         cnt=life["cnt"].replace("FROM surv", "FROM scor"),
         lt=life["lt"],
         stay="SELECT g, time, CASE WHEN n > d THEN 1.0 - c / (n - d) ELSE 1.0 END AS stay FROM lt",
-        gb="SELECT a.g, a.time, coalesce(product(b.stay) FILTER (b.time < a.time), 1.0) AS before FROM stay a JOIN stay b ON b.g = a.g AND b.time <= a.time GROUP BY a.g, a.time",
-        gh=f"SELECT g, product(stay) FILTER (time <= {HORIZON}) AS g_h FROM stay GROUP BY g",
+        gb="SELECT a.g, a.time, coalesce(product(b.stay ORDER BY b.time) FILTER (b.time < a.time), 1.0) AS before FROM stay a JOIN stay b ON b.g = a.g AND b.time <= a.time GROUP BY a.g, a.time",
+        gh=f"SELECT g, product(stay ORDER BY time) FILTER (time <= {HORIZON}) AS g_h FROM stay GROUP BY g",
         ca=f"SELECT id, s.g, score, 1.0 / before AS w FROM (SELECT *, {by} AS g FROM scor) s JOIN gb ON gb.g = s.g AND gb.time = s.time WHERE event = 1 AND s.time <= {HORIZON}",
         co=f"SELECT id, s.g, score, 1.0 / g_h AS w FROM (SELECT *, {by} AS g FROM scor) s JOIN gh ON gh.g = s.g WHERE time > {HORIZON}",
     )
@@ -178,7 +178,7 @@ SQL = {
     "K3_calibration": sql(
         "scor",
         f"SELECT CAST(b.g AS INTEGER) AS bin, n, {rd('predicted')} AS predicted, {rd(f'1.0 - coalesce((SELECT k.s FROM kmc k WHERE k.g = b.g AND k.time <= {HORIZON} ORDER BY k.time DESC LIMIT 1), 1.0)')} AS observed "
-        "FROM (SELECT bin AS g, count(*) AS n, avg(score) AS predicted FROM binned GROUP BY bin) b",
+        "FROM (SELECT bin AS g, count(*) AS n, avg(score ORDER BY id) AS predicted FROM binned GROUP BY bin) b",
         binned="SELECT *, floor(5 * (rank() OVER (ORDER BY score) - 1) / count(*) OVER ()) + 1 AS bin FROM scor",
         **life_table("bin", "binned"),
     ),
@@ -214,13 +214,13 @@ SQL = {
     ),
     "K7_bootstrap_difference": sql(
         "scor",
-        f"SELECT {rd('(SELECT avg(dd) FROM dif)')} AS difference, {rd(f'list_sort(list(b))[{_LOW + 1}]')} AS lower, "
+        f"SELECT {rd('(SELECT avg(dd ORDER BY id) FROM dif)')} AS difference, {rd(f'list_sort(list(b))[{_LOW + 1}]')} AS lower, "
         f"{rd(f'list_sort(list(b))[{REPS - _LOW}]')} AS upper FROM reps",
         lab=_LAB,
         dif="SELECT id, pow(score - label, 2) - pow(other - label, 2) AS dd FROM lab WHERE label IS NOT NULL",
-        drawn=f"SELECT r, dd, CAST('0x' || substr(md5('boot' || r || ':' || id), 1, 8) AS BIGINT) / {2**32}.0::DOUBLE AS u "
+        drawn=f"SELECT r, id, dd, CAST('0x' || substr(md5('boot' || r || ':' || id), 1, 8) AS BIGINT) / {2**32}.0::DOUBLE AS u "
         f"FROM dif, range({REPS}) g(r)",
-        reps=f"SELECT r, sum(dd * w) / sum(w) AS b FROM (SELECT *, {_POISSON} AS w FROM drawn) GROUP BY r",
+        reps=f"SELECT r, sum(dd * w ORDER BY id) / sum(w) AS b FROM (SELECT *, {_POISSON} AS w FROM drawn) GROUP BY r",
     ),
     "K8_meets_threshold": sql(
         "scor",

@@ -7,6 +7,7 @@ from cohortlens.catalog.base import LEVEL, RISE, SEGMENTS, r6, rd, sql
 from cohortlens.operators import survival
 from cohortlens.plans.flows import crossing_curves
 
+THREE = SEGMENTS[:3]
 HORIZONS = (365, 730, 1461, 1826)
 
 
@@ -29,8 +30,8 @@ def _logrank2(spark, d):
     return r6(survival.logrank(_table(spark, d), "segment", ["BUILDING", "MACHINERY"]))
 
 
-def _logrank5(spark, d):
-    return r6(survival.logrank(_table(spark, d), "segment", SEGMENTS).select("segment", "observed", "expected", "df"))
+def _logrank3(spark, d):
+    return r6(survival.logrank(_table(spark, d), "segment", THREE))
 
 
 QUERIES = {
@@ -40,7 +41,7 @@ QUERIES = {
     "H3_nelson_aalen": lambda s, d: r6(survival.nelson_aalen(_table(s, d), by="segment"), 9),
     "H4_cif": _cif,
     "H5_logrank": _logrank2,
-    "H5_logrank_many": _logrank5,
+    "H5_logrank_many": _logrank3,
     "H6_surv_at": lambda s, d: r6(survival.surv_at(survival.km(_table(s, d), by="segment"), HORIZONS, "segment")),
     "H6_median_survival": lambda s, d: survival.median_survival(survival.km(_table(s, d), by="segment"), "segment"),
     "H7_ipcw": lambda s, d: r6(survival.ipcw(_table(s, d), by="site")),
@@ -54,9 +55,9 @@ def life_table(by: str, source: str = "surv") -> dict[str, str]:
         "lt": "SELECT a.g, a.time, any_value(a.d) AS d, any_value(a.c) AS c, CAST(sum(b.d + b.c) AS BIGINT) AS n FROM cnt a "
         "JOIN cnt b ON b.g = a.g AND b.time >= a.time GROUP BY a.g, a.time",
         # The product up to a time, as a product over an inequality join.
-        "kmc": "SELECT a.g, a.time, any_value(a.n) AS n, any_value(a.d) AS d, any_value(a.c) AS c, product(1.0 - b.d / b.n) AS s, "
-        "sum(CASE WHEN b.n > b.d THEN b.d / (b.n::DOUBLE * (b.n - b.d)) END) AS gw, sum(b.d / b.n) AS na, "
-        "sum(b.d / (b.n::DOUBLE * b.n)) AS nv FROM lt a JOIN lt b ON b.g = a.g AND b.time <= a.time GROUP BY a.g, a.time",
+        "kmc": "SELECT a.g, a.time, any_value(a.n) AS n, any_value(a.d) AS d, any_value(a.c) AS c, product(1.0 - b.d / b.n ORDER BY b.time) AS s, "
+        "sum(CASE WHEN b.n > b.d THEN b.d / (b.n::DOUBLE * (b.n - b.d)) END ORDER BY b.time) AS gw, sum(b.d / b.n ORDER BY b.time) AS na, "
+        "sum(b.d / (b.n::DOUBLE * b.n) ORDER BY b.time) AS nv FROM lt a JOIN lt b ON b.g = a.g AND b.time <= a.time GROUP BY a.g, a.time",
     }
 
 
@@ -82,12 +83,12 @@ SQL = {
     "H4_cif": sql(
         "comp",
         f"SELECT a.g AS site, a.time, any_value(a.n) AS at_risk, CAST(k AS INTEGER) AS cause, CAST(any_value(CASE WHEN k = 1 THEN a.d1 ELSE a.d2 END) AS BIGINT) AS n_cause, "
-        f"{rd('sum(b.before * CASE WHEN k = 1 THEN b.d1 ELSE b.d2 END / b.n)')} AS incidence "
+        f"{rd('sum(b.before * CASE WHEN k = 1 THEN b.d1 ELSE b.d2 END / b.n ORDER BY b.time)')} AS incidence "
         "FROM st a JOIN st b ON b.g = a.g AND b.time <= a.time, (VALUES (1), (2)) q(k) GROUP BY a.g, a.time, k",
         cnt="SELECT site AS g, time, count(*) FILTER (cause = 1) AS d1, count(*) FILTER (cause = 2) AS d2, count(*) AS m FROM comp GROUP BY 1, 2",
         lt="SELECT a.g, a.time, any_value(a.d1) AS d1, any_value(a.d2) AS d2, CAST(sum(b.m) AS BIGINT) AS n FROM cnt a "
         "JOIN cnt b ON b.g = a.g AND b.time >= a.time GROUP BY a.g, a.time",
-        st="SELECT a.*, coalesce((SELECT product(1.0 - (b.d1 + b.d2) / b.n) FROM lt b WHERE b.g = a.g AND b.time < a.time), 1.0) AS before FROM lt a",
+        st="SELECT a.*, coalesce((SELECT product(1.0 - (b.d1 + b.d2) / b.n ORDER BY b.time) FROM lt b WHERE b.g = a.g AND b.time < a.time), 1.0) AS before FROM lt a",
     ),
     "H6_surv_at": sql(
         "surv",
@@ -100,29 +101,38 @@ SQL = {
     ),
     "H7_ipcw": sql(
         "surv",
-        f"SELECT a.g AS site, a.time, {rd('coalesce(product(b.stay) FILTER (b.time < a.time), 1.0)')} AS g_before, {rd('product(b.stay)')} AS g_at "
+        f"SELECT a.g AS site, a.time, {rd('coalesce(product(b.stay ORDER BY b.time) FILTER (b.time < a.time), 1.0)')} AS g_before, {rd('product(b.stay ORDER BY b.time)')} AS g_at "
         "FROM lt a JOIN (SELECT g, time, CASE WHEN n > d THEN 1.0 - c / (n - d) ELSE 1.0 END AS stay FROM lt) b ON b.g = a.g AND b.time <= a.time GROUP BY a.g, a.time",
         **{k: v for k, v in life_table("site").items() if k != "kmc"},
     ),
 }
 
 
-def _logrank_sql(groups, chi: bool) -> str:
+def _logrank_sql(groups) -> str:
+    """Chi-square through the variance of the first group, or the closed inverse of the first two's covariance."""
     names = ", ".join(f"'{g}'" for g in groups)
-    tail = (
-        f"{rd('(SELECT pow(o - e, 2) / v FROM tot WHERE g = ' + repr(groups[0]) + ')')} AS chi2, " if chi else ""
-    )
+    gap = lambda g: f"(SELECT o - e FROM tot WHERE g = '{g}')"
+    cov = lambda g, h: f"(SELECT v FROM cov WHERE g = '{g}' AND h = '{h}')"
+    if len(groups) == 2:
+        chi = f"pow({gap(groups[0])}, 2) / {cov(groups[0], groups[0])}"
+    else:
+        a, b = groups[:2]
+        chi = (
+            f"(pow({gap(a)}, 2) * {cov(b, b)} - 2 * {gap(a)} * {gap(b)} * {cov(a, b)} + pow({gap(b)}, 2) * {cov(a, a)})"
+            f" / ({cov(a, a)} * {cov(b, b)} - pow({cov(a, b)}, 2))"
+        )
     return sql(
         "surv",
-        f"SELECT g AS segment, CAST(o AS BIGINT) AS observed, {rd('e')} AS expected, {tail}CAST({len(groups) - 1} AS INTEGER) AS df FROM tot",
+        f"SELECT g AS segment, CAST(o AS BIGINT) AS observed, {rd('e')} AS expected, {rd(chi)} AS chi2, CAST({len(groups) - 1} AS INTEGER) AS df FROM tot",
         s="SELECT segment AS g, time, event FROM surv WHERE segment IN (" + names + ")",
         times="SELECT time, count(*) AS d FROM s WHERE event = 1 GROUP BY time",
-        risk="SELECT q.time, q.d, s.g, count(*) AS r FROM times q JOIN s ON s.time >= q.time GROUP BY 1, 2, 3",
+        risk=f"SELECT q.time, q.d, k.g, count(*) FILTER (s.g = k.g) AS r FROM times q JOIN s ON s.time >= q.time, (VALUES {', '.join(f'({g!r})' for g in groups)}) k(g) GROUP BY 1, 2, 3",
         full_="SELECT time, d, g, r, sum(r) OVER (PARTITION BY time) AS n FROM risk",
-        tot="SELECT g, (SELECT count(*) FROM s WHERE s.g = f.g AND event = 1) AS o, sum(d * r / n) AS e, "
-        "sum(CASE WHEN n > 1 THEN d * (r / n) * (1 - r / n) * (n - d) / (n - 1) END) AS v FROM full_ f GROUP BY g",
+        tot="SELECT g, (SELECT count(*) FROM s WHERE s.g = f.g AND event = 1) AS o, sum(d * r / n ORDER BY time) AS e FROM full_ f GROUP BY g",
+        cov="SELECT a.g, b.g AS h, sum(CASE WHEN a.n > 1 THEN a.d * (a.r / a.n) * (CASE WHEN a.g = b.g THEN 1.0 ELSE 0.0 END - b.r / b.n) * (a.n - a.d) / (a.n - 1) END ORDER BY a.time) AS v "
+        "FROM full_ a JOIN full_ b ON a.time = b.time GROUP BY 1, 2",
     )
 
 
-SQL["H5_logrank"] = _logrank_sql(("BUILDING", "MACHINERY"), True)
-SQL["H5_logrank_many"] = _logrank_sql(SEGMENTS, False)
+SQL["H5_logrank"] = _logrank_sql(("BUILDING", "MACHINERY"))
+SQL["H5_logrank_many"] = _logrank_sql(THREE)

@@ -209,21 +209,23 @@ def person_period(
     """One row per entity and interval at risk, event flagged in its last interval.
 
     Rows multiply by intervals at risk, so choose months or quarters over days. With
-    ``until`` the rows are cut administratively at that time.
+    ``until`` the rows are cut administratively at that time. Negative times count as 0. An
+    entity without a time keeps one row, whose period, exposure and event are null.
     """
-    at_end, had = F.col(time), F.col(event)
+    at_end, had = F.greatest(F.col(time), F.lit(0)), F.col(event)
+    at_end = F.when(F.col(time).isNotNull(), at_end)
     if until is not None:
         had = F.when(at_end <= until, had).otherwise(F.lit(0))
-        at_end = F.least(at_end, F.lit(until))
+        at_end = F.when(at_end.isNotNull(), F.least(at_end, F.lit(until)))
     last = F.floor(at_end / F.lit(float(width))).cast("int")
     # Follow-up ending exactly on a boundary belongs to the interval it closes.
     last = F.when((at_end > 0) & (F.pmod(at_end, F.lit(width)) == 0), last - 1).otherwise(last)
     out = df.withColumns({"_end": at_end, "_had": had, "_last": last})
-    out = out.withColumn("period", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    out = out.withColumn("period", F.explode_outer(F.sequence(F.lit(0), F.col("_last"))))
     return out.select(
         *[F.col(c) for c in df.columns],
         "period",
         (F.col("period") * F.lit(width)).alias("period_start"),
-        (F.least(F.col("_end"), (F.col("period") + 1) * F.lit(width)) - F.col("period") * F.lit(width)).alias("exposure"),
-        F.when(F.col("period") == F.col("_last"), F.col("_had")).otherwise(F.lit(0)).alias("period_event"),
+        F.when(F.col("period").isNotNull(), F.least(F.col("_end"), (F.col("period") + 1) * F.lit(width)) - F.col("period") * F.lit(width)).alias("exposure"),
+        F.when(F.col("period") == F.col("_last"), F.col("_had")).when(F.col("period").isNotNull(), F.lit(0)).alias("period_event"),
     )

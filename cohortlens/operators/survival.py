@@ -30,10 +30,21 @@ def _check_time(df: DataFrame, time: str) -> None:
         raise TypeError(f"{time} must be a whole number of days (or months); round it first")
 
 
+def known(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a value in each of the columns: the only ones the estimators count, at risk or as events."""
+    return df.dropna(subset=list(columns))
+
+
+def left_out(df: DataFrame, time: str = "time", event: str = "event", by: str | Sequence[str] | None = None) -> DataFrame:
+    """Per stratum, rows without a time or an event, which the estimators leave out."""
+    missing = F.col(time).isNull() | F.col(event).isNull()
+    return df.groupBy(*as_list(by)).agg(F.count_if(missing).alias("n_left_out"), F.count(F.lit(1)).alias("n_rows"))
+
+
 def event_table(df: DataFrame, time: str, event: str, by: str | Sequence[str] | None = None) -> DataFrame:
-    """Per stratum and time: events, censorings and the number at risk just before."""
+    """Per stratum and time: events, censorings and the number at risk just before; see ``known``."""
     _check_time(df, time)
-    df, strata, _ = _strata(df, by)
+    df, strata, _ = _strata(known(df, time, event), by)
     counts = df.groupBy(*strata, F.col(time).alias("time")).agg(
         F.count_if(F.col(event) == 1).alias("n_event"), F.count_if(F.col(event) != 1).alias("n_censor")
     )
@@ -120,7 +131,7 @@ def cif(
     all-cause survival, listed or not.
     """
     _check_time(df, time)
-    framed, strata, out = _strata(df, by)
+    framed, strata, out = _strata(known(df, time, cause), by)
     counts = framed.groupBy(*strata, F.col(time).alias("time")).agg(
         F.count(F.lit(1)).alias("n_all"),
         F.count_if(F.col(cause) != 0).alias("n_event"),
@@ -153,8 +164,8 @@ def logrank_table(df: DataFrame, group: str, groups: Sequence[str], time: str =
     at risk need no join.
     """
     _check_time(df, time)
-    known = df.where(F.col(group).isin(list(groups)))
-    per_time = known.groupBy(F.col(time).alias("time")).agg(
+    chosen = known(df, time, event).where(F.col(group).isin(list(groups)))
+    per_time = chosen.groupBy(F.col(time).alias("time")).agg(
         *[F.count_if(F.col(group) == g).alias(f"_n{i}") for i, g in enumerate(groups)],
         *[F.count_if((F.col(group) == g) & (F.col(event) == 1)).alias(f"_d{i}") for i, g in enumerate(groups)],
     ).withColumn("_all", F.lit(0))
