@@ -100,9 +100,9 @@ def competing_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """The survival table with two stand-in risk scores in [0, 1] at four decimals."""
-    low = F.floor((F.lit(600_000.0) - F.col("index_x")) / 600_000.0 * 10_000.0) / 10_000.0
-    bal = F.floor((F.col("balance") + 1000.0) / 11_000.0 * 10_000.0) / 10_000.0
+    """The survival table with two stand-in risk scores, not rounded."""
+    low = (F.lit(600_000.0) - F.col("index_x")) / 600_000.0
+    bal = (F.col("balance") + 1000.0) / 11_000.0
     return survival(spark, d).withColumns({"score": low, "other": bal})
 
 
@@ -148,8 +148,7 @@ CTES = {
     "comp": "SELECT coh.id, segment, site, CAST(date_diff('day', index_t, least(coalesce(fc.t, last_t), last_t)) AS INTEGER) AS time, "
     "CAST(CASE WHEN fc.t <= last_t THEN cause ELSE 0 END AS INTEGER) AS cause "
     "FROM coh JOIN ends USING (id) LEFT JOIN fc USING (id)",
-    "scor": "SELECT *, floor((600000.0::DOUBLE - index_x) / 600000.0::DOUBLE * 10000.0::DOUBLE) / 10000.0::DOUBLE AS score, "
-    "floor((balance + 1000.0::DOUBLE) / 11000.0::DOUBLE * 10000.0::DOUBLE) / 10000.0::DOUBLE AS other FROM surv",
+    "scor": "SELECT *, (600000.0::DOUBLE - index_x) / 600000.0::DOUBLE AS score, (balance + 1000.0::DOUBLE) / 11000.0::DOUBLE AS other FROM surv",
 }
 NEEDS = {
     "gv": ["v"], "ranked": ["v"], "coh": ["ranked", "pat"], "cross_": ["ranked"], "ends": ["v"], "firsts": ["cross_"],

@@ -123,7 +123,9 @@ def _landed(spark, stream, schema):
 
 
 def _stream_dedup(spark, d):
-    kept = arrivals.stream_dedup(_stream(spark, d), ["event_id", "event_type"], "ts", DELAY).select("event_id", "user_id", "event_type", "value")
+    """Events and a replay of all of them: each is kept once."""
+    twice = _stream(spark, d).unionByName(_stream(spark, d))
+    kept = arrivals.stream_dedup(twice, ["event_id", "event_type"], "ts", DELAY).select("event_id", "user_id", "event_type", "value")
     return _landed(spark, kept, "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE")
 
 
@@ -254,9 +256,9 @@ SQL = {
     "N1_stream_dedup": "SELECT DISTINCT event_id, user_id, event_type, value FROM events",
     "N2_stream_score": sql("pat", _SCORE),
     "N2_batch_score": sql("pat", _SCORE),
-    # Due times up to the last watermark: the latest event less the lateness bound.
-    "N3_stream_overdue": f"WITH s AS (SELECT DISTINCT user_id AS id, (epoch_ms(ts) // 3600000 + 1) * 3600000 AS t FROM events) "
-    f"SELECT id, t AS last_ms, t + {DUE_DAYS * 86400000} AS due_ms FROM s WHERE t + {DUE_DAYS * 86400000} < "
-    "(SELECT epoch_ms(max(ts)) - 7200000 FROM events) AND NOT EXISTS (SELECT 1 FROM s n WHERE n.id = s.id AND n.t > s.t "
-    f"AND n.t <= s.t + {DUE_DAYS * 86400000})",
+    # An alert fires once the hour that holds the due time is past the last watermark: the latest event less the lateness bound.
+    "N3_stream_overdue": "WITH e AS (SELECT DISTINCT user_id AS id, epoch_us(ts) // 1000 AS t FROM events), "
+    "n AS (SELECT id, t, lead(t) OVER (PARTITION BY id ORDER BY t) AS following FROM e) "
+    f"SELECT id, t AS last_ms, t + {DUE_DAYS * 86400000} AS due_ms FROM n WHERE ((t + {DUE_DAYS * 86400000}) // 3600000 + 1) * 3600000 "
+    f"<= (SELECT epoch_us(max(ts)) // 1000 - 7200000 FROM events) AND (following IS NULL OR following > t + {DUE_DAYS * 86400000})",
 }

@@ -1,7 +1,7 @@
 """Evaluation of predictions under censoring.
 
-Nothing here pairs rows. Scores are compared at a stated number of decimals, which makes
-them integers with a known span; ranks then come from counts per distinct score.
+Nothing here pairs rows; ranks come from counts per distinct score. Scores are compared
+exactly unless a number of decimals is asked for.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.hashing import SPAN, hash32
 from cohortlens.functions.time import days_between
 from cohortlens.operators.survival import ipcw, km, surv_at
+from cohortlens.plans.ranks import dense_ranks
 from cohortlens.plans.skew import as_list, attach, lookup_join, skew_join
 
 # Distinct scores one window may hold; wider spans are ranked in two levels.
@@ -26,6 +27,25 @@ def score_key(score: str, digits: int) -> Column:
     return F.round(F.col(score).cast("double") * F.lit(10.0**digits)).cast("bigint")
 
 
+def keyed(df: DataFrame, score: str, digits: int | None) -> tuple[DataFrame, int]:
+    """``df`` with ``_s``, by which scores compare, and a bound on its distinct values.
+
+    With ``digits`` the score as a whole number. Otherwise the score itself, or, past
+    ``WINDOW_SPAN`` distinct ones, its rank among them, so that chunks of ranks hold equal
+    numbers of scores however those are spread. Rows without a score are left out.
+    """
+    rows = df.where(F.col(score).isNotNull())
+    if digits is not None:
+        rows = rows.withColumn("_s", score_key(score, digits))
+        limits = rows.agg(F.min("_s").alias("lo"), F.max("_s").alias("hi")).first()
+        return rows, int((limits["hi"] or 0) - (limits["lo"] or 0)) + 1
+    distinct = int(rows.select(score).distinct().count())
+    if distinct <= WINDOW_SPAN:
+        return rows.withColumn("_s", F.col(score)), distinct
+    ranks = dense_ranks(rows, score, "_s")
+    return skew_join(rows, ranks, score), distinct
+
+
 def sum_below(table: DataFrame, parts: Sequence[str], key: str, value: str, span: int, out: str) -> DataFrame:
     """Sum of ``value`` over rows of the same part with a strictly smaller ``key``.
 
@@ -53,7 +73,7 @@ def cindex(
     event: str = "event",
     score: str = "score",
     by: str | Sequence[str] | None = None,
-    digits: int = 4,
+    digits: int | None = None,
 ) -> DataFrame:
     """Concordance index under right censoring; a higher score means earlier failure (K1).
 
@@ -64,12 +84,14 @@ def cindex(
     rows x digits instead of rows squared.
     """
     by = as_list(by)
-    known = df.where(F.col(time).isNotNull() & F.col(event).isNotNull() & F.col(score).isNotNull())
+    known, span = keyed(df.where(F.col(time).isNotNull() & F.col(event).isNotNull()), score, digits)
     code = F.col(time).cast("bigint") * 2 + (1 - F.col(event).cast("bigint"))
-    coded = known.select(*by, code.alias("_code"), score_key(score, digits).alias("_s"))
-    limits = coded.agg(F.max("_code").alias("c"), F.min("_s").alias("lo"), F.max("_s").alias("hi")).first()
-    levels = max(int(limits["c"] or 0).bit_length(), 1)
-    span = int((limits["hi"] or 0) - (limits["lo"] or 0)) + 1
+    coded = known.select(*by, code.alias("_code"), "_s")
+    limits = coded.agg(F.min("_code").alias("lo"), F.max("_code").alias("hi")).first()
+    # From an even number on, so that the last bit still tells events from censorings.
+    least = int(limits["lo"] or 0) // 2 * 2
+    levels = max((int(limits["hi"] or 0) - least).bit_length(), 1)
+    coded = coded.withColumn("_code", F.col("_code") - F.lit(least))
     counted = coded.groupBy(*by, "_code", "_s").agg(F.count(F.lit(1)).alias("_n"))
     spread = counted.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
     bit = F.expr("shiftright(_code, _level) & 1")
@@ -104,7 +126,7 @@ def td_auc(
     event: str = "event",
     score: str = "score",
     by: str | Sequence[str] | None = None,
-    digits: int = 4,
+    digits: int | None = None,
 ) -> DataFrame:
     """Cumulative/dynamic AUROC at a horizon, weighted for censoring (K2).
 
@@ -115,11 +137,8 @@ def td_auc(
     by = as_list(by)
     g = ipcw(df, time, event, by)
     case = (F.col(event) == 1) & (F.col(time) <= horizon)
-    rows = df.where(F.col(score).isNotNull() & (case | (F.col(time) > horizon))).select(
-        *by, time, case.alias("_case"), score_key(score, digits).alias("_s")
-    )
-    limits = rows.agg(F.min("_s").alias("lo"), F.max("_s").alias("hi")).first()
-    span = int((limits["hi"] or 0) - (limits["lo"] or 0)) + 1
+    rows, span = keyed(df.where(F.col(event).isNotNull() & (case | (F.col(time) > horizon))), score, digits)
+    rows = rows.select(*by, time, case.alias("_case"), "_s")
     weighted = lookup_join(rows, g.select(*by, F.col("time").alias(time), "g_before"), [*by, time])
     parts = by or ["_all"]
     if not by:
@@ -138,19 +157,19 @@ def td_auc(
     return out.select(*by, "n_cases", "n_controls", "auc")
 
 
-def risk_bins(df: DataFrame, p: str, bins: int, by: str | Sequence[str] | None = None, digits: int = 4) -> DataFrame:
-    """Bin per distinct rounded prediction, near-equal in rows; equal predictions share a bin."""
-    by = as_list(by)
+def risk_bins(df: DataFrame, p: str, bins: int, by: str | Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
+    """Bin per distinct prediction (``_s``), near-equal in rows; equal predictions share a bin."""
+    return _bins(*keyed(df, p, digits), bins, as_list(by))
+
+
+def _bins(rows: DataFrame, span: int, bins: int, by: list[str]) -> DataFrame:
     parts = by or ["_all"]
-    framed = df if by else df.withColumn("_all", F.lit(0))
-    counts = framed.where(F.col(p).isNotNull()).groupBy(*parts, score_key(p, digits).alias("_s")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    w = Window.partitionBy(*parts)
-    before = F.coalesce(F.sum("_n").over(w.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(w)
-    binned = F.floor(before * F.lit(float(bins)) / total).cast("int") + 1
-    return counts.select(*by, "_s", binned.alias("bin"))
+    framed = rows if by else rows.withColumn("_all", F.lit(0))
+    counts = framed.groupBy(*parts, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.groupBy(*parts).agg(F.sum("_n").alias("_total"))
+    ranked = attach(sum_below(counts, parts, "_s", "_n", span, "_before"), totals, parts, small=False, how="inner")
+    binned = F.floor(F.col("_before") * F.lit(float(bins)) / F.col("_total")).cast("int") + 1
+    return ranked.select(*by, "_s", binned.alias("bin"))
 
 
 def calibration(
@@ -161,12 +180,13 @@ def calibration(
     time: str = "time",
     event: str = "event",
     by: str | Sequence[str] | None = None,
-    digits: int = 4,
+    digits: int | None = None,
 ) -> DataFrame:
     """Mean predicted risk against Kaplan-Meier risk at the horizon, by risk bin (K3)."""
     by = as_list(by)
-    keyed = df.where(F.col(p).isNotNull()).select(*by, time, event, p, score_key(p, digits).alias("_s"))
-    binned = lookup_join(keyed, risk_bins(df, p, bins, by, digits), [*by, "_s"])
+    rows, span = keyed(df, p, digits)
+    rows = rows.select(*by, time, event, p, "_s")
+    binned = lookup_join(rows, _bins(rows, span, bins, by), [*by, "_s"])
     parts = [*by, "bin"]
     predicted = binned.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"))
     observed = surv_at(km(binned, time, event, parts), [horizon], parts)

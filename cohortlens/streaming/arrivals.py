@@ -53,35 +53,41 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class OverdueProcessor(StatefulProcessor):
-    """Per entity: visits whose due time has not passed yet, each with a timer at its due time.
+    """Per entity: the time slots whose last visit's due time has not passed yet, each with its first and last visit.
 
-    When a visit's timer fires, the entity is overdue unless another visit lies between. All
-    such visits are still held then, their own timers being later, so the answer does not
-    depend on how arrivals were cut into batches.
+    A visit is answered if another follows by its due time. Within a slot, which is shorter than
+    the due interval, each visit but the last is answered by the last; the last is, if some later
+    slot's first visit is early enough. A timer fires at the end of the slot that holds the due
+    time, when every slot that could answer has arrived, however arrivals were cut into batches.
     """
 
-    def __init__(self, due_ms: int):
-        self.due_ms = due_ms
+    def __init__(self, due_ms: int, slot_ms: int):
+        self.due_ms, self.slot_ms = due_ms, slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ms = T.StructType([T.StructField("ms", T.LongType())])
+        ms = lambda *names: T.StructType([T.StructField(n, T.LongType()) for n in names])
         self.handle = handle
-        self.visits = handle.getMapState("visits", ms, ms)
+        self.slots = handle.getMapState("slots", ms("last"), ms("first"))
+
+    def _timer(self, last: int) -> int:
+        return ((last + self.due_ms) // self.slot_ms + 1) * self.slot_ms
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            for t in pdf["t_ms"].unique().tolist():
-                self.visits.updateValue((t,), (t,))
-                self.handle.registerTimer(t + self.due_ms)
+            for first, last in zip(pdf["first_ms"].tolist(), pdf["last_ms"].tolist(), strict=True):
+                self.slots.updateValue((last,), (first,))
+                self.handle.registerTimer(self._timer(last))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        visit = due - self.due_ms
-        came = any(visit < later[0] <= due for later in self.visits.keys())
-        self.visits.removeKey((visit,))
-        if not came:
-            yield pd.DataFrame({"id": [key[0]], "last_ms": [visit], "due_ms": [due]})
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        held = [(last[0], first[0]) for last, first in self.slots.iterator()]
+        for last in sorted(last for last, _ in held if self._timer(last) == at):
+            due = last + self.due_ms
+            came = any(last < first <= due for _, first in held)
+            self.slots.removeKey((last,))
+            if not came:
+                yield pd.DataFrame({"id": [key[0]], "last_ms": [last], "due_ms": [due]})
 
     def close(self) -> None:
         pass
@@ -92,33 +98,33 @@ def stream_overdue(
 ) -> DataFrame:
     """One alert per visit that is not followed by another within ``due_days``.
 
-    Alerts fire as the watermark passes the due time, so a stream that stops sending
-    altogether raises none until something arrives. Arrivals are first reduced to one per
-    entity and time slot, in state keyed by both: a busy entity's rows are spread over its
-    slots, and its own state holds at most one entry per slot of the due interval. The
-    slot's end stands for its visits, which moves a due time by less than a slot.
+    ``last_ms`` is the visit, ``due_ms`` when the next was due; both are exact, to the
+    millisecond. Alerts fire as the watermark passes the slot that holds the due time, so a
+    stream that stops sending altogether raises none until something arrives. Visits are first
+    aggregated to the first and last per entity and slot, in state keyed by both: a busy
+    entity's rows are spread over its slots and combined before they are shuffled, and its own
+    state holds at most one entry per slot of the due interval.
 
     Needs the RocksDB state store (``ROCKSDB`` in ``spark.sql.streaming.stateStore.providerClass``).
     """
+    if slot_seconds >= due_days * 86_400:
+        raise ValueError("a slot must be shorter than the due interval")
+    ms = F.unix_millis(t)
     slots = (
         stream.withWatermark(t, delay)
-        .select(F.col(id).alias("id"), F.col(t), slot_end_ms(t, slot_seconds).alias("t_ms"))
-        .dropDuplicatesWithinWatermark(["id", "t_ms"])
+        .groupBy(F.col(id).alias("id"), F.window(t, f"{slot_seconds} seconds").alias("slot"))
+        .agg(F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"))
+        .select("id", "first_ms", "last_ms")
     )
     id_type = stream.schema[id].dataType.simpleString()
     return slots.groupBy("id").transformWithStateInPandas(
-        OverdueProcessor(due_days * 86_400_000),
+        OverdueProcessor(due_days * 86_400_000, slot_seconds * 1000),
         outputStructType=f"id {id_type}, last_ms BIGINT, due_ms BIGINT",
         outputMode="Append",
         timeMode="EventTime",
     )
 
 
-def slot_end_ms(t: str, slot_seconds: int) -> Column:
-    """End of the time slot holding ``t``, in milliseconds since 1970."""
-    return ((F.floor(F.unix_seconds(t) / F.lit(float(slot_seconds))) + 1) * F.lit(slot_seconds * 1000)).cast("bigint")
-
-
 def read_file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 1000) -> DataFrame:
     """A Parquet file stream with an explicit schema, from a folder or a single file.
 

@@ -207,3 +207,41 @@ def test_leakage_report_is_empty_for_a_sound_split(spark):
     df = spark.createDataFrame([(i % 20, i) for i in range(200)], "id INT, v INT")
     assert leakage(split_entity(df, "id", {"a": 0.5, "b": 0.5}), "id", "split").count() == 0
     assert leakage(split_entity(df, "v", {"a": 0.5, "b": 0.5}), "id", "split").count() == 20
+
+
+GAPS = [(1, None, 1), (2, 1, 1), (3, 2, 0), (4, 3, 1), (5, 2, None)]
+
+
+def test_missing_times_and_events_are_left_out(spark):
+    df = spark.createDataFrame([(*r, "a") for r in GAPS], "id INT, time INT, event INT, g STRING")
+    full = df.dropna()
+    for estimate in (survival.km, survival.km_ci, survival.nelson_aalen, survival.ipcw):
+        assert sorted(estimate(df).collect()) == sorted(estimate(full).collect())
+    assert survival.surv_at(survival.km(df), [1]).first().survival == pytest.approx(2 / 3)
+    causes = lambda d: survival.cif(d.withColumnRenamed("event", "cause"), [1])
+    assert sorted(causes(df).collect()) == sorted(causes(full).collect())
+    two = df.unionByName(full.withColumns({"g": F.lit("b"), "time": F.col("time") + 1}))
+    assert sorted(survival.logrank(two, "g", ["a", "b"]).collect()) == sorted(survival.logrank(two.dropna(), "g", ["a", "b"]).collect())
+    assert survival.left_out(df).first().asDict() == {"n_left_out": 2, "n_rows": 5}
+
+
+def test_person_periods_of_odd_times(spark):
+    df = spark.createDataFrame([(1, None, 1), (2, -5, 1), (3, 31, 1), (4, 30, 0)], "id INT, time INT, event INT")
+    got = {(r.id, r.period): (r.exposure, r.period_event) for r in endpoints.person_period(df, "time", "event", 30).collect()}
+    assert got == {(1, None): (None, None), (2, 0): (0, 1), (3, 0): (30, 0), (3, 1): (1, 1), (4, 0): (30, 0)}
+
+
+def test_scores_are_compared_exactly(spark, monkeypatch):
+    rows = [(i, i + 1, 1, (1000 - i) * 1e-6) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id INT, time INT, event INT, score DOUBLE")
+    for span in (1_000_000, 16):  # in one window, and by ranks in chunks
+        monkeypatch.setattr(evaluation, "WINDOW_SPAN", span)
+        assert evaluation.cindex(df).first().c_index == 1.0 and evaluation.td_auc(df, 500).first().auc == pytest.approx(1.0)
+        assert sorted(r.n for r in evaluation.calibration(df, "score", 500, bins=4).collect()) == [250] * 4
+    assert evaluation.cindex(df, digits=4).first().c_index < 0.96
+
+
+def test_concordance_of_negative_times(spark):
+    df = spark.createDataFrame([(-5, 1, 3.0), (2, 1, 2.0), (4, 1, 1.0)], "time INT, event INT, score DOUBLE")
+    r = evaluation.cindex(df).first()
+    assert (int(r.comparable), r.c_index) == (3, 1.0)

@@ -7,6 +7,8 @@ from tests.check_queries import compare, connect
 
 D = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
+#: Queries that find nothing in the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +18,7 @@ def duck():
 
 @pytest.mark.parametrize("name", SQL)
 def test_equals_sql(spark, duck, name):
-    assert compare(QUERIES[name](spark, D), duck, SQL[name]) in ("", "no rows")
+    assert compare(QUERIES[name](spark, D), duck, SQL[name]) in ({"", "no rows"} if name in MAY_BE_EMPTY else {""})
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])

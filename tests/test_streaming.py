@@ -63,10 +63,14 @@ def test_overdue_alerts_do_not_depend_on_files(spark, tmp_path, rocksdb, cut):
     late = files + [[(8, 9, 1000, 0.0)]]
     got = feed(spark, tmp_path / "late", late, lambda s: arrivals.stream_overdue(s, "user_id", "ts", 2, "200 hours"))
     base = int(START.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
-    hours = sorted((r.id, (r.last_ms - base) // 3_600_000) for r in got.collect())
-    assert hours == [(1, 1), (1, 101), (2, 121), (3, 11)]
+    hours = sorted((r.id, (r.last_ms - base) / 3_600_000) for r in got.collect())
+    assert hours == [(1, 0), (1, 100), (2, 120), (3, 10)]
 
 
-def test_slot_end(spark):
-    r = batch(spark, [(1, 1, 5, 0.0)]).select(arrivals.slot_end_ms("ts", 3600).alias("ms"), F.unix_millis("ts").alias("t")).first()
-    assert r.ms - r.t == 3_600_000
+def test_a_gap_a_little_over_due_is_an_alert(spark, tmp_path, rocksdb):
+    """48 hours are due: 48.5 hours are too long and 47.5 are not, wherever in an hour they begin."""
+    rows = [(1, 1, 0.75, 0.0), (2, 1, 49.25, 0.0), (3, 2, 0.25, 0.0), (4, 2, 47.75, 0.0), (5, 2, 48.1, 0.0), (6, 1, 49.5, 0.0), (7, 1, 97.4, 0.0), (8, 2, 96.1, 0.0), (9, 9, 1000, 0.0)]
+    got = feed(spark, tmp_path, [rows[:4], rows[4:]], lambda s: arrivals.stream_overdue(s, "user_id", "ts", 2, "200 hours"))
+    base = int(START.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    found = sorted((r.id, round((r.last_ms - base) / 3_600_000, 2)) for r in got.collect())
+    assert found == [(1, 0.75), (1, 97.4), (2, 96.1)] and all(r.due_ms - r.last_ms == 48 * 3_600_000 for r in got.collect())
