@@ -35,7 +35,6 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: A bucket with more members than this that leaders leave in several components goes on by rare shingles.
 PAIRED = 24
-LEADER_ROUNDS = 2
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -170,31 +169,31 @@ def components(edges: DataFrame) -> DataFrame:
     all of a component point at its root, after about log(nodes) rounds, each written.
     """
     e = materialized(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = materialized(small.where("u <> v").distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node that points somewhere points at one node, which points nowhere."""
+    return e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty() and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 class _Linker:
     """Finds the verified links among candidate nodes; bags are (node, n, bag), written."""
 
     def __init__(self, bags: DataFrame, similarity: float):
         self.bags, self.similarity = bags, similarity
-        self.links = self.tested = self.roots = None
+        self.tested = self.roots = None
 
     def verify(self, pairs: DataFrame) -> None:
-        """Compare pairs (a, b, with na and nb shingles), once each; links join ``links`` and their components ``roots``."""
+        """Compare pairs (a, b, with na and nb shingles), once each, and merge the components that links connect."""
         near = F.least("na", "nb") >= F.lit(self.similarity) * F.greatest("na", "nb")
         pairs = pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tested is not None:
@@ -202,35 +201,43 @@ class _Linker:
         pairs = materialized(pairs)
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         left, right = self.bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), self.bags.select(F.col("node").alias("b"), F.col("bag").alias("y"))
-        found = materialized(pairs.join(left, "a").join(right, "b").withColumn("s", _similar("x", "y")).where(F.col("s") >= self.similarity).select("a", "b"))
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.roots = materialized(components(self.links))
-
-    def rooted(self, members: DataFrame) -> DataFrame:
-        """(bucket, node, n) with the node's root."""
-        return members.join(small_enough(self.roots), "node", "left").withColumn("root", F.coalesce("root", "node")) if self.roots is not None else members.withColumn("root", F.col("node"))
+        links = materialized(pairs.join(left, "a").join(right, "b").withColumn("s", _similar("x", "y")).where(F.col("s") >= self.similarity).select("a", "b"))
+        if links.isEmpty():
+            return
+        if self.roots is None:
+            self.roots = materialized(components(links))
+            return
+        known = small_enough(self.roots)
+        for end in ("a", "b"):  # links between components
+            links = links.join(known.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left")
+        merged = components(links.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+        merged = materialized(merged)
+        moved = self.roots.join(small_enough(merged.select(F.col("node").alias("root"), F.col("root").alias("_to"))), "root", "left")
+        fresh = merged.join(known.select("node"), "node", "left_anti")
+        self.roots = materialized(moved.select("node", F.coalesce("_to", "root").alias("root")).unionByName(fresh))
 
     def open(self, members: DataFrame) -> DataFrame:
         """The members of buckets that still lie in more than one component, with root and size."""
-        rooted = materialized(self.rooted(members))
+        rooted = members.join(small_enough(self.roots), "node", "left") if self.roots is not None else members.withColumn("root", F.lit(None).cast("long"))
+        rooted = materialized(rooted.withColumn("root", F.coalesce("root", "node")))
         sizes = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
         return materialized(rooted.join(sizes.drop("_lo", "_hi"), "bucket"))
 
-    def lead(self, members: DataFrame, salt: int) -> None:
-        """Compare every member of a bucket with one of its members, unless their component is the same."""
-        order = F.struct(F.xxhash64(F.lit(salt), "node"), "node", "n", "root")
+    def led(self, members: DataFrame) -> DataFrame:
+        """Pairs of every member of a bucket with one of its members, unless their component is the same."""
+        order = F.struct(F.xxhash64("node"), "node", "n", "root")
         leaders = members.groupBy("bucket").agg(F.min(order).alias("l")).select("bucket", F.col("l.node").alias("a"), F.col("l.n").alias("na"), F.col("l.root").alias("ra"))
         pairs = members.join(leaders, "bucket").where("root <> ra")
-        self.verify(pairs.select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")))
+        return pairs.select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
 
-    def across(self, members: DataFrame) -> None:
-        """Compare the members of a bucket that are in different components."""
+    def across(self, members: DataFrame) -> DataFrame:
+        """Pairs of the members of a bucket that are in different components."""
         other = members.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
         pairs = members.join(other, "bucket").where("node < b and root <> rb")
-        self.verify(pairs.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb"))
+        return pairs.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb")
 
     def rare(self, nodes: DataFrame) -> DataFrame:
-        """(bucket, node, n): nodes by the rarest of their shingles among them, repeats numbered.
+        """(bucket, node, n, place): nodes by the rarest of their shingles among them, repeats numbered.
 
         Of two bags with similarity t, each shares one of its n - ceil(t n) + 1 rarest items with
         the other's, so no link is lost; shingles that many texts share are seldom among those.
@@ -241,7 +248,21 @@ class _Linker:
         shared = flat.join(often, "item", "left").withColumn("df", F.coalesce("df", F.lit(1)))
         place = F.row_number().over(Window.partitionBy("node").orderBy("df", "item"))  # one text's shingles
         prefix = F.col("n") - F.ceil(F.lit(self.similarity) * F.col("n") - 1e-9) + 1
-        return materialized(shared.withColumn("_place", place).where((F.col("_place") <= prefix) & (F.col("df") > 1)).select(F.col("item").alias("bucket"), "node", "n"))
+        return materialized(shared.withColumn("place", place).where((F.col("place") <= prefix) & (F.col("df") > 1)).select(F.col("item").alias("bucket"), "node", "n", "place"))
+
+    def placed(self, members: DataFrame) -> DataFrame:
+        """``across`` for the buckets of ``rare``, without pairs that cannot be links for where they meet.
+
+        What two bags share is at most one item here and the rest of the shorter side after it.
+        For the smaller of two bags that leaves about half of its prefix.
+        """
+        t = self.similarity
+        mine = members.where(F.col("place") <= F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9) + 1)
+        other = members.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("place").alias("pb"))
+        order = "(n < nb or (n = nb and node < b)) and root <> rb"
+        enough = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) >= F.lit(t / (1 + t)) * (F.col("n") + F.col("nb")) - 1e-9
+        pairs = mine.join(other, "bucket").where(F.expr(order) & (F.col("n") >= F.lit(t) * F.col("nb") - 1e-9) & enough)
+        return pairs.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb")
 
 
 def near_duplicates(
@@ -272,17 +293,19 @@ def near_duplicates(
         texts = docs.select("_path", "_row", F.col(f"`{text}`").alias("_text"))
         bags = materialized(texts.join(small_enough(wanted), ["_path", "_row"]).select("node", "n", _bag(F.col("_text"), size).alias("bag")))
         linker = _Linker(bags, similarity)
+        linker.verify(linker.led(linker.open(members)))
         left = linker.open(members)
-        for salt in range(LEADER_ROUNDS):
-            linker.lead(left, salt)
-            left = linker.open(left.select("bucket", "node", "n"))
-        large = left.where(F.col("size") > paired).select("node").distinct()
-        linker.across(left.where(F.col("size") <= paired))
-        if not large.isEmpty():
-            rare = linker.open(linker.rare(materialized(large)))
-            linker.lead(rare, LEADER_ROUNDS)
-            linker.across(linker.open(rare.select("bucket", "node", "n")))
-        classes = copies.join(small_enough(linker.roots.withColumnRenamed("node", "rep")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        large = materialized(left.where(F.col("size") > paired).select("node").distinct())
+        pairs = linker.across(left.where(F.col("size") <= paired))
+        if large.isEmpty():
+            linker.verify(pairs)
+        else:
+            rare = linker.rare(large)
+            linker.verify(pairs.unionByName(linker.led(linker.open(rare))))
+            linker.verify(linker.placed(linker.open(rare)))
+        classes = copies.withColumn("root", F.col("rep"))
+        if linker.roots is not None:
+            classes = copies.join(small_enough(linker.roots.withColumnRenamed("node", "rep")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     whole = classes.groupBy("root").agg(F.min("first").alias("_first"), F.sum("copies").alias("class_size"))
     known = classes.select("copy", "root").join(whole, "root")
     kept = (F.col("path") == F.col("_first.path")) & (F.col("row") == F.col("_first.row"))
