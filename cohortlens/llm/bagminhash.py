@@ -125,6 +125,19 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(1, len(a) + len(b) - common)
 
 
+def portions(texts: pa.Array, limit: int = 1 << 19) -> Iterator[list[bytes]]:
+    """The texts of a batch, some ``limit`` bytes at a time, so that what is made of them stays small."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t.as_py())
+        held += len(part[-1])
+        if held >= limit:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def _signed(text: Column, size: int, bands: int, rows: int) -> Column:
     """struct(copy, n, bands) of a text's bytes: a digest of its words, the number of shingles, the band keys."""
     kind = pa.struct([("copy", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
@@ -132,12 +145,14 @@ def _signed(text: Column, size: int, bands: int, rows: int) -> Column:
     @F.arrow_udf("copy binary, n int, bands array<long>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            split = [t.split() for t in texts.to_pylist()]
-            bags = [shingles(w, size) for w in split]
-            keys = bands_of(signatures(bags, bands * rows), bands)
-            copies = [blake2b(b" ".join(w), digest_size=16).digest() for w in split]
-            lists = [k.tolist() if len(b) else [] for k, b in zip(keys, bags, strict=True)]
-            yield pa.array([{"copy": c, "n": len(b), "bands": k} for c, b, k in zip(copies, bags, lists, strict=True)], kind)
+            found = []
+            for part in portions(texts):
+                split = [t.split() for t in part]
+                bags = [shingles(w, size) for w in split]
+                keys = bands_of(signatures(bags, bands * rows), bands)
+                copies = [blake2b(b" ".join(w), digest_size=16).digest() for w in split]
+                found += [{"copy": c, "n": len(b), "bands": k.tolist() if len(b) else []} for c, b, k in zip(copies, bags, keys, strict=True)]
+            yield pa.array(found, kind)
 
     return sign(F.coalesce(text, F.lit("")).cast("binary"))
 
