@@ -13,6 +13,7 @@ from cohortlens.operators.scoring import risk_tier
 from cohortlens.session import materialized
 
 HORIZON = 1826
+HORIZONS = (730, 1461, 1826)
 CUTS = (0.2, 0.4, 0.6, 0.8)
 PLAN = {"Low": 730, "Moderate": 365, "High": 180}
 TIERS = (0.3, 0.7)
@@ -102,7 +103,9 @@ QUERIES = {
     "K1_cindex": _cindex,
     "K2_td_auc": _auc(None),
     "K2_td_auc_by_site": _auc("site"),
+    "K2_td_auc_horizons": lambda s, d: r6(ev.td_auc(_predictions(s, d), HORIZONS)),
     "K3_calibration": _calibration,
+    "K3_calibration_horizons": lambda s, d: r6(ev.calibration(_predictions(s, d), "score", HORIZONS, bins=5)),
     "K4_decision_table": _decision,
     "K5_decision_by_subgroups": _subgroups,
     "K5_cindex_by_subgroup": _cindex_by,
@@ -146,7 +149,7 @@ _SETS = (
 )
 
 
-def _auc_sql(by: str, on: str) -> str:
+def _auc_sql(by: str, on: str, horizon: int = HORIZON) -> str:
     life = life_table(by)
     return sql(
         "scor",
@@ -158,9 +161,20 @@ def _auc_sql(by: str, on: str) -> str:
         lt=life["lt"],
         stay="SELECT g, time, CASE WHEN n > d THEN 1.0 - c / (n - d) ELSE 1.0 END AS stay FROM lt",
         gb="SELECT a.g, a.time, coalesce(product(b.stay ORDER BY b.time) FILTER (b.time < a.time), 1.0) AS before FROM stay a JOIN stay b ON b.g = a.g AND b.time <= a.time GROUP BY a.g, a.time",
-        gh=f"SELECT g, product(stay ORDER BY time) FILTER (time <= {HORIZON}) AS g_h FROM stay GROUP BY g",
-        ca=f"SELECT id, s.g, score, 1.0 / before AS w FROM (SELECT *, {by} AS g FROM scor) s JOIN gb ON gb.g = s.g AND gb.time = s.time WHERE event = 1 AND s.time <= {HORIZON}",
-        co=f"SELECT id, s.g, score, 1.0 / g_h AS w FROM (SELECT *, {by} AS g FROM scor) s JOIN gh ON gh.g = s.g WHERE time > {HORIZON}",
+        gh=f"SELECT g, product(stay ORDER BY time) FILTER (time <= {horizon}) AS g_h FROM stay GROUP BY g",
+        ca=f"SELECT id, s.g, score, 1.0 / before AS w FROM (SELECT *, {by} AS g FROM scor) s JOIN gb ON gb.g = s.g AND gb.time = s.time WHERE event = 1 AND s.time <= {horizon}",
+        co=f"SELECT id, s.g, score, 1.0 / g_h AS w FROM (SELECT *, {by} AS g FROM scor) s JOIN gh ON gh.g = s.g WHERE time > {horizon}",
+    )
+
+
+def _calibration_sql(horizon: int) -> str:
+    observed = f"1.0 - coalesce((SELECT k.s FROM kmc k WHERE k.g = b.g AND k.time <= {horizon} ORDER BY k.time DESC LIMIT 1), 1.0)"
+    return sql(
+        "scor",
+        f"SELECT CAST(b.g AS INTEGER) AS bin, n, {rd('predicted')} AS predicted, {rd(observed)} AS observed "
+        "FROM (SELECT bin AS g, count(*) AS n, avg(score ORDER BY id) AS predicted FROM binned GROUP BY bin) b",
+        binned="SELECT *, floor(5 * (rank() OVER (ORDER BY score) - 1) / count(*) OVER ()) + 1 AS bin FROM scor",
+        **life_table("bin", "binned"),
     )
 
 
@@ -175,13 +189,9 @@ SQL = {
     "K1_cindex": sql("scor", _pair_sql("1 AS one").replace("SELECT 1 AS one, ", "SELECT ")),
     "K2_td_auc": _auc_sql("0", ""),
     "K2_td_auc_by_site": _auc_sql("site", "site"),
-    "K3_calibration": sql(
-        "scor",
-        f"SELECT CAST(b.g AS INTEGER) AS bin, n, {rd('predicted')} AS predicted, {rd(f'1.0 - coalesce((SELECT k.s FROM kmc k WHERE k.g = b.g AND k.time <= {HORIZON} ORDER BY k.time DESC LIMIT 1), 1.0)')} AS observed "
-        "FROM (SELECT bin AS g, count(*) AS n, avg(score ORDER BY id) AS predicted FROM binned GROUP BY bin) b",
-        binned="SELECT *, floor(5 * (rank() OVER (ORDER BY score) - 1) / count(*) OVER ()) + 1 AS bin FROM scor",
-        **life_table("bin", "binned"),
-    ),
+    "K2_td_auc_horizons": " UNION ALL ".join(f"(SELECT CAST({h} AS INTEGER) AS horizon, * FROM ({_auc_sql('0', '', h)}))" for h in HORIZONS),
+    "K3_calibration": _calibration_sql(HORIZON),
+    "K3_calibration_horizons": " UNION ALL ".join(f"(SELECT CAST({h} AS INTEGER) AS horizon, * FROM ({_calibration_sql(h)}))" for h in HORIZONS),
     "K4_decision_table": sql("scor", f"SELECT cut, {_RATES} FROM c", lab=_LAB, c=_counts_sql("")),
     "K5_decision_by_subgroups": sql("scor", f"SELECT subgroup, level, cut, {_RATES} FROM c", lab=_LAB, c=_SETS),
     "K5_cindex_by_subgroup": sql(

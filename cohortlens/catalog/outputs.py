@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortlens.catalog import base
 from cohortlens.catalog.base import day, r6, rd, sql
 from cohortlens.catalog.labels import hashed
-from cohortlens.operators import privacy, scorecard, scoring
+from cohortlens.operators import privacy, records, scorecard, scoring
 from cohortlens.plans.skew import skew_join
 from cohortlens.session import shared_dir
 from cohortlens.sources import TABLE_SCHEMAS, load
@@ -18,6 +18,10 @@ from cohortlens.streaming import arrivals
 
 PLAN = {"Low": 730, "Moderate": 365, "High": 180}
 TIERS = (0.3, 0.7)
+HORIZONS = (1826, 2922, 3652)
+RECORD_TIERS = (0.4, 0.55)
+RECORD_COEF = {"index_x": 0.000002, "balance": -0.0001, "n_visits": 0.05}
+RECORD_MEANS = {"index_x": 250_000.0, "balance": 4_500.0, "n_visits": 10.0}
 CRITERIA = dict(zip(("view", "click", "signup", "purchase", "error"), scorecard.CRITERION_WEIGHTS))
 COEF = {"value": 0.01, "balance": -0.0001}
 INTERCEPT = -0.5
@@ -45,6 +49,27 @@ def _next(spark, d):
     return r6(scoring.next_visit(_tiered(spark, d).select("id", "tier").join(last, "id"), "tier", PLAN, "last_t"))
 
 
+def _record(spark, d):
+    """The whole prediction record of every customer, flattened for comparison."""
+    pred = base.cohort(spark, d).withColumn("scale", F.lit(1000.0) + F.col("index_x") / 100.0)
+    rows = records.prediction_record(pred, "id", "scale", 1.5, HORIZONS, RECORD_TIERS, PLAN, RECORD_COEF, RECORD_MEANS)
+    top = lambda i: [F.get("top", F.lit(i))[c].alias(f"{c}{i + 1}") for c in ("feature", "contribution")]
+    return r6(rows.select("id", *[F.col("risk")[i]["prob"].alias(f"p{h}") for i, h in enumerate(HORIZONS)], "tier", *top(0), *top(1), *top(2), "next_days"))
+
+
+def _record_sql():
+    p = lambda h: f"1.0 - exp(-pow({h}.0::DOUBLE / (1000.0::DOUBLE + index_x / 100.0::DOUBLE), 1.5::DOUBLE))"
+    tier = f"CASE WHEN {p(HORIZONS[0])} < {RECORD_TIERS[0]} THEN 'Low' WHEN {p(HORIZONS[0])} < {RECORD_TIERS[1]} THEN 'Moderate' ELSE 'High' END"
+    terms = " UNION ALL ".join(f"SELECT id, '{c}' AS feature, ({b!r}::DOUBLE) * (CAST({c} AS DOUBLE) - {RECORD_MEANS[c]!r}::DOUBLE) AS v FROM coh" for c, b in RECORD_COEF.items())
+    tops = ", ".join(f"max(feature) FILTER (k = {i}) AS feature{i}, {rd(f'max(v) FILTER (k = {i})')} AS contribution{i}" for i in (1, 2, 3))
+    return sql(
+        "coh",
+        f"SELECT id, {', '.join(f'{rd(p(h))} AS p{h}' for h in HORIZONS)}, {tier} AS tier, t.* EXCLUDE (id), "
+        f"CAST(CASE {tier} {' '.join(f'WHEN {k!r} THEN {v}' for k, v in PLAN.items())} END AS INTEGER) AS next_days FROM coh JOIN t USING (id)",
+        t=f"SELECT id, {tops} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(v) DESC, feature) AS k FROM ({terms})) GROUP BY id",
+    )
+
+
 def _list(spark, d):
     rows = _tiered(spark, d).select("id", "site", "score", "tier")
     return scoring.flag_list(rows, F.col("tier") == "High", [F.desc("score"), F.col("id")], 5, "site")
@@ -159,6 +184,7 @@ QUERIES = {
     "J1_risk_table": _risk,
     "J2_risk_tier": _tier,
     "J3_next_visit": _next,
+    "J1_prediction_record": _record,
     "J4_flag_list_by_site": _list,
     "J4_flag_list": _list_all,
     "J5_reliability": _reliability,
@@ -253,6 +279,7 @@ SQL = {
         "FROM cards WHERE is_valid = 1",
         **_CARDS,
     ),
+    "J1_prediction_record": _record_sql(),
     "N1_stream_dedup": "SELECT DISTINCT event_id, user_id, event_type, value FROM events",
     "N2_stream_score": sql("pat", _SCORE),
     "N2_batch_score": sql("pat", _SCORE),

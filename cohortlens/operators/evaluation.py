@@ -121,7 +121,7 @@ def cindex(
 
 def td_auc(
     df: DataFrame,
-    horizon: int,
+    horizon: int | Sequence[int],
     time: str = "time",
     event: str = "event",
     score: str = "score",
@@ -132,17 +132,19 @@ def td_auc(
 
     Cases had the event by the horizon and weigh 1/G just before their time; controls were
     followed past it and share one weight, which cancels. Rows censored earlier enter only
-    through G.
+    through G. Several horizons take one pass and give a row each, with a column ``horizon``.
     """
-    by = as_list(by)
+    by, many = as_list(by), not isinstance(horizon, int)
     g = ipcw(df, time, event, by)
-    case = (F.col(event) == 1) & (F.col(time) <= horizon)
-    rows, span = keyed(df.where(F.col(event).isNotNull() & (case | (F.col(time) > horizon))), score, digits)
-    rows = rows.select(*by, time, case.alias("_case"), "_s")
+    framed = df.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in horizon]))) if many else df
+    until, parts = (F.col("horizon"), [*by, "horizon"]) if many else (F.lit(horizon), by)
+    case = (F.col(event) == 1) & (F.col(time) <= until)
+    rows, span = keyed(framed.where(F.col(event).isNotNull() & (case | (F.col(time) > until))), score, digits)
+    rows = rows.select(*parts, time, case.alias("_case"), "_s")
     weighted = lookup_join(rows, g.select(*by, F.col("time").alias(time), "g_before"), [*by, time])
-    parts = by or ["_all"]
-    if not by:
-        weighted = weighted.withColumn("_all", F.lit(0))
+    out = parts
+    if not parts:
+        weighted, parts = weighted.withColumn("_all", F.lit(0)), ["_all"]
     per_score = weighted.groupBy(*parts, "_s").agg(
         F.sum(F.when(F.col("_case"), F.try_divide(F.lit(1.0), F.col("g_before"))).otherwise(F.lit(0.0))).alias("_w"),
         F.count_if("_case").alias("_nc"),
@@ -150,11 +152,11 @@ def td_auc(
     )
     ranked = sum_below(per_score, parts, "_s", "_n0", span, "_below")
     won = F.sum(F.col("_w") * (F.col("_below") + F.col("_n0") / F.lit(2.0)))
-    out = ranked.groupBy(*parts).agg(
+    auc = ranked.groupBy(*parts).agg(
         F.sum("_nc").alias("n_cases"), F.sum("_n0").alias("n_controls"),
         F.try_divide(won, F.sum("_w") * F.sum("_n0").cast("double")).alias("auc"),
     )
-    return out.select(*by, "n_cases", "n_controls", "auc")
+    return auc.select(*out, "n_cases", "n_controls", "auc")
 
 
 def risk_bins(df: DataFrame, p: str, bins: int, by: str | Sequence[str] | None = None, digits: int | None = None) -> DataFrame:
@@ -175,23 +177,27 @@ def _bins(rows: DataFrame, span: int, bins: int, by: list[str]) -> DataFrame:
 def calibration(
     df: DataFrame,
     p: str,
-    horizon: int,
+    horizon: int | Sequence[int],
     bins: int = 10,
     time: str = "time",
     event: str = "event",
     by: str | Sequence[str] | None = None,
     digits: int | None = None,
 ) -> DataFrame:
-    """Mean predicted risk against Kaplan-Meier risk at the horizon, by risk bin (K3)."""
+    """Mean predicted risk against Kaplan-Meier risk at the horizon, by risk bin (K3).
+
+    Several horizons share the bins and the curves and give a row each, with a column ``horizon``.
+    """
+    many = not isinstance(horizon, int)
     by = as_list(by)
     rows, span = keyed(df, p, digits)
     rows = rows.select(*by, time, event, p, "_s")
     binned = lookup_join(rows, _bins(rows, span, bins, by), [*by, "_s"])
     parts = [*by, "bin"]
     predicted = binned.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("predicted"))
-    observed = surv_at(km(binned, time, event, parts), [horizon], parts)
+    observed = surv_at(km(binned, time, event, parts), list(horizon) if many else [horizon], parts)
     out = attach(predicted, observed, parts, small=False, how="inner")
-    return out.select(*parts, "n", "predicted", (F.lit(1.0) - F.col("survival")).alias("observed"))
+    return out.select(*parts, *(["horizon"] if many else []), "n", "predicted", (F.lit(1.0) - F.col("survival")).alias("observed"))
 
 
 def _decisions(counts: DataFrame, parts: Sequence[str], cuts: Sequence[float], cost_fn: float, cost_fp: float):
