@@ -139,7 +139,11 @@ def competing(
 
 
 def horizon_value(time: Column, event: Column, horizon: Column | int) -> Column:
-    """1 if the event came by the horizon, 0 if followed past it, null if censored before it."""
+    """1 if the event came by the horizon, 0 if followed up to it or past it, null if censored before it.
+
+    Time-dependent AUROC differs on purpose: its controls are those followed past the horizon,
+    because the weight of a control is the censoring survival at the horizon itself.
+    """
     h = F.lit(horizon) if isinstance(horizon, int) else horizon
     return F.when((event == 1) & (time <= h), F.lit(1)).when(time >= h, F.lit(0))
 
@@ -167,8 +171,12 @@ def endpoints(
 
 
 def label_counts(a: DataFrame, b: DataFrame, id: str, label_a: str, label_b: str) -> DataFrame:
-    """Confusion counts between two label sets of the same entities."""
-    pairs = a.select(id, F.col(label_a).alias("a")).join(b.select(id, F.col(label_b).alias("b")), id)
+    """Confusion counts between two label sets of the same entities, each entity once.
+
+    Of several labels of an entity in one set the greatest counts.
+    """
+    once = lambda df, label, out: df.groupBy(id).agg(F.max(label).alias(out))
+    pairs = once(a, label_a, "a").join(once(b, label_b, "b"), id)
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -168,8 +168,12 @@ def _bins(rows: DataFrame, span: int, bins: int, by: list[str]) -> DataFrame:
     parts = by or ["_all"]
     framed = rows if by else rows.withColumn("_all", F.lit(0))
     counts = framed.groupBy(*parts, "_s").agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.groupBy(*parts).agg(F.sum("_n").alias("_total"))
-    ranked = attach(sum_below(counts, parts, "_s", "_n", span, "_before"), totals, parts, small=False, how="inner")
+    ranked = sum_below(counts, parts, "_s", "_n", span, "_before")
+    if by:
+        totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+        ranked = attach(ranked, totals, by, small=False, how="inner")
+    else:  # one number; joining it would be a join without a key
+        ranked = ranked.withColumn("_total", F.lit(int(counts.agg(F.sum("_n")).first()[0] or 0)))
     binned = F.floor(F.col("_before") * F.lit(float(bins)) / F.col("_total")).cast("int") + 1
     return ranked.select(*by, "_s", binned.alias("bin"))
 

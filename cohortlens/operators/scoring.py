@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from cohortlens.plans.skew import as_list, lookup_join
 
+# The largest limit for which Spark filters on a rank before the shuffle, by default.
+PRUNED = 1000
+
 
 def weibull_cdf(scale: Column, shape: Column, t: Column) -> Column:
     """Probability of the event by ``t``."""
@@ -55,17 +58,23 @@ def next_visit(df: DataFrame, tier: str, plan: DataFrame | Mapping[str, int], la
 
 
 def flag_list(
-    df: DataFrame, rule: Column, rank_by: Sequence[Column], k: int, by: str | Sequence[str] | None = None
+    df: DataFrame, rule: Column, rank_by: Sequence[Column], k: int, by: str | Sequence[str] | None = None, parts: int = 64
 ) -> DataFrame:
     """The ``k`` highest-ranked flagged rows, overall or per site.
 
-    The per-site filter on ``row_number`` is applied inside each map task before the
-    shuffle, so a dominant site sends ``k`` rows per task, not all of its own.
+    Up to ``PRUNED`` rows a site, Spark applies the filter on ``row_number`` inside each map
+    task, so a dominant site sends ``k`` rows per task, not all of its own. For a larger ``k``
+    it does not; rows are then ranked within ``parts`` parts of each site first, and only the
+    ``k`` first of each part meet in the site's own window.
     """
     flagged = df.where(rule)
     by = as_list(by)
     if not by:
         return flagged.orderBy(*rank_by).limit(k)
+    if k > PRUNED:
+        part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in flagged.columns]), F.lit(parts))
+        within = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*rank_by))
+        flagged = flagged.withColumn("_part", part).withColumn("_rank", within).where(F.col("_rank") <= k).drop("_part", "_rank")
     w = Window.partitionBy(*by).orderBy(*rank_by)
     return flagged.withColumn("list_rank", F.row_number().over(w)).where(F.col("list_rank") <= k)
 

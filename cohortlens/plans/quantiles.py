@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.plans.sizes import input_bytes, pin
+from cohortlens.plans.sizes import few_rows, pin
 from cohortlens.plans.skew import GROUP_ROWS, PROBE_BYTES, attach
 
 BINS = 4096
@@ -29,8 +29,7 @@ def exact_quantile(
     group = list(by) or ["_all"]
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
-    size = input_bytes(df)
-    if group_rows is None and size is not None and size < PROBE_BYTES:
+    if group_rows is None and few_rows(df, GROUP_ROWS, PROBE_BYTES):
         counted = rows.groupBy(*group, "_x").agg(F.count(F.lit(1)).alias("_n"))
         counted = counted.withColumns(
             {"_total": F.sum("_n").over(Window.partitionBy(*group)), "_skipped": F.lit(0).cast("bigint")}

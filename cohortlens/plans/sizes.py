@@ -11,6 +11,8 @@ from cohortlens.session import materialized
 BROADCAST_BYTES = 10 * 1024 * 1024
 # The most rows a table may have, once counted, to be held by the driver and broadcast.
 LOOKUP_ROWS = 100_000
+# The most bytes those rows may take.
+LOOKUP_BYTES = 64 * 1024 * 1024
 
 
 def plan_bytes(df: DataFrame) -> int | None:
@@ -37,19 +39,40 @@ def input_bytes(df: DataFrame) -> int | None:
     return min(int(plan.stats().sizeInBytes()), total)
 
 
+def input_rows(df: DataFrame) -> int | None:
+    """Rows in the Parquet files that a plan reads, from their footers; None if it reads anything else."""
+    files = df.inputFiles()
+    if not files or not all(f.endswith(".parquet") for f in files):
+        return None
+    return df.sparkSession.read.parquet(*files).count()
+
+
+def few_rows(df: DataFrame, limit: int, probe_bytes: int) -> bool:
+    """Whether a plan's inputs hold at most ``limit`` rows: small inputs only are counted.
+
+    Bytes alone do not tell, because sorted or repeated values compress to almost nothing.
+    """
+    size = input_bytes(df)
+    if size is None or size >= probe_bytes:
+        return False
+    rows = input_rows(df)
+    return rows is None or rows <= limit
+
+
 def _optimized(df: DataFrame):
     jdf = getattr(df, "_jdf", None)
     return None if jdf is None else jdf.queryExecution().optimizedPlan()
 
 
 def bounded_rows(df: DataFrame, max_rows: int | None = None) -> DataFrame | None:
-    """``df`` as driver-held rows if it has at most ``max_rows``, else None.
+    """``df`` as driver-held rows if it has at most ``max_rows`` of at most ``LOOKUP_BYTES``, else None.
 
-    The limit stops the job early, so an oversized table costs no more than the check.
+    Over a scan or a filter the limit stops the job early; over an aggregate or a window the
+    shuffle before it runs in full.
     """
     max_rows = LOOKUP_ROWS if max_rows is None else max_rows
     rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    if rows.num_rows > max_rows or rows.nbytes > LOOKUP_BYTES:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
 

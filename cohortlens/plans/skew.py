@@ -17,12 +17,12 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.plans.sizes import BROADCAST_BYTES, input_bytes, pin, plan_bytes, small_broadcast
+from cohortlens.plans.sizes import BROADCAST_BYTES, few_rows, pin, plan_bytes, small_broadcast
 from cohortlens.session import splits_skewed_joins
 
 # Rows of one key that one task may hold.
 GROUP_ROWS = 2_000_000
-# Below this much input no key can be too big, so none are looked for.
+# Inputs below this size have their rows counted from footers; with few of them no key can be too big.
 PROBE_BYTES = 64 * 1024 * 1024
 
 KEY_ROWS = "_key_rows"
@@ -44,8 +44,7 @@ def hot_keys(df: DataFrame, keys: str | Sequence[str], group_rows: int | None =
     ``group_rows`` forces the count even on small inputs.
     """
     if group_rows is None:
-        size = input_bytes(df)
-        if size is not None and size < PROBE_BYTES:
+        if few_rows(df, GROUP_ROWS, PROBE_BYTES):
             return None
         group_rows = GROUP_ROWS
     keys = as_list(keys)

@@ -11,9 +11,10 @@ from cohortlens.plans.skew import lookup_join
 def harmonize_codes(df: DataFrame, mapping: DataFrame, code: str, canonical: str = "canonical") -> DataFrame:
     """Add ``canonical`` for each code, plus an ``is_mapped`` flag; unmapped codes stay as they are.
 
-    ``mapping`` holds one row per code, in columns ``code`` and ``canonical``.
+    ``mapping`` has columns ``code`` and ``canonical``; of several rows for a code the least
+    canonical code counts, so that no row of ``df`` is doubled.
     """
-    table = mapping.select(F.col(code), F.col(canonical).alias("_canonical"))
+    table = mapping.groupBy(code).agg(F.min(canonical).alias("_canonical"))
     out = lookup_join(df, table, code)
     return out.select(
         *[F.col(c) for c in df.columns],

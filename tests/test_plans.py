@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from cohortlens import sources
 from cohortlens.catalog import base
-from cohortlens.operators import cleaning, splits, temporal
+from cohortlens.operators import cleaning, endpoints, scoring, splits, temporal
 from cohortlens.operators.evaluation import decision_table
 from cohortlens.plans import sizes
 from cohortlens.plans.flows import time_to_crossing
 from cohortlens.plans.skew import lookup_join, skew_join
+from cohortlens.sources.codes import harmonize_codes
 from cohortlens.session import materialized
 
 D = "/root/testdata/sf0.001"
@@ -118,3 +119,27 @@ SLOW = ("I", "N", "E9", "flow")
 def test_no_query_pairs_rows_without_a_key(spark, name):
     text = plan(entry.queries()[name](spark, D))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_small_files_with_many_rows_are_probed(spark, tmp_path):
+    """A column of one value compresses to nothing; its rows still count."""
+    spark.range(50_000).select((F.col("id") * 0).alias("id")).coalesce(1).write.parquet(f"{tmp_path}/a")
+    df = spark.read.parquet(f"{tmp_path}/a")
+    assert sizes.input_bytes(df) < 10_000 and sizes.input_rows(df) == 50_000
+    assert sizes.few_rows(df, 50_000, 1 << 20) and not sizes.few_rows(df, 49_999, 1 << 20)
+
+
+def test_a_long_list_is_pruned_in_two_steps(spark):
+    df = spark.range(9000).select((F.col("id") % 3).alias("site"), F.xxhash64("id").alias("score"), "id")
+    got = scoring.flag_list(df, F.lit(True), [F.desc("score")], 2000, "site").collect()
+    want = scoring.flag_list(df, F.lit(True), [F.desc("score")], 900, "site").collect()
+    best = {s: [r.id for r in sorted(got, key=lambda r: r.list_rank) if r.site == s] for s in range(3)}
+    assert all(len(v) == 2000 for v in best.values()) and all(best[r.site][r.list_rank - 1] == r.id for r in want)
+
+
+def test_repeated_labels_and_codes_do_not_pair_up(spark):
+    a = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 0)], "id INT, y INT")
+    assert sorted(tuple(r) for r in endpoints.label_counts(a, a, "id", "y", "y").collect()) == [(0, 0, 1), (1, 1, 1)]
+    codes = spark.createDataFrame([("a", "X"), ("a", "Y")], "code STRING, canonical STRING")
+    rows = spark.createDataFrame([("a",), ("b",)], "code STRING")
+    assert sorted(r.canonical for r in harmonize_codes(rows, codes, "code").collect()) == ["X", "b"]
