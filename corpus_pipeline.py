@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import bagminhash, bpe, exact, language, mixing
-from cohortlens.llm.rows import small_batches, small_enough
+from cohortlens.llm.rows import free_name, small_batches, small_enough
 from cohortlens.session import materialized, shared_dir
 
 #: Language ID rejects texts in no language, and those whose best language is less likely than this.
@@ -23,8 +23,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told; those without letters or below ``LEAST_SCORE`` go."""
     small_batches(spark)
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
-    found = docs.select("*", language.language(model, docs, F.col("text")).alias("_found"))
-    return found.where((F.col("_found.lang") != language.UNKNOWN) & (F.col("_found.score") >= LEAST_SCORE)).drop("_found")
+    name = free_name(docs, "found")
+    found = docs.withColumn(name, language.language(model, docs, F.col("text")))
+    return found.where((F.col(f"{name}.lang") != language.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE)).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +43,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     placed = exact.located(docs)
-    taken = materialized(mixing.mixed(placed, keep=["_path", "_row"]).where("copies > 0").select("_path", "_row", F.col("copies").alias("_copies")))
-    out = placed.join(small_enough(taken), ["_path", "_row"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    often, copy = free_name(docs, "often"), free_name(docs, "copy")
+    taken = materialized(mixing.mixed(placed, keep=["_path", "_row"]).where("copies > 0").select("_path", "_row", F.col("copies").alias(often)))
+    out = placed.join(small_enough(taken), ["_path", "_row"]).withColumn(copy, F.explode(F.sequence(F.lit(1), often)))
+    return out.drop("_path", "_row", often, copy)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

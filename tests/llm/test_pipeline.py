@@ -1,6 +1,7 @@
 """Every stage on its own input, by brute force, and the whole run."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortlens.llm import language
@@ -62,7 +63,8 @@ def test_run(spark, stages):
 
 
 def test_empty_and_odd(spark):
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "the end of it all", "en", "a", 9)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "the end of it all", "en", "a", 9)] * 2, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(1) for c in ("found", "often", "copy", "id", "path", "node", "kept", "digest")})
     for df in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            assert stage(spark, df, D).count() <= 2 * max(1, df.count())
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, D)
+            assert out.count() <= 2 * max(1, df.count()) and (name == "byte_bpe" or out.columns == df.columns)
