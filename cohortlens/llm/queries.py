@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import bagminhash, bpe, exact, language, mixing, quality_rules, shards, site_quality, urls, warc
-from cohortlens.llm.rows import small_batches
-from cohortlens.session import shared_dir
+from cohortlens.llm.rows import about, small_batches
+from cohortlens.session import materialized, shared_dir
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -70,14 +70,15 @@ SELECT page_id, host, path, {rule} AS rule,
   CAST(strict_terms AS INTEGER) AS strict_terms, CAST(soft_terms AS INTEGER) AS soft_terms FROM hits"""
 
 
-#: At most so many labelled documents, those with the smallest hash, are the trusted target of the quality rules.
+#: About so many labelled documents, chosen by hash, are the trusted target of the quality rules.
 TRUSTED = 20_000
 
 
 def trusted(spark: SparkSession, d: str, rows: int = TRUSTED) -> DataFrame:
-    """(doc_id, trusted): good and not toxic documents, at most ``rows``."""
+    """(doc_id, trusted): good and not toxic documents, all or about ``rows``."""
     good = table(spark, d, "labels").where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("trusted", F.lit(True))
+    good = materialized(good)
+    return about(good, "doc_id", rows, good.count()).withColumn("trusted", F.lit(True))
 
 
 def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:

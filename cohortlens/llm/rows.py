@@ -59,6 +59,16 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def about(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About ``rows`` of ``total`` rows, if those are more: the ones whose key's hash is low.
+
+    A filter, so nothing is gathered to choose them, however many tasks there are. Rows with one
+    key are all in or all out.
+    """
+    span = 1 << 40
+    return df if total <= rows else df.where(F.pmod(F.xxhash64(F.lit("about"), F.col(key)), F.lit(span)) < int(span * rows / total))
+
+
 def running_totals(df: DataFrame, order: Sequence[str], values: dict[str, str]) -> DataFrame:
     """For each row, the totals of ``values`` over all rows before it in ``order``.
 

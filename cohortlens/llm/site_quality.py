@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.rows import small_batches, small_enough
+from cohortlens.llm.rows import about, small_batches, small_enough
 from cohortlens.session import materialized
 
-#: Labelled documents to fit on, those with the smallest hash; hashed word columns; strength of the ridge.
+#: About so many labelled documents to fit on, chosen by hash; hashed word columns; strength of the ridge.
 SAMPLE, HASHED, RIDGE = 3_000, 512, 1.0
 #: Score from which a document is kept.
 KEEP = 0.5
@@ -86,7 +86,7 @@ def _bytes(text: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, rows: int = SAMPLE) -> Model:
-    """Fit on at most ``rows`` labelled documents, whole; of several labels of one identifier the worst holds."""
+    """Fit on all or about ``rows`` labelled documents, whole; of several labels of one identifier the worst holds."""
 
     @F.arrow_udf("array<double>")
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -94,9 +94,11 @@ def fit(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, rows
             yield pa.array([features(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
     known = labels.where(F.col(f"`{id}`").isNotNull() & F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{id}`").alias("_id")).agg(F.min(f"`{label}`").alias("_y"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    known = materialized(known)
+    known = about(known, "_id", rows, known.count())
     texts = docs.select(F.col(f"`{id}`").alias("_id"), _bytes(text).alias("_t")).join(F.broadcast(known), "_id")
-    drawn = texts.select("_y", measure("_t").alias("x"), F.xxhash64("_id", "_t").alias("h")).orderBy("h").limit(rows).select("_y", "x").collect()
+    once = texts.groupBy("_id", "_y").agg(F.min("_t").alias("_t"))  # a row per labelled identifier
+    drawn = sorted(once.select("_id", "_y", measure("_t").alias("x")).collect())
     if not drawn:
         return fitted(np.zeros((0, SURFACE + HASHED)), np.zeros(0))
     return fitted(np.array([r.x for r in drawn]), np.array([float(r._y) for r in drawn]))

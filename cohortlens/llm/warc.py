@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.rows import small_enough
+from cohortlens.llm.rows import about, small_enough
 from cohortlens.session import materialized
 
 #: Fixed value: the skippable frame that holds a dictionary.
 DICT_MAGIC = 0x184D2A5D
-#: The dictionary is built from at most so many records of at most so many payload bytes each, and is of this size.
+#: The dictionary is built from about so many records of at most so many payload bytes each, and is of this size.
 SAMPLE_ROWS, SAMPLE_BYTES, DICT_BYTES = 400, 32 << 10, 64 << 10
 #: Smaller payloads are not worth a revisit.
 REVISIT_FROM = 100
@@ -185,8 +185,9 @@ def write_archives(
     """
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = linked(df, id, url, payload, revisit_from)
-    drawn = rows.where((F.length("payload") <= SAMPLE_BYTES) & F.col("refers_to").isNull()).orderBy(F.xxhash64("id"), "digest").limit(SAMPLE_ROWS).collect()
-    dictionary = built_dictionary([record(r.id, r.url, bytes(r.payload), r.digest, None, date) for r in drawn])
+    drawn = about(rows, "digest", SAMPLE_ROWS, df.count()).where((F.length("payload") <= SAMPLE_BYTES) & F.col("refers_to").isNull())
+    drawn = drawn.limit(2 * SAMPLE_ROWS).collect()  # payloads that occur once, or whose response it is: about SAMPLE_ROWS
+    dictionary = built_dictionary([record(r.id, r.url, bytes(r.payload), r.digest, None, date) for r in sorted(drawn, key=lambda r: (r.digest, r.id or ""))])
     fs, path = opened(folder)
     fs.create_dir(path, recursive=True)
 
