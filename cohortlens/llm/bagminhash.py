@@ -23,7 +23,7 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.exact import located
@@ -35,6 +35,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: A bucket with more members than this that leaders leave in several components goes on by rare shingles.
 PAIRED = 24
+#: Slots in which the frequencies of shingles are counted where rare ones are sought.
+SLOTS = 1 << 16
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,6 +140,16 @@ def portions(texts: pa.Array, limit: int = 1 << 19) -> Iterator[list[bytes]]:
         yield part
 
 
+def rarest(bag: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(t n) + 1 items of a sorted bag of n, by how often their slot occurs; repeats are items of their own."""
+    n = len(bag)
+    repeat = (np.arange(n) - np.searchsorted(bag, bag)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        items = mixed(bag.view(np.uint64) + repeat * GOLDEN).view(np.int64)
+    order = np.lexsort((items, often[bag & (len(often) - 1)]))
+    return items[order[: n - ceil(similarity * n - 1e-9) + 1]]
+
+
 def _signed(text: Column, size: int, bands: int, rows: int) -> Column:
     """struct(copy, n, bands) of a text's bytes: a digest of its words, the number of shingles, the band keys."""
     kind = pa.struct([("copy", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
@@ -254,16 +266,24 @@ class _Linker:
     def rare(self, nodes: DataFrame) -> DataFrame:
         """(bucket, node, n, place): nodes by the rarest of their shingles among them, repeats numbered.
 
-        Of two bags with similarity t, each shares one of its n - ceil(t n) + 1 rarest items with
-        the other's, so no link is lost; shingles that many texts share are seldom among those.
+        Of two bags with similarity t, each shares one of its n - ceil(t n) + 1 first items, in any
+        order common to all, with the other's, so no link is lost. Rare shingles come first; how
+        rare they are is counted in ``SLOTS`` slots, which need not tell every shingle apart.
         """
-        items = F.expr("transform(bag, (x, i) -> xxhash64(x, if(i > 0 and bag[i - 1] = x, i - array_position(bag, x) + 1, 0)))")
-        flat = materialized(self.bags.join(small_enough(nodes), "node", "left_semi").select("node", "n", F.explode(items).alias("item")))
-        often = flat.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-        shared = flat.join(often, "item", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-        place = F.row_number().over(Window.partitionBy("node").orderBy("df", "item"))  # one text's shingles
-        prefix = F.col("n") - F.ceil(F.lit(self.similarity) * F.col("n") - 1e-9) + 1
-        return materialized(shared.withColumn("place", place).where((F.col("place") <= prefix) & (F.col("df") > 1)).select(F.col("item").alias("bucket"), "node", "n", "place"))
+        own = materialized(self.bags.join(small_enough(nodes), "node", "left_semi"))
+        slots = own.select(F.explode(F.transform("bag", lambda x: x.bitwiseAND(SLOTS - 1))).alias("slot")).groupBy("slot").count().collect()
+        often = np.zeros(SLOTS, np.int64)
+        often[[r["slot"] for r in slots]] = [r["count"] for r in slots]
+        shared, t = own.sparkSession.sparkContext.broadcast(often), self.similarity
+        kind = pa.list_(pa.struct([("bucket", pa.int64()), ("place", pa.int32())]))
+
+        @F.arrow_udf("array<struct<bucket: bigint, place: int>>")
+        def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for bags in batches:
+                lists = [rarest(x.values.to_numpy(), shared.value, t) for x in bags]
+                yield pa.array([[{"bucket": b, "place": i} for i, b in enumerate(x.tolist(), 1)] for x in lists], kind)
+
+        return materialized(own.select("node", "n", F.explode(first("bag")).alias("_i")).select("_i.bucket", "node", "n", "_i.place"))
 
     def placed(self, members: DataFrame) -> DataFrame:
         """``across`` for the buckets of ``rare``, without pairs that cannot be links for where they meet.

@@ -115,3 +115,17 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200)]
     got = {r.node: r.root for r in B.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+
+
+def test_prefixes_of_similar_bags_meet():
+    """Whatever the order, bags at the similarity share an item of their prefixes."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        base = rng.integers(0, 40, int(rng.integers(1, 60)))
+        other = base.copy()
+        change = int(rng.integers(0, max(1, len(base) // 8) + 1))
+        other[:change] = rng.integers(0, 40, change)
+        a, b = np.sort(base) * 7919, np.sort(other) * 7919
+        if B.overlap(a, b) >= 0.8:
+            often = rng.integers(0, 5, 64)
+            assert np.intersect1d(B.rarest(a, often, 0.8), B.rarest(b, often, 0.8)).size
