@@ -22,12 +22,35 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Terms of which one rejects, and terms of which several do.
-STRICT_TERMS = ("escorts", "hentai", "porn", "pornhub", "sexcam", "sexcams", "warez", "xvideos", "xxx")
+
+
+def _compounds(firsts: Sequence[str], seconds: Sequence[str]) -> tuple[str, ...]:
+    """Each first word with each second: written as one, or with a hyphen or underscore between."""
+    return tuple(a + between + b for a in firsts for b in seconds for between in ("", "-", "_"))
+
+
+#: Terms of which one rejects, and terms of which several do. Words that are common in
+#: clean URLs (win, cheap, farm, ads, track) count only in compounds that leave no doubt.
+STRICT_TERMS = (
+    "camgirl", "camgirls", "escorts", "hentai", "porn", "pornhub", "porno", "pornos", "pornstar", "pornstars", "redtube",
+    "sexcam", "sexcams", "warez", "xhamster", "xvideos", "xxx", "youporn",
+    *_compounds(("free", "live", "online", "win"), ("bet", "bets", "betting", "casino", "casinos", "jackpot", "jackpots", "poker")),
+    *_compounds(("betting", "casino", "casinos"), ("bonus", "bonuses", "win", "wins")),
+    *_compounds(("buy", "cheap", "discount", "order"), ("cialis", "meds", "pills", "viagra", "xanax")),
+    *_compounds(("adult",), ("cam", "cams", "chat", "dating", "sex", "video", "videos", "x", "xxx")),
+    *_compounds(("free", "live"), ("nudes", "porn", "sex")),
+    *_compounds(("link", "spam"), ("farm", "farms")),
+    *_compounds(("ad", "ads"), ("click", "clicks", "server", "servers", "track", "tracker", "trackers", "tracking")),
+)
 SOFT_TERMS = (
-    "adult", "bet", "betting", "bonus", "casino", "cialis", "clickbait", "crack", "dating", "free", "gambling", "jackpot",
-    "keygen", "loans", "lottery", "nude", "nudes", "payday", "pills", "poker", "popup", "promo", "sex", "sexy",
-    "slots", "torrent", "viagra",
+    "adult", "adults", "adware", "baccarat", "bet", "bets", "betting", "bettor", "bettors", "blackjack", "bonus", "bonuses",
+    "bookie", "bookies", "bookmaker", "bookmakers", "casino", "casinos", "cialis", "clickbait", "crack", "cracked", "cracks",
+    "dating", "erotic", "erotica", "escort", "fetish", "free", "freebie", "freebies", "gamble", "gambler", "gamblers",
+    "gambling", "hookup", "hookups", "jackpot", "jackpots", "keygen", "keygens", "levitra", "loans", "lotteries", "lottery",
+    "lotto", "meds", "milf", "milfs", "naked", "nude", "nudes", "payday", "pharmacies", "pharmacy", "pill", "pills", "poker",
+    "popunder", "popunders", "popup", "popups", "promo", "promos", "roulette", "sex", "sexy", "slots", "spam", "spammer",
+    "spammers", "spamming", "sportsbook", "sportsbooks", "stripper", "strippers", "striptease", "torrent", "torrents",
+    "tracker", "trackers", "tramadol", "valium", "viagra", "wager", "wagering", "wagers", "xanax",
 )
 SOFT = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

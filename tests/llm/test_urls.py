@@ -34,3 +34,28 @@ def test_own_vocabulary(spark):
     got = {r.page_id: r.verdict for r in urls.judged(df, rules=(), strict=(), soft=("ok", "fine"), several=2).collect()}
     assert got == {1: "block", 2: "allow"}
     assert {r.verdict for r in urls.judged(df, rules=(), strict=(), soft=()).collect()} == {"allow"}
+
+
+SPAM = (
+    "http://free-bets.a.org/1", "http://casino-win.a.org/", "http://adult-x.a.org/2", "http://cheap-pills.a.org/", "http://spam-farm.a.org/", "http://ads-track.a.org/",
+    "http://a.org/FreeBets", "http://onlinecasino.a.org/", "http://a.org/live_poker?x=1", "http://a.org/buy-viagra", "http://a.org/order-meds", "http://adtracker.a.org/p.gif",
+    "http://a.org/roulette/blackjack", "http://a.org/sportsbook-bonuses", "http://a.org/xanax/valium", "http://linkfarm.a.org/", "http://a.org/torrents/keygens", "http://youporn.a.org/",
+)
+CLEAN = (
+    "http://a.org/track-and-field/how-to-win", "http://a.org/cheap-flights/free-cancellation", "http://a.org/adult-education", "http://a.org/ads/manager", "http://a.org/farm/cheap-seeds",
+    "http://a.org/alphabets", "http://a.org/read-tracking-numbers", "http://a.org/essex-farms", "http://a.org/windows-tracker", "http://a.org/free-software", "http://a.org/spam-recipes", "http://a.org/x-ray",
+    "http://a.org/load-server", "http://a.org/pharmacy", "http://a.org/road-track", "http://a.org/win", "http://a.org/lottery-winners", "http://a.org/better-adulthood",
+)
+
+
+def test_planted_spam_and_clean_urls_without_a_rule(spark):
+    df = spark.createDataFrame(list(enumerate(SPAM + CLEAN)), "page_id long, url string")
+    got = urls.judged(df).collect()
+    assert all(r.rule is None for r in got)
+    assert [r.verdict for r in sorted(got)] == ["block"] * len(SPAM) + ["allow"] * len(CLEAN)
+
+
+def test_vocabulary_rejects_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = urls.judged(pages)
+    assert got.where("strict_terms > 0").count() > 0 and got.where("rule is null and verdict = 'block'").count() > 0
