@@ -1,13 +1,15 @@
 """URL filter: site rules, then a weighted vocabulary matched by an Aho-Corasick automaton.
 
-A term counts where it stands alone: no letter or digit on either side. One strict term or
-``SOFT`` distinct soft terms reject a URL. Rules decide before the vocabulary does.
+Terms are sought in the percent-decoded URL. A term counts where it stands alone: no letter or
+digit on either side. One strict term or ``SOFT`` distinct soft terms reject a URL. Rules decide
+before the vocabulary does, by the URL as it is written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import cache
+from urllib.parse import unquote
 
 import ahocorasick
 import pyarrow as pa
@@ -54,6 +56,7 @@ SOFT_TERMS = (
 )
 SOFT = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TO_LOWER = str.maketrans(UPPER, LOWER)
 
 
 @cache
@@ -70,6 +73,11 @@ def _word(c: str) -> bool:
     return "a" <= c <= "z" or "0" <= c <= "9"
 
 
+def decoded(url: str) -> str:
+    """Percent escapes decoded once, A-Z lower-cased. What is no escape stays; bytes that are no UTF-8 become U+FFFD."""
+    return unquote(url).translate(_TO_LOWER)
+
+
 def hits(url: str, found: ahocorasick.Automaton) -> tuple[int, int]:
     """Numbers of distinct strict and soft terms that stand alone in a lower-case URL."""
     seen: tuple[set[str], set[str]] = (set(), set())
@@ -81,7 +89,7 @@ def hits(url: str, found: ahocorasick.Automaton) -> tuple[int, int]:
 
 
 def term_hits(url: Column, strict: Sequence[str] = STRICT_TERMS, soft: Sequence[str] = SOFT_TERMS) -> Column:
-    """struct(strict, soft): distinct terms that stand alone in the URL. A null URL has none."""
+    """struct(strict, soft): distinct terms that stand alone in the decoded URL. A null URL has none."""
     kind = pa.struct([("strict", pa.int32()), ("soft", pa.int32())])
     strict, soft = tuple(strict), tuple(soft)
 
@@ -89,10 +97,10 @@ def term_hits(url: Column, strict: Sequence[str] = STRICT_TERMS, soft: Sequence[
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         found = automaton(strict, soft) if strict or soft else None
         for urls in batches:
-            pairs = [hits(u, found) if u and found else (0, 0) for u in urls.to_pylist()]
+            pairs = [hits(decoded(u), found) if u and found else (0, 0) for u in urls.to_pylist()]
             yield pa.array([{"strict": a, "soft": b} for a, b in pairs], kind)
 
-    return count(F.translate(url, UPPER, LOWER))
+    return count(url)
 
 
 def host_of(url: Column) -> Column:

@@ -59,3 +59,14 @@ def test_vocabulary_rejects_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = urls.judged(pages)
     assert got.where("strict_terms > 0").count() > 0 and got.where("rule is null and verdict = 'block'").count() > 0
+
+
+def test_terms_are_sought_in_the_decoded_url(spark):
+    cases = {
+        "http://a.org/free%20casino": (0, 2), "http://a.org/%70orn": (1, 0), "http://a.org/%50ORN": (1, 0), "http://a.org/x%2Fporn%2d1": (1, 0), "http://a.org/%C3%A9porn%C3%A9": (1, 0),
+        "http://a.org/porn%41": (0, 0), "http://a.org/%2570orn": (0, 0), "http://a.org/100%porn": (1, 0), "http://a.org/%ffporn%": (1, 0), "http://a.org/%C3%A9": (0, 0), "%": (0, 0),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judged(df, rules=()).collect()}
+    assert [(got[i].strict_terms, got[i].soft_terms) for i in range(len(cases))] == list(cases.values())
+    assert got[0].path == "/free%20casino"  # host and path are the raw URL's
