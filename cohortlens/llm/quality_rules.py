@@ -9,6 +9,8 @@ expressions; texts never leave the row they are in, and only bucket counts are s
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +29,8 @@ SYMBOLS = "#*$%&|<>"
 def repeated_words(hashes: Column) -> Column:
     """Number of words in three-word windows that occur at least twice, from the hashes of the words.
 
-    If the windows' hashes are all distinct there is none. Else a window's hash and place share
-    one 64-bit number, so that equal windows are neighbours after a sort of plain numbers; of the
-    places found, each adds the words that the one before did not cover.
+    If the windows' 64-bit hashes are all distinct there is none. Else equal ones are made
+    neighbours by a sort; of the places found, each adds the words that the one before did not cover.
     """
     windows = lambda h: F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
     none = lambda w: F.size(F.array_distinct(w)) == F.size(w)
@@ -37,14 +38,30 @@ def repeated_words(hashes: Column) -> Column:
 
 
 def _covered(windows: Column) -> Column:
+    """Words in the windows whose hash occurs again.
+
+    A window's hash and place share one 64-bit number, which costs the hash its upper bits but
+    sorts as plain numbers. Only where that makes unequal hashes equal, structs of the whole hash
+    and the place are sorted instead, so no bits are lost with length.
+    """
     places = F.length(F.bin(F.size(windows)))  # bits that hold a place
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), places) - 1
-    key = F.transform(windows, lambda x, i: F.call_function("shiftleft", x, places).bitwiseOR(i.cast("long")))
+    short = lambda x: F.call_function("shiftleft", x, places)
     high = lambda x: F.call_function("shiftrightunsigned", x, places)
-    again = lambda s: F.transform(s, lambda x, i: F.when((high(x) == high(F.get(s, i - 1))) | (high(x) == high(F.get(s, i + 1))), x.bitwiseAND(mask)))
+    packed = lambda w: F.transform(w, lambda x, i: short(x).bitwiseOR(i.cast("long")))
+    paired = lambda w: F.transform(w, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("p")))
+    as_many = lambda w: F.size(F.array_distinct(F.transform(w, short))) == F.size(F.array_distinct(w))
+    fast = lambda w: _words(packed(w), high, lambda x: x.bitwiseAND(mask))
+    whole = lambda w: _words(paired(w), lambda x: x["h"], lambda x: x["p"])
+    return let(windows, lambda w: F.when(as_many(w), fast(w)).otherwise(whole(w)))
+
+
+def _words(keys: Column, value: Callable[[Column], Column], place: Callable[[Column], Column]) -> Column:
+    """Words in the windows whose value occurs again, from keys that sort by value and place."""
+    again = lambda s: F.transform(s, lambda x, i: F.when((value(x) == value(F.get(s, i - 1))) | (value(x) == value(F.get(s, i + 1))), place(x)))
     three = F.lit(3).cast("long")
     new = lambda a: F.transform(a, lambda p, i: F.coalesce(F.least(three, p - F.get(a, i - 1)), three))
-    return let(F.sort_array(key), lambda s: let(F.array_sort(F.array_compact(again(s))), lambda a: _total(new(a), "long")))
+    return let(F.sort_array(keys), lambda s: let(F.array_sort(F.array_compact(again(s))), lambda a: _total(new(a), "long")))
 
 
 def _total(values: Column, kind: str) -> Column:

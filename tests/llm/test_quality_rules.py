@@ -34,6 +34,15 @@ def test_counts(spark):
     assert Q.judged(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_hashes_that_differ_in_upper_bits_only(spark):
+    """A place takes bits of the packed number; windows whose hashes differ only there are not repeats."""
+    far = [k << 60 for k in range(-8, 8)]
+    cases = [[1, 1 + (1 << 62), 5], [1, 1 + (1 << 62), 1], far, far + far[3:5], far * 2, [7, 7], [-1, (1 << 63) - 1] * 3 + [0], [3, 4, 5] * 9]
+    df = spark.createDataFrame(list(enumerate(cases)), "id long, w array<long>")
+    got = {r.id: r.n for r in df.select("id", Q._covered(F.col("w")).alias("n")).collect()}
+    assert got == {i: len({k + j for k, x in enumerate(w) if w.count(x) > 1 for j in range(3)}) for i, w in enumerate(cases)}
+
+
 def test_ratio(spark):
     """With the buckets that Spark gives words and pairs, the ratio follows from counts."""
     texts = ["good fine words here", "good fine words there", "bad worse ### words", "bad bad bad"] * 3
