@@ -34,6 +34,10 @@ def _logrank3(spark, d):
     return r6(survival.logrank(_table(spark, d), "segment", THREE))
 
 
+def _logrank5(spark, d):
+    return r6(survival.logrank(_table(spark, d), "segment", SEGMENTS))
+
+
 QUERIES = {
     "H1_km_flagship": _flagship,
     "H1_km": lambda s, d: r6(survival.km(_table(s, d))),
@@ -42,6 +46,7 @@ QUERIES = {
     "H4_cif": _cif,
     "H5_logrank": _logrank2,
     "H5_logrank_many": _logrank3,
+    "H5_logrank_all": _logrank5,
     "H6_surv_at": lambda s, d: r6(survival.surv_at(survival.km(_table(s, d), by="segment"), HORIZONS, "segment")),
     "H6_median_survival": lambda s, d: survival.median_survival(survival.km(_table(s, d), by="segment"), "segment"),
     "H7_ipcw": lambda s, d: r6(survival.ipcw(_table(s, d), by="site")),
@@ -108,13 +113,27 @@ SQL = {
 }
 
 
-def _logrank_sql(groups) -> str:
-    """Chi-square through the variance of the first group, or the closed inverse of the first two's covariance."""
+def _eliminated(groups) -> tuple[str, dict[str, str]]:
+    """Chi-square as a sum over pivots, and the tables left of the covariance and the gaps after each."""
     names = ", ".join(f"'{g}'" for g in groups)
+    steps = {"m0": f"SELECT c.g, c.h, c.v, t.o - t.e AS u FROM cov c JOIN tot t USING (g) WHERE c.g IN ({names}) AND c.h IN ({names})"}
+    for i, g in enumerate(groups[:-1]):
+        steps[f"m{i + 1}"] = (
+            f"SELECT a.g, a.h, a.v - x.v * y.v / p.v AS v, a.u - x.v / p.v * p.u AS u FROM m{i} a JOIN m{i} x ON x.g = a.g AND x.h = '{g}' "
+            f"JOIN m{i} y ON y.g = '{g}' AND y.h = a.h JOIN m{i} p ON p.g = '{g}' AND p.h = '{g}' WHERE a.g <> '{g}' AND a.h <> '{g}'"
+        )
+    return " + ".join(f"(SELECT u * u / v FROM m{i} WHERE g = '{g}' AND h = '{g}')" for i, g in enumerate(groups)), steps
+
+
+def _logrank_sql(groups) -> str:
+    """Chi-square through the variance of the first group, the closed inverse of the first two's covariance, or elimination."""
+    names, steps = ", ".join(f"'{g}'" for g in groups), {}
     gap = lambda g: f"(SELECT o - e FROM tot WHERE g = '{g}')"
     cov = lambda g, h: f"(SELECT v FROM cov WHERE g = '{g}' AND h = '{h}')"
     if len(groups) == 2:
         chi = f"pow({gap(groups[0])}, 2) / {cov(groups[0], groups[0])}"
+    elif len(groups) > 3:
+        chi, steps = _eliminated(groups[:-1])
     else:
         a, b = groups[:2]
         chi = (
@@ -131,8 +150,10 @@ def _logrank_sql(groups) -> str:
         tot="SELECT g, (SELECT count(*) FROM s WHERE s.g = f.g AND event = 1) AS o, sum(d * r / n ORDER BY time) AS e FROM full_ f GROUP BY g",
         cov="SELECT a.g, b.g AS h, sum(CASE WHEN a.n > 1 THEN a.d * (a.r / a.n) * (CASE WHEN a.g = b.g THEN 1.0 ELSE 0.0 END - b.r / b.n) * (a.n - a.d) / (a.n - 1) END ORDER BY a.time) AS v "
         "FROM full_ a JOIN full_ b ON a.time = b.time GROUP BY 1, 2",
+        **steps,
     )
 
 
 SQL["H5_logrank"] = _logrank_sql(("BUILDING", "MACHINERY"))
 SQL["H5_logrank_many"] = _logrank_sql(THREE)
+SQL["H5_logrank_all"] = _logrank_sql(SEGMENTS)

@@ -174,6 +174,15 @@ def test_logrank_many_matches_two(spark):
     assert three.first().df == 2 and three.first().chi2 > 0
 
 
+def test_logrank_of_all_segments_is_registered(spark):
+    import __spark_entry__
+    from cohortlens.catalog import base
+
+    got = __spark_entry__.queries()["H5_logrank_all"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.segment for r in got) == sorted(base.SEGMENTS) and {r.df for r in got} == {4}
+    assert sum(r.observed for r in got) == pytest.approx(sum(r.expected for r in got))
+
+
 def test_auc_against_brute_force(spark):
     import random
 
