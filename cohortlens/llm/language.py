@@ -4,7 +4,7 @@ A text is the set of its byte n-grams of orders 1 to 3 (a blended spectrum, pres
 the kernel of two texts is the size of the intersection over the geometric mean of the two
 sizes. A few labelled texts are landmarks: a text is described by its kernel with each,
 and one-versus-rest ridge regression on the Nystroem features gives a score per language.
-Fitting is on a bounded sample; texts are scored in batches by two matrix products.
+Fitting is on a sample of so many texts a language; texts are scored in batches by two matrix products.
 """
 
 from __future__ import annotations
@@ -17,8 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The sample to fit on: per language so many texts, each of at most so many characters; and how many of them are landmarks.
-SAMPLE, CHARACTERS, LANDMARKS = 240, 20_000, 40
+from cohortlens.llm.rows import small_enough
+from cohortlens.session import materialized
+
+#: The sample to fit on: per language so many texts, of any length; and how many of them are landmarks.
+SAMPLE, LANDMARKS = 240, 40
 RIDGE = 1e-2
 #: How sharply the regression's values become a probability.
 SHARPNESS = 6.0
@@ -37,6 +40,11 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def lettered(text: Column) -> Column:
+    """``has_letter`` as an expression."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 class Grams:
     """The distinct n-grams of a text, with one reusable table for which were seen."""
 
@@ -86,8 +94,13 @@ class Model:
 
 def fitted(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Fit on texts with their languages; the first ``landmarks`` of each language are landmarks."""
-    grams, langs = Grams(), sorted(set(labels))
-    sets = [grams(t) for t in texts]
+    grams = Grams()
+    return fitted_sets([grams(t) for t in texts], labels, landmarks, ridge)
+
+
+def fitted_sets(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """``fitted`` on the texts' n-grams."""
+    langs = sorted(set(labels))
     chosen = [i for g in langs for i in [k for k, lab in enumerate(labels) if lab == g][:landmarks]]
     codes = np.unique(np.concatenate([sets[i] for i in chosen])) if chosen else np.zeros(1, np.int32)
     presence = np.zeros((len(chosen), len(codes)), np.float32)
@@ -107,21 +120,33 @@ def fitted(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridg
     return model
 
 
-def sample(df: DataFrame, id: str, text: str, lang: str, rows: int = SAMPLE, characters: int = CHARACTERS) -> DataFrame:
-    """(lang, text): the ``rows`` texts of each language with the smallest hash; longer ones are not drawn.
+def sample(df: DataFrame, id: str, text: str, lang: str, rows: int = SAMPLE) -> DataFrame:
+    """(lang, h, t, text): the ``rows`` texts of each language with the smallest hash of the identifier, of any length.
 
-    Ranked within tasks before the shuffle, so a dominant language sends at most ``rows`` of each task.
+    Chosen by hashes alone, ranked within tasks before the shuffle; only texts that were chosen
+    are shuffled, and copies under one identifier count once.
     """
     d = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.lit("fit"), f"`{id}`").alias("h"))
-    d = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.length("text").between(20, characters))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))
-    return d.withColumn("place", place).where(F.col("place") <= rows).orderBy("lang", "place").select("lang", "text")
+    d = d.where(F.col("lang").isNotNull() & lettered(F.col("text"))).withColumn("t", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    chosen = materialized(d.select("lang", "h", "t").withColumn("place", place).where(F.col("place") <= rows).select("lang", "h", "t").distinct())
+    return d.join(small_enough(chosen), ["lang", "h", "t"]).groupBy("lang", "h", "t").agg(F.min("text").alias("text"))
 
 
-def fit(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE, characters: int = CHARACTERS) -> Model:
-    """A model of the languages in ``df``; null languages and texts are left out. At most languages x rows x characters reach the driver."""
-    drawn = [r for r in sample(df, id, text, lang, rows, characters).collect() if has_letter(r.text)]
-    return fitted([r.text for r in drawn], [r.lang for r in drawn])
+def fit(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE) -> Model:
+    """A model of the languages in ``df``; null languages and texts are left out.
+
+    The n-grams of whole texts are taken in the tasks; of a text only its distinct codes reach the driver.
+    """
+
+    @F.arrow_udf("binary")
+    def codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        grams = Grams()
+        for texts in batches:
+            yield pa.array([grams(t).astype(np.int32).tobytes() for t in texts.to_pylist()], pa.binary())
+
+    drawn = sorted(sample(df, id, text, lang, rows).select("lang", "h", "t", codes("text").alias("codes")).collect())
+    return fitted_sets([np.frombuffer(r.codes, np.int32) for r in drawn], [r.lang for r in drawn])
 
 
 _grams: list[Grams] = []

@@ -64,3 +64,11 @@ def test_odd_tables(spark):
     assert L.identified(df).count() == len(rows)
     assert L.identified(df.limit(0)).count() == 0
     assert {r.lang_pred for r in L.identified(df.where("lang is null")).collect()} == {"und"}
+
+
+def test_languages_of_long_or_short_texts_only(spark):
+    rows = [(i, "der Hund liegt auf dem Sofa " * 1_000, "de") for i in range(3)] + [(i, "el gato", "es") for i in range(3, 6)] + [(i, "the cat sat on the mat again", "en") for i in range(6, 9)]
+    df = spark.createDataFrame(rows + [(9, "1 2 3 " * 9, "xx")], "doc_id long, text string, lang string")
+    model = L.fit(df)
+    assert model.langs == ["de", "en", "es"]  # there is no letter to learn xx from
+    assert L.predicted(model, [t for _, t, _ in rows])[0] == [g for *_, g in rows]
