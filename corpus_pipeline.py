@@ -20,9 +20,14 @@ LEAST_SCORE = 0.35
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; those without letters or below ``LEAST_SCORE`` go."""
+    """Documents in a language that can be told; those without letters or below ``LEAST_SCORE`` go.
+
+    If no language could be learned (no labelled text with a letter), only null texts and texts without letters go.
+    """
     small_batches(spark)
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    if not model.langs:
+        return docs.where(language.lettered(F.col("text")))
     name = free_name(docs, "found")
     found = docs.withColumn(name, language.language(model, docs, F.col("text")))
     return found.where((F.col(f"{name}.lang") != language.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_SCORE)).drop(name)

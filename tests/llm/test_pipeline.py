@@ -68,3 +68,10 @@ def test_empty_and_odd(spark):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, df, D)
             assert out.count() <= 2 * max(1, df.count()) and (name == "byte_bpe" or out.columns == df.columns)
+
+
+def test_without_a_language_to_learn_texts_with_letters_stay(spark):
+    texts = ["the end of it all", None, "123 ###", "", "ñ"]
+    docs = spark.createDataFrame([(i, t, None, "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.identify(spark, docs, D)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [0, 4]
