@@ -42,7 +42,9 @@ def filled(df: DataFrame, by: list[str], cap: str, weight: str, total: Column, s
 def source_targets(sizes: DataFrame, source: str, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """(source, source_size, target) from (source, source_size): shares by weight, none above ``most`` times its size.
 
-    One row per source. Sources are in code point order, null last; weights repeat.
+    One row per source, and all of them pass through one task, which numbers and fills them: for as
+    many sources as one task sorts, not for a source per site. Sources are in code point order,
+    null last; weights repeat.
     """
     turn = (F.row_number().over(Window.orderBy(F.col(f"`{source}`").asc_nulls_last())) - 1) % len(weights)
     d = sizes.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1)).withColumn("_cap", F.col("source_size") * F.lit(float(most)))
