@@ -84,3 +84,17 @@ def test_odd_input(spark):
 def test_query(spark):
     got = queries.op6_site_quality(spark, "/root/testdata/sf0.001").collect()
     assert len({r.doc_id for r in got}) == len(got) == 200 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_good_documents_of_a_language_with_many_poor_ones_stay(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    quality = labels.groupBy("doc_id").agg(F.min("quality").alias("q"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(quality, "doc_id", "left")
+    poor = (F.col("q") == 0) | ((F.col("q") == 1) & (F.col("doc_id") % 50 == 1))  # a language of the poor, and a few good ones
+    docs = docs.withColumn("lang", F.when(poor, "qq").otherwise(F.col("lang"))).drop("q").cache()
+    out = S.classified(docs, labels.where("doc_id % 50 <> 1"), F.lit("one host"), F.col("lang"))
+    there = out.join(docs.where("lang = 'qq'").select("doc_id"), "doc_id").join(quality, "doc_id").collect()
+    good = [r for r in there if r.q == 1]
+    assert 0 < 5 * len(good) < len(there) and all(r.path_quality < 0.5 for r in good)
+    assert all(r.kept for r in good)
