@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bagminhash, bpe, exact, language, mixing, quality_rules, shards, site_quality, urls, warc
+from cohortlens.llm import bagminhash, bpe, exact, language, merkle, mixing, quality_rules, shards, site_quality, urls, warc
 from cohortlens.llm.rows import about, small_batches
 from cohortlens.session import materialized, shared_dir
 
@@ -123,5 +123,43 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op5_quality_rules, op6_site_quality, op7_language_id, op8_near_dedup, op9_warc, op10_source_mix)}
-SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql(), "op9_warc": OP9_SQL}
+#: The values of a document that its leaf covers, in order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A proof for every document against one root; some documents are altered after the manifest was built."""
+    docs = table(spark, d, "documents")
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    out = merkle.proved(docs, LEAF, altered={"n_chars": F.col("n_chars") + 1}, where=hit)
+    proof = F.sha2(F.array_join("siblings", "").cast("binary"), 256)
+    return out.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = [n_chars if c == "n_chars" else c for c in LEAF]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({v} AS VARCHAR))) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+
+_CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda x: 0::BIGINT)), lambda v, k: xor(v >> 1, (v & 1) * 3988292384))), 4294967295::BIGINT)"""
+_ABOVE_SQL = "list_transform(range(0, len(hs), 2), lambda i: sha256(hs[i + 1] || coalesce(hs[i + 2], '')))"
+_BESIDE_SQL = "hs[xor(place >> l, 1) + 1]"
+_SIBLING_SQL = f"CASE WHEN {_BESIDE_SQL} IS NULL THEN '' WHEN (place >> l) % 2 = 1 THEN 'L' || {_BESIDE_SQL} ELSE 'R' || {_BESIDE_SQL} END"
+OP13_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, CASE WHEN {_CRC32_SQL} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} ELSE {_leaf_sql("n_chars")} END AS start,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM documents),
+g AS (SELECT tree, 0 AS l, list(leaf ORDER BY place) AS hs FROM d GROUP BY tree UNION ALL SELECT tree, l + 1, {_ABOVE_SQL} FROM g WHERE len(hs) > 1),
+s AS (SELECT tree, hs[1] AS subroot FROM g WHERE len(hs) = 1),
+r AS (SELECT 0 AS l, list(subroot ORDER BY tree) AS hs FROM s UNION ALL SELECT l + 1, {_ABOVE_SQL} FROM r WHERE len(hs) > 1),
+low AS (SELECT doc_id, list({_SIBLING_SQL} ORDER BY l) AS sibs FROM d JOIN g USING (tree) WHERE len(hs) > 1 GROUP BY doc_id),
+high AS (SELECT tree, list({_SIBLING_SQL} ORDER BY l) AS sibs FROM (SELECT tree, tree AS place FROM s) CROSS JOIN r WHERE len(hs) > 1 GROUP BY tree),
+p AS (SELECT doc_id, leaf, start, subroot, (SELECT hs[1] FROM r WHERE len(hs) = 1) AS root, list_concat(coalesce(low.sibs, []), coalesce(high.sibs, [])) AS sibs
+  FROM d JOIN s USING (tree) LEFT JOIN low USING (doc_id) LEFT JOIN high USING (tree)),
+f AS (SELECT *, 1 AS k, start AS h FROM p UNION ALL
+  SELECT * EXCLUDE (k, h), k + 1, CASE WHEN sibs[k] = '' THEN sha256(h) WHEN sibs[k][1] = 'L' THEN sha256(sibs[k][2:] || h) ELSE sha256(h || sibs[k][2:]) END FROM f WHERE k <= len(sibs))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sibs, lambda x: x[2:]), '')) AS proof_sha256, h AS folded_root, h = root AS verified FROM f WHERE k = len(sibs) + 1"""
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op5_quality_rules, op6_site_quality, op7_language_id, op8_near_dedup, op9_warc, op10_source_mix, op13_merkle_manifest)}
+SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql(), "op9_warc": OP9_SQL, "op13_merkle_manifest": OP13_SQL}
