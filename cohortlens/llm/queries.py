@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bagminhash, bpe, exact, language, merkle, mixing, quality_rules, shards, site_quality, urls, warc
+from cohortlens.llm import bagminhash, bpe, exact, language, merkle, mixing, quality_rules, shards, site_quality, speculative_bpe, urls, warc
 from cohortlens.llm.rows import about, small_batches
 from cohortlens.session import materialized, shared_dir
 
@@ -123,6 +123,15 @@ def op10_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"))
 
 
+def op11_speculative_bpe(spark: SparkSession, d: str) -> DataFrame:
+    """Every whole text encoded by proposed and verified tokens, and decoded again."""
+    import public_tokenizers
+
+    out = speculative_bpe.packed(table(spark, d, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    n = (F.octet_length("data") / 4).cast("long")
+    return out.select("doc_id", n.alias("n_tokens"), F.sha2("data", 256).alias("ids_sha256"), F.sha2(F.col("back").cast("binary"), 256).alias("decoded_sha256"))
+
+
 #: The values of a document that its leaf covers, in order.
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -161,5 +170,5 @@ f AS (SELECT *, 1 AS k, start AS h FROM p UNION ALL
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sibs, lambda x: x[2:]), '')) AS proof_sha256, h AS folded_root, h = root AS verified FROM f WHERE k = len(sibs) + 1"""
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op5_quality_rules, op6_site_quality, op7_language_id, op8_near_dedup, op9_warc, op10_source_mix, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op5_quality_rules, op6_site_quality, op7_language_id, op8_near_dedup, op9_warc, op10_source_mix, op11_speculative_bpe, op13_merkle_manifest)}
 SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql(), "op9_warc": OP9_SQL, "op13_merkle_manifest": OP13_SQL}
