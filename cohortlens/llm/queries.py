@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bagminhash, bpe, exact, language, merkle, mixing, quality_rules, shards, site_quality, speculative_bpe, urls, warc
+from cohortlens.llm import bagminhash, bpe, exact, hard_negatives, language, merkle, mixing, quality_rules, shards, site_quality, speculative_bpe, urls, warc
 from cohortlens.llm.rows import about, small_batches
 from cohortlens.session import materialized, shared_dir
 
@@ -132,6 +132,25 @@ def op11_speculative_bpe(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", n.alias("n_tokens"), F.sha2("data", 256).alias("ids_sha256"), F.sha2(F.col("back").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector and its positives; some labels are changed first."""
+    rows = table(spark, d, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+neg AS (SELECT pos.*, other_id AS negative_id, score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank
+  FROM pos JOIN p USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 3"""
+
+
 #: The values of a document that its leaf covers, in order.
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -170,5 +189,5 @@ f AS (SELECT *, 1 AS k, start AS h FROM p UNION ALL
 SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sibs, lambda x: x[2:]), '')) AS proof_sha256, h AS folded_root, h = root AS verified FROM f WHERE k = len(sibs) + 1"""
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op5_quality_rules, op6_site_quality, op7_language_id, op8_near_dedup, op9_warc, op10_source_mix, op11_speculative_bpe, op13_merkle_manifest)}
-SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql(), "op9_warc": OP9_SQL, "op13_merkle_manifest": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_ring_shards, op3_exact_dedup, op4_url_filter, op5_quality_rules, op6_site_quality, op7_language_id, op8_near_dedup, op9_warc, op10_source_mix, op11_speculative_bpe, op12_hard_negatives, op13_merkle_manifest)}
+SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_url_filter": _op4_sql(), "op9_warc": OP9_SQL, "op12_hard_negatives": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
