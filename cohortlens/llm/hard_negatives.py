@@ -80,8 +80,9 @@ class Queries:
         self.low, self.step = low, (high - low) / ((1 << planes) - 1)
         level = np.rint((q - low[:, None]) / np.where(self.step > 0, self.step, 1.0)[:, None]).astype(np.int64)
         self.planes = [words((level >> k) & 1 == 1) for k in range(planes)]
-        self.total = q.sum(axis=1)
-        error = q - (low[:, None] + self.step[:, None] * level)
+        cut = low[:, None] + self.step[:, None] * level  # as the planes have it
+        self.total = cut.sum(axis=1)
+        error = q - cut
         self.error = np.abs(error).sum(axis=1) / np.sqrt(self.d)  # of the product with any code
         self.square = (q * q).sum(axis=1)
         self.shift = vectors @ coder.mean
