@@ -22,8 +22,10 @@ from cohortlens.llm.rows import small_enough
 from cohortlens.session import materialized
 
 #: Levels between a stored node and the one it is linked to: a task folds 2 ** HOP nodes of a tree at once.
-HOP = 8
-#: A level with more node rows than this is joined by a shuffle, not broadcast. A row has ``HOP`` hashes at most.
+HOP = 10
+#: Bytes of a sibling on a path: its side, ``L``, ``R`` or ``N`` for none, and its hash.
+STEP = 33
+#: A level with more node rows than this is joined by a shuffle, not broadcast. A row has ``HOP`` siblings at most.
 BROADCAST_NODES = 1 << 16
 #: The tree of the groups' roots; the groups' own trees are numbered from 0.
 ROOTS = -1
@@ -71,15 +73,15 @@ def _folded_up(members: Column, rounds: Column, hop: int) -> Column:
 
 
 def _siblings(levels: Column, place: Column, rounds: Column, hop: int) -> Column:
-    """A member's siblings from its own level up: ``L`` or ``R`` for their side and the hash, empty where there is none."""
+    """A member's siblings from its own level up, ``STEP`` bytes each."""
 
     def sibling(k: Column) -> Column:
         at = F.floor(place / F.pow(F.lit(2.0), k)).cast("int")
-        beside = F.get(F.get(levels, k), at + 1 - 2 * (at % 2))
-        return F.coalesce(F.concat(F.when(at % 2 == 1, "L").otherwise("R"), beside), F.lit(""))
+        beside = F.concat(F.when(at % 2 == 1, F.lit(b"L")).otherwise(F.lit(b"R")), F.unhex(F.get(F.get(levels, k), at + 1 - 2 * (at % 2))))
+        return F.coalesce(beside, F.lit(b"N" + bytes(STEP - 1)))
 
     steps = F.filter(F.array(*[F.lit(i) for i in range(hop)]), lambda i: i < rounds)
-    return F.transform(steps, sibling)
+    return F.aggregate(steps, F.lit(b""), lambda path, k: F.concat(path, sibling(k)))
 
 
 def _node(tree: Column, level: Column, place: Column) -> Column:
@@ -89,10 +91,11 @@ def _node(tree: Column, level: Column, place: Column) -> Column:
 
 
 def _blocks(nodes: DataFrame, level: int, hop: int, payload: Sequence[str]) -> DataFrame:
-    """(tree, block, height, top, members): the nodes of one level of some trees by 2 ** hop, folded; written.
+    """(tree, height, block, hash, payload, node, parent, siblings, top) of the nodes of one level of some trees; written.
 
-    ``nodes`` are (tree, place, height, hash, and the payload). A member has its hash, its
-    payload, its siblings up to the block's top, and the names of its node and of the one above.
+    ``nodes`` are (tree, place, height, hash, and the payload); 2 ** hop consecutive ones are a
+    block, folded in one row. A node has the name of the node above the block, and its siblings
+    on the way there; the first node of a block also has the hash of the block's top.
     """
     rounds = F.least(F.lit(hop), F.col("height") - level)
     members = F.sort_array(F.collect_list(F.struct("place", "hash", *payload)))
@@ -104,10 +107,10 @@ def _blocks(nodes: DataFrame, level: int, hop: int, payload: Sequence[str]) -> D
     def member(m: Column, i: Column) -> Column:
         node = _node(F.col("tree"), F.lit(level), m["place"])
         own = [m[c].alias(c) for c in ("hash", *payload)]
-        return F.struct(*own, node.alias("node"), over.alias("parent"), _siblings(F.col("levels"), i, rounds, hop).alias("siblings"))
+        top = F.when(i == 0, F.get(F.element_at("levels", -1), 0))
+        return F.struct(*own, node.alias("node"), over.alias("parent"), _siblings(F.col("levels"), i, rounds, hop).alias("siblings"), top.alias("top"))
 
-    top = F.element_at(F.element_at("levels", -1), 1)
-    return materialized(d.select("tree", "block", "height", top.alias("top"), F.transform("members", member).alias("members")))
+    return materialized(d.select("tree", "height", "block", F.inline(F.transform("members", member))))
 
 
 @dataclass
@@ -138,10 +141,11 @@ def build(leaves: DataFrame, group: str, order: Sequence[str], hash: str, payloa
     while level == 0 or level < (found["most"] or 0):
         blocks = _blocks(level_nodes.select("tree", "place", "height", "hash", *(payload if level == 0 else [])), level, hop, payload if level == 0 else [])
         if level == 0:
-            low = blocks.select("tree", F.inline("members"))
+            low = blocks.select("tree", "hash", *payload, "node", "parent", "siblings")
         else:
-            upper.append(blocks.select(F.inline("members")))
+            upper.append(blocks)
         level += hop
+        blocks = blocks.where("top is not null")
         tops.append(blocks.where(F.col("height") <= level).select("tree", F.col("top").alias("subroot")))
         level_nodes = blocks.where(F.col("height") > level).select("tree", F.col("block").alias("place"), "height", F.col("top").alias("hash"))
     subroots = tops[0]
@@ -152,19 +156,23 @@ def build(leaves: DataFrame, group: str, order: Sequence[str], hash: str, payloa
     level_nodes = trees.select(F.lit(ROOTS).cast("bigint").alias("tree"), F.col("tree").alias("place"), F.col("subroot").alias("hash")).withColumn("height", _height(F.lit(found["n"])))
     while found["n"] and root is None:
         blocks = _blocks(level_nodes.select("tree", "place", "height", "hash"), level, hop, [])
-        upper.append(blocks.select(F.inline("members")))
+        upper.append(blocks)
         level += hop
+        blocks = blocks.where("top is not null")
         if 1 << level >= found["n"]:
             root = blocks.first()["top"]
         level_nodes = blocks.select("tree", F.col("block").alias("place"), "height", F.col("top").alias("hash"))
-    nodes = spark.createDataFrame([], "node string, parent string, siblings array<string>")
+    nodes = spark.createDataFrame([], "node string, parent string, siblings binary")
     for one in upper:
         nodes = nodes.unionByName(one.select("node", "parent", "siblings"))
     return Manifest(low, materialized(nodes), trees, root)
 
 
-_FOLD = """aggregate({siblings}, {start}, (h, s) -> sha2(CASE left(s, 1) WHEN 'L' THEN concat(substr(s, 2), h)
-  WHEN 'R' THEN concat(h, substr(s, 2)) ELSE h END, 256))"""
+_PLACES = f"IF(length({{0}}) = 0, array(), sequence(0, length({{0}}) div {STEP} - 1))"
+_FOLD = f"""unhex(aggregate({_PLACES.format("{siblings}")}, lower(hex({{start}})), (h, i) -> sha2(CASE CAST(substr({{siblings}}, {STEP} * i + 1, 1) AS STRING)
+  WHEN 'L' THEN concat(lower(hex(substr({{siblings}}, {STEP} * i + 2, {STEP - 1}))), h)
+  WHEN 'R' THEN concat(h, lower(hex(substr({{siblings}}, {STEP} * i + 2, {STEP - 1})))) ELSE h END, 256)))"""
+_HASHES = f"transform({_PLACES.format("siblings")}, i -> IF(substr(siblings, {STEP} * i + 1, 1) = X'4E', '', lower(hex(substr(siblings, {STEP} * i + 2, {STEP - 1})))))"
 _CLIMB = """
 WITH RECURSIVE climb({names}, at, folded, siblings) AS (
   SELECT {names}, parent, {first}, siblings FROM {{leaves}}
@@ -175,7 +183,7 @@ SELECT {names}, folded, siblings FROM climb WHERE at IS NULL"""
 
 
 def climb(manifest: Manifest, keep: Sequence[str], start: str, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """(keep, folded, siblings) per leaf: its siblings from the leaf to the root, and the root that they and ``start`` give.
+    """(keep, folded, siblings) per leaf: its siblings from the leaf to the root, and the root that they and ``start`` give, as bytes.
 
     A recursive query, one step for every stored level. Levels with few node rows are broadcast;
     the keys of a level with many are spread evenly, since each stands for as many leaves as its
@@ -190,7 +198,7 @@ def climb(manifest: Manifest, keep: Sequence[str], start: str, broadcast_nodes:
     if many:
         tables["many"] = manifest.nodes.where(kind.isin(many))
         kinds = ", ".join(f"'{k}'" for k in many)
-        apart = "CASE WHEN substring_index(c.at, ':', 1) IN (" + kinds + ") THEN c.at ELSE concat('-', c.folded) END"
+        apart = "CASE WHEN substring_index(c.at, ':', 1) IN (" + kinds + ") THEN c.at ELSE concat('-', hex(c.folded)) END"
         joins = f"LEFT JOIN {{many}} m ON m.node = {apart} LEFT JOIN {{few}} f ON f.node = c.at WHERE c.at IS NOT NULL"
         step, parent = "coalesce(m.siblings, f.siblings)", "CASE WHEN m.node IS NOT NULL THEN m.parent ELSE f.parent END"
     else:
@@ -209,6 +217,8 @@ def proved(
 ) -> DataFrame:
     """(id, leaf, subroot, root, siblings, folded_root, verified) per row of ``df``, with a proof against the root.
 
+    ``siblings`` go from the leaf's level to that below the root; where a node has none, there is an empty one.
+
     The manifest is of the rows as they are. The proof starts from the row in which, ``where``
     that holds, ``altered`` columns have another value, so an altered row does not verify, and a
     row that alteration leaves as it is (a null stays null) does. Null groups are a group of their
@@ -222,10 +232,12 @@ def proved(
     other = F.when(F.lit(False) if where is None else where, leaf([changed.get(c, F.col(f"`{c}`")) for c in columns]))
     leaves = materialized(df.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{group}`").alias("_lang"), own.alias("_leaf"), other.alias("_other")))
     made = build(leaves, "_lang", ["_id"], "_leaf", ["_id", "_other"], hop)
+    made.leaves = made.leaves.withColumns({"hash": F.unhex("hash"), "_other": F.unhex("_other")})  # half the bytes, while they climb
     paths = climb(made, ["tree", "_id", "hash"], "coalesce(_other, hash)", broadcast_nodes)
     root = F.lit(made.root).cast("string")
+    text = lambda c: F.lower(F.hex(c))
     out = paths.join(small_enough(made.trees.select("tree", "subroot")), "tree")
     return out.select(
-        F.col("_id").alias(id), F.col("hash").alias("leaf"), "subroot", root.alias("root"), F.transform("siblings", lambda s: F.substr(s, F.lit(2))).alias("siblings"),
-        F.col("folded").alias("folded_root"), (F.col("folded") == root).alias("verified"),
+        F.col("_id").alias(id), text("hash").alias("leaf"), "subroot", root.alias("root"), F.expr(_HASHES).alias("siblings"),
+        text("folded").alias("folded_root"), (text("folded") == root).alias("verified"),
     )
