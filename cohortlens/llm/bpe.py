@@ -12,7 +12,8 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from contextlib import contextmanager
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens that one generation of a worker's memory holds; there are two.
-MEMO = 200_000
+#: Distinct pre-tokens that one generation of a task's memory holds; there are two.
+MEMO = 60_000
+#: Bytes of the longest pre-token that is kept from block to block.
+KEPT = 64
 #: Pre-tokens in hand at once, so that the memory for one text does not grow with the text.
 PIECES = 50_000
 MIX, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -104,10 +107,10 @@ class Codec:
         self.find = regex.compile(pattern)
         self.rank = {token: i for i, token in enumerate(entries)}
         self.two = [[self.rank.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def merged(self, piece: bytes) -> tuple[int, ...]:
+    def merged(self, piece: bytes) -> list[int]:
         """The ids of one pre-token, merged from its bytes.
 
         ``pair[i]`` is the rank of the part at i joined to the next one, -1 for none; heap
@@ -143,20 +146,28 @@ class Codec:
         while i < n:
             ids.append(self.rank[piece[i : after[i]]])
             i = after[i]
-        return tuple(ids)
+        return ids
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put the ids of all ``pieces`` where ``young`` finds them."""
-        new = pieces.difference(self.young)
-        if len(self.young) + len(new) > MEMO:
-            self.old, self.young, new = self.young, {}, pieces
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of all ``pieces``, as the bytes of 32-bit integers; of those that are long, without keeping them."""
+        out = {p: self.young[p] for p in pieces if p in self.young}
+        new = pieces.difference(out)
         known = {p: self.old[p] for p in new if p in self.old}
-        self.young.update(known)
-        if not (rest := [p for p in new if p not in known]):
-            return
-        keys = [p.encode() for p in rest]
-        for piece, key, at in zip(rest, keys, self.perfect.find(keys).tolist(), strict=True):
-            self.young[piece] = (at,) if self.entries[at] == key else self.merged(key)
+        if rest := [p for p in new if p not in known]:
+            keys = [p.encode() for p in rest]
+            for piece, key, at in zip(rest, keys, self.perfect.find(keys).tolist(), strict=True):
+                out[piece] = np.array([at] if self.entries[at] == key else self.merged(key), np.int32).tobytes()
+        out |= known
+        for piece in new:
+            if len(piece) <= KEPT:
+                if len(self.young) >= MEMO:
+                    self.old, self.young = self.young, {}
+                self.young[piece] = out[piece]
+        return out
+
+    def forget(self) -> None:
+        """Drop what was learned from texts."""
+        self.young, self.old = {}, {}
 
     def blocks(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, list[str]]]]:
         """The pre-tokens of the texts, some ``PIECES`` at a time: (number of the text, pre-tokens)."""
@@ -175,9 +186,9 @@ class Codec:
         """The ids of all texts in one array, and how many ids each text has."""
         ids, counts = [], np.zeros(len(texts), np.int64)
         for block in self.blocks(texts):
-            self.learn(set().union(*(pieces for _, pieces in block)))
+            known = self.learn(set().union(*(pieces for _, pieces in block)))
             for k, pieces in block:
-                ids.append(np.fromiter(chain.from_iterable(map(self.young.__getitem__, pieces)), np.int32))
+                ids.append(np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32))
                 counts[k] += len(ids[-1])
         return np.concatenate([*ids, np.empty(0, np.int32)]), counts
 
@@ -191,6 +202,16 @@ class Codec:
 _codecs: dict[int, Codec] = {}
 
 
+@contextmanager
+def task_memory(own: Codec) -> Iterator[None]:
+    """What a task has learned and Arrow has set aside goes with the task; workers live longer."""
+    try:
+        yield
+    finally:
+        own.forget()
+        pa.default_memory_pool().release_unused()
+
+
 def codec(key: int, shared: Broadcast) -> Codec:
     """This worker's codec for a broadcast vocabulary, kept from task to task; another vocabulary replaces it."""
     if key not in _codecs:
@@ -212,21 +233,32 @@ class Tokenizer:
         shared = spark.sparkContext.broadcast((entries, PerfectHash(entries), pattern))
         key = xxhash.xxh3_64_intdigest(b"\n".join(map(base64.b64encode, [*entries, pattern.encode()])))
 
+        def lists_of(texts: pa.Array, own: Codec) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+            ids, counts = own.encode(texts.to_pylist())
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), ids, ends
+
         @F.arrow_udf("array<int>")
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            own = codec(key, shared)
-            for texts in batches:
-                ids, counts = own.encode(texts.to_pylist())
-                ends = np.concatenate([[0], np.cumsum(counts)])
-                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            with task_memory(own := codec(key, shared)):
+                for texts in batches:
+                    yield lists_of(texts, own)[0]
 
         @F.arrow_udf("binary")
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            own = codec(key, shared)
-            for lists in batches:
-                yield pa.array([own.decode(x.values.to_numpy()) if x.is_valid else None for x in lists], pa.binary())
+            with task_memory(own := codec(key, shared)):
+                for lists in batches:
+                    yield pa.array([own.decode(x.values.to_numpy()) if x.is_valid else None for x in lists], pa.binary())
 
-        self._encode, self._decode = encode, decode
+        @F.arrow_udf("ids array<int>, data binary")
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            with task_memory(own := codec(key, shared)):
+                for texts in batches:
+                    lists, ids, ends = lists_of(texts, own)
+                    data = pa.array([own.decode(ids[lo:hi]) for lo, hi in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+                    yield pa.StructArray.from_arrays([lists, data], ["ids", "data"])
+
+        self._encode, self._decode, self._both = encode, decode, both
 
     def encode(self, text: str | Column) -> Column:
         """Ids of a text, as ``array<int>``."""
@@ -236,6 +268,10 @@ class Tokenizer:
         """Bytes of ``array<int>`` ids."""
         return self._decode(ids)
 
+    def both(self, text: str | Column) -> Column:
+        """struct(ids, data): the ids of a text and the bytes decoded from them, in one pass through Python."""
+        return self._both(text)
+
 
 def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the ids of ``text``. A column of that name is replaced."""
@@ -250,8 +286,7 @@ def decoded(df: DataFrame, path: str, pattern: str, ids: str = "ids", data: str
 def round_trip(df: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) per row: both directions, as digests."""
     tokenizer = Tokenizer(df.sparkSession, path, pattern)
-    ids = df.select(F.col(f"`{id}`"), tokenizer.encode(F.col(f"`{text}`")).alias("ids"))
-    back = ids.withColumn("data", tokenizer.decode("ids"))
+    back = df.select(F.col(f"`{id}`"), tokenizer.both(F.col(f"`{text}`")).alias("both")).select(F.col(f"`{id}`"), "both.*")
     return back.select(
         F.col(f"`{id}`"),
         F.size("ids").cast("long").alias("n_tokens"),

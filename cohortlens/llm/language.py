@@ -149,18 +149,14 @@ def fit(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang
     return fitted_sets([np.frombuffer(r.codes, np.int32) for r in drawn], [r.lang for r in drawn])
 
 
-_grams: list[Grams] = []
-
-
-def predicted(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+def predicted(model: Model, texts: list[str | None], grams: Grams | None = None) -> tuple[list[str], np.ndarray]:
     """Languages and scores; ``und`` with score 0 for a text that is null or has no letter, or if no language was learned."""
-    if not _grams:
-        _grams.append(Grams())
+    grams = grams or Grams()
     langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     known = [i for i, t in enumerate(texts) if has_letter(t)] if model.langs else []
     for lo in range(0, len(known), ROWS):
         rows = known[lo : lo + ROWS]
-        values = np.exp(SHARPNESS / 2 * model.values([_grams[0](texts[i]) for i in rows]).astype(np.float64))
+        values = np.exp(SHARPNESS / 2 * model.values([grams(texts[i]) for i in rows]).astype(np.float64))
         best = values.argmax(axis=1)
         scores[rows] = values[np.arange(len(rows)), best] / values.sum(axis=1)
         for i, b in zip(rows, best.tolist(), strict=True):
@@ -174,8 +170,9 @@ def language(model: Model, df: DataFrame, text: Column) -> Column:
 
     @F.arrow_udf("lang string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        grams = Grams()  # its table goes with the task
         for texts in batches:
-            langs, scores = predicted(shared.value, texts.to_pylist())
+            langs, scores = predicted(shared.value, texts.to_pylist(), grams)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     return predict(text)

@@ -13,6 +13,8 @@ from cohortlens.session import materialized
 SPACES = " \t\n\x0b\f\r"
 #: Rows per Arrow batch: a few hundred texts of any length, so that a Python worker stays small.
 BATCH_ROWS = "256"
+#: Bytes per Arrow batch, since a few hundred long texts would be large.
+BATCH_BYTES = str(4 << 20)
 #: Rows of a table that may be broadcast, once its rows have been counted. The rows here are keys and numbers.
 BROADCAST_ROWS = 200_000
 
@@ -20,6 +22,7 @@ BROADCAST_ROWS = 200_000
 def small_batches(spark: SparkSession) -> SparkSession:
     """Hand texts to Python workers a few hundred at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
