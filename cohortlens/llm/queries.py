@@ -83,8 +83,8 @@ def trusted(spark: SparkSession, d: str, rows: int = TRUSTED) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     """Every document by the base rules and by its n-grams' likelihood ratio."""
-    docs = table(spark, d, "documents").join(F.broadcast(trusted(spark, d)), "doc_id", "left")
-    return quality_rules.judged(docs, F.col("trusted"))
+    docs = table(spark, d, "documents").select("doc_id", "text")  # other columns may be called as those that are added
+    return quality_rules.judged(docs.join(F.broadcast(trusted(spark, d)), "doc_id", "left"), F.col("trusted"))
 
 
 def op6_site_quality(spark: SparkSession, d: str) -> DataFrame:
