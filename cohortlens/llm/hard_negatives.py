@@ -37,8 +37,8 @@ LOW, HIGH = 50, 95
 PLANES = 4
 #: About so many anchors are broadcast at once: a fixed number of vectors, whatever the table's size.
 ANCHORS = 8192
-#: Rows and anchors compared at once in a task.
-BLOCK = 1024
+#: Rows, and anchors, compared at once in a task; and pairs scored at once.
+BLOCK, PAIRS = 512, 1 << 14
 NONE = np.iinfo(np.int64).min
 
 
@@ -163,9 +163,10 @@ def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.empty((0, 0), np.int64)
 
 
-def scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Integer inner products of the rows of two matrices."""
-    return np.concatenate([np.empty(0, np.int64), *(np.einsum("ij,ij->i", x[k : k + 65536], y[k : k + 65536]) for k in range(0, len(x), 65536))])
+def scores(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Integer inner products of rows ``i`` of one matrix with rows ``j`` of another, so many at once."""
+    parts = [slice(k, k + PAIRS) for k in range(0, len(i), PAIRS)]
+    return np.concatenate([np.empty(0, np.int64), *(np.einsum("ij,ij->i", x[i[p]], y[j[p]]) for p in parts)])
 
 
 def nearest(chunk: Chunk, blocks: Iterator[Rows], k: int) -> tuple[Best, int]:
@@ -182,7 +183,7 @@ def nearest(chunk: Chunk, blocks: Iterator[Rows], k: int) -> tuple[Best, int]:
                 i, a = np.nonzero((high >= best.least[anchors]) & (rows.row[mine][:, None] != chunk.row[anchors]))
                 i, a = mine[i], anchors[a]
                 scored += len(i)
-                best.add(a, scores(rows.vectors[i], chunk.vectors[a]), rows.id[i], rows.row[i])
+                best.add(a, scores(rows.vectors, i, chunk.vectors, a), rows.id[i], rows.row[i])
     return best, scored
 
 
@@ -201,7 +202,7 @@ def inside(chunk: Chunk, blocks: Iterator[Rows], k: int) -> tuple[Best, int]:
             roof = np.maximum.reduceat(high, first[a])[: len(a)]
             i, j = np.nonzero((most >= floor) & (least <= roof) & (rows.label[:, None] != chunk.label[a]))
             j = a[j]
-            s = scores(rows.vectors[i], chunk.vectors[j])
+            s = scores(rows.vectors, i, chunk.vectors, j)
             scored += len(i)
             for slot in range(int(np.diff(first).max(initial=0))):
                 band = first[j] + slot
