@@ -13,7 +13,9 @@ from __future__ import annotations
 import heapq
 import json
 import sys
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from itertools import chain, islice
 
 import ahocorasick
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens in hand at once; what is made of them is dropped with them.
 PIECES = 1 << 17
+#: Distinct words, and bytes of the longest of them, that a task remembers from block to block.
+KNOWN, KEPT = 100_000, 64
 #: Later than any merge.
 NEVER = np.int64(1) << 40
 LAST = int(NEVER)
@@ -150,6 +154,11 @@ class Pairs:
         return own
 
 
+def packed_ids(ids: Sequence[int]) -> bytes:
+    """Ids as the bytes of unsigned 32-bit integers, in this machine's order."""
+    return array("I", ids).tobytes()
+
+
 class Codec:
     """Encodes and decodes on one worker."""
 
@@ -171,6 +180,7 @@ class Codec:
         self.cut, self.careful, self.later = regex.compile(PATTERN), regex.compile(CAREFUL), regex.compile(f"[{_LATER}]")
         names = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        self.known: dict[str, bytes] = {}
         self.merged_words = self.words = 0
 
     def proposed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,13 +231,21 @@ class Codec:
                 heapq.heappush(waiting, (r, h))
         return [t for t in part if t >= 0]
 
-    def learned(self, words: Iterable[str]) -> dict[str, Sequence[int]]:
-        """The ids of every distinct word: proposed for all, all pairs tested at once, the failing ones merged."""
-        words = list(words)
+    def learned(self, words: Iterable[str]) -> dict[str, bytes]:
+        """The packed ids of every distinct word: proposed for all, all pairs tested at once, the failing ones merged."""
+        words = set(words)
+        out = {w: self.known[w] for w in words if w in self.known}
+        fresh = dict(zip(new := list(words.difference(out)), self._new(new), strict=True))
+        if len(self.known) + len(fresh) > KNOWN:
+            self.known = {}
+        self.known.update((w, ids) for w, ids in islice(fresh.items(), KNOWN) if len(w) <= KEPT)
+        return out | fresh
+
+    def _new(self, words: list[str]) -> list[bytes]:
+        """``learned``, in order, for words that are not known yet."""
         keys = [w.encode() for w in words]
-        whole = list(map(self.id.get, keys))
-        out = {w: (i,) for w, i in zip(words, whole, strict=True) if i is not None}
-        longer = [k for k, i in enumerate(whole) if i is None]
+        out = [None if i is None else packed_ids((i,)) for i in map(self.id.get, keys)]
+        longer = [k for k, ids in enumerate(out) if ids is None]
         self.words += len(words)
         if longer:
             ids, of = self.proposed([keys[k] for k in longer])
@@ -236,9 +254,9 @@ class Codec:
             good = self.pairs.compatible(pairs // self.pairs.n, pairs % self.pairs.n)
             failing = np.zeros(len(longer), bool)
             failing[of[1:][inside][~good[place]]] = True
-            starts, flat = np.searchsorted(of, np.arange(len(longer) + 1)).tolist(), ids.tolist()
+            starts, flat = (4 * np.searchsorted(of, np.arange(len(longer) + 1))).tolist(), ids.astype(np.uint32).tobytes()
             for k, lo, hi, fails in zip(longer, starts[:-1], starts[1:], failing.tolist(), strict=True):
-                out[words[k]] = self.merged(keys[k]) if fails else flat[lo:hi]
+                out[k] = packed_ids(self.merged(keys[k])) if fails else flat[lo:hi]
             self.merged_words += int(failing.sum())
         return out
 
@@ -263,9 +281,9 @@ class Codec:
 
         def flush() -> None:
             ids = self.learned({w for _, words in block for w in words if type(w) is str})
-            ids |= {i: (i,) for i in self.vocabulary.special.values()}
+            ids |= {i: packed_ids((i,)) for i in self.vocabulary.special.values()}
             for k, words in block:
-                found.append(np.fromiter(chain.from_iterable(map(ids.__getitem__, words)), np.uint32))
+                found.append(np.frombuffer(b"".join(map(ids.__getitem__, words)), np.uint32))
                 counts[k] += len(found[-1])
             block.clear()
 
@@ -290,12 +308,17 @@ class Codec:
 _codecs: dict[int, Codec] = {}
 
 
-def codec(key: int, shared: Broadcast) -> Codec:
-    """This worker's codec; it holds the vocabulary's tables and nothing of the texts. Another vocabulary replaces it."""
+@contextmanager
+def codec(key: int, shared: Broadcast) -> Iterator[Codec]:
+    """This worker's codec, for one task; then it keeps the vocabulary's tables and nothing of the texts. Another vocabulary replaces it."""
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(shared.value)
-    return _codecs[key]
+    try:
+        yield _codecs[key]
+    finally:
+        _codecs[key].known = {}
+        pa.default_memory_pool().release_unused()
 
 
 class Tokenizer:
@@ -313,27 +336,31 @@ class Tokenizer:
 
         @F.arrow_udf("array<int>")
         def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for texts in batches:
-                ids, counts = codec(key, shared).encode(texts.to_pylist())
-                yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.view(np.int32)))
+            with codec(key, shared) as own:
+                for texts in batches:
+                    ids, counts = own.encode(texts.to_pylist())
+                    yield pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.view(np.int32)))
 
         @F.arrow_udf("binary")
         def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for texts in batches:
-                ids, counts = codec(key, shared).encode(texts.to_pylist())
-                ends = np.concatenate([[0], np.cumsum(counts)]) * 4
-                data = ids if sys.byteorder == "little" else ids.byteswap()
-                yield pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+            with codec(key, shared) as own:
+                for texts in batches:
+                    ids, counts = own.encode(texts.to_pylist())
+                    ends = np.concatenate([[0], np.cumsum(counts)]) * 4
+                    data = ids if sys.byteorder == "little" else ids.byteswap()
+                    yield pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
 
         @F.arrow_udf("string")
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for lists in batches:
-                yield pa.array([codec(key, shared).decode(x.values.to_numpy()) if x.is_valid else None for x in lists], pa.string())
+            with codec(key, shared) as own:
+                for lists in batches:
+                    yield pa.array([own.decode(x.values.to_numpy()) if x.is_valid else None for x in lists], pa.string())
 
         @F.arrow_udf("string")
         def unpack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for data in batches:
-                yield pa.array([codec(key, shared).decode(np.frombuffer(x.as_buffer(), "<u4")) if x.is_valid else None for x in data], pa.string())
+            with codec(key, shared) as own:
+                for data in batches:
+                    yield pa.array([own.decode(np.frombuffer(x.as_buffer(), "<u4")) if x.is_valid else None for x in data], pa.string())
 
         self._encode, self._pack, self._decode, self._unpack = encode, pack, decode, unpack
 
