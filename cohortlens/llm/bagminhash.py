@@ -35,6 +35,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: A bucket with more members than this that leaders leave in several components goes on by rare shingles.
 PAIRED = 24
+#: 64-bit words of a parity sketch: texts of a few thousand shingles differ in about as many bits as in shingles.
+WORDS64 = 16
 #: Slots in which the frequencies of shingles are counted where rare ones are sought.
 SLOTS = 1 << 16
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -150,6 +152,16 @@ def rarest(bag: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
     return items[order[: n - ceil(similarity * n - 1e-9) + 1]]
 
 
+def parity(bag: np.ndarray) -> np.ndarray:
+    """Bits of whether the number of items that fall on each bit is odd.
+
+    An item that only one of two bags has turns one bit over, so the bags differ in at least as
+    many items, repeats counted, as their sketches differ in bits.
+    """
+    bits = np.bincount((mixed(bag.view(np.uint64)) >> np.uint64(32)).astype(np.int64) % (64 * WORDS64), minlength=64 * WORDS64) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _signed(text: Column, size: int, bands: int, rows: int) -> Column:
     """struct(copy, n, bands) of a text's bytes: a digest of its words, the number of shingles, the band keys."""
     kind = pa.struct([("copy", pa.binary()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
@@ -243,12 +255,16 @@ class _Linker:
         fresh = merged.join(known.select("node"), "node", "left_anti")
         self.roots = materialized(moved.select("node", F.coalesce("_to", "root").alias("root")).unionByName(fresh))
 
-    def open(self, members: DataFrame) -> DataFrame:
-        """The members of buckets that still lie in more than one component, with root and size."""
-        rooted = members.join(small_enough(self.roots), "node", "left") if self.roots is not None else members.withColumn("root", F.lit(None).cast("long"))
-        rooted = materialized(rooted.withColumn("root", F.coalesce("root", "node")))
-        sizes = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
-        return materialized(rooted.join(sizes.drop("_lo", "_hi"), "bucket"))
+    def open(self, nodes: DataFrame) -> DataFrame:
+        """(bucket, ..., node, n, root, size) of the buckets that still lie in more than one component.
+
+        ``nodes`` has a row per node with its ``items``, structs with ``bucket``; components are
+        joined to nodes, and buckets taken apart after that.
+        """
+        own = nodes.join(small_enough(self.roots), "node", "left") if self.roots is not None else nodes.withColumn("root", F.lit(None).cast("long"))
+        rows = own.withColumn("root", F.coalesce("root", "node")).select(*[c for c in own.columns if c != "items"], F.inline("items"))
+        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
+        return materialized(rows.join(small_enough(materialized(sizes.drop("_lo", "_hi"))), "bucket"))
 
     def led(self, members: DataFrame) -> DataFrame:
         """Pairs of every member of a bucket with one of its members, unless their component is the same."""
@@ -264,7 +280,7 @@ class _Linker:
         return pairs.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb")
 
     def rare(self, nodes: DataFrame) -> DataFrame:
-        """(bucket, node, n, place): nodes by the rarest of their shingles among them, repeats numbered.
+        """(node, n, sketch, items): nodes with the rarest of their shingles among them, repeats numbered, as (bucket, place).
 
         Of two bags with similarity t, each shares one of its n - ceil(t n) + 1 first items, in any
         order common to all, with the other's, so no link is lost. Rare shingles come first; how
@@ -275,28 +291,35 @@ class _Linker:
         often = np.zeros(SLOTS, np.int64)
         often[[r["slot"] for r in slots]] = [r["count"] for r in slots]
         shared, t = own.sparkSession.sparkContext.broadcast(often), self.similarity
-        kind = pa.list_(pa.struct([("bucket", pa.int64()), ("place", pa.int32())]))
+        kind = pa.struct([("items", pa.list_(pa.struct([("bucket", pa.int64()), ("place", pa.int32())]))), ("sketch", pa.list_(pa.int64()))])
 
-        @F.arrow_udf("array<struct<bucket: bigint, place: int>>")
+        @F.arrow_udf("items array<struct<bucket: bigint, place: int>>, sketch array<bigint>")
         def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for bags in batches:
-                lists = [rarest(x.values.to_numpy(), shared.value, t) for x in bags]
-                yield pa.array([[{"bucket": b, "place": i} for i, b in enumerate(x.tolist(), 1)] for x in lists], kind)
+                bags = [x.values.to_numpy() for x in bags]
+                lists = [[{"bucket": b, "place": i} for i, b in enumerate(rarest(x, shared.value, t).tolist(), 1)] for x in bags]
+                yield pa.array([{"items": i, "sketch": parity(x).tolist()} for i, x in zip(lists, bags, strict=True)], kind)
 
-        return materialized(own.select("node", "n", F.explode(first("bag")).alias("_i")).select("_i.bucket", "node", "n", "_i.place"))
+        return materialized(own.select("node", "n", first("bag").alias("_f")).select("node", "n", "_f.*"))
 
     def placed(self, members: DataFrame) -> DataFrame:
         """``across`` for the buckets of ``rare``, without pairs that cannot be links for where they meet.
 
         What two bags share is at most one item here and the rest of the shorter side after it.
-        For the smaller of two bags that leaves about half of its prefix.
+        For the smaller of two bags that leaves about half of its prefix. Nor without pairs whose
+        sketches show that they differ in too many items; so texts that share most of their
+        shingles and still are no duplicates are not verified one against all, and no link is lost.
         """
         t = self.similarity
         mine = members.where(F.col("place") <= F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9) + 1)
-        other = members.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("place").alias("pb"))
+        bits = [F.col("sketch")[i].alias(f"s{i}") for i in range(WORDS64)]
+        mine = mine.select("bucket", "node", "n", "root", "place", *bits)
+        other = members.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("place").alias("pb"), *[c.alias(f"t{i}") for i, c in enumerate(bits)])
         order = "(n < nb or (n = nb and node < b)) and root <> rb"
         enough = 1 + F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb")) >= F.lit(t / (1 + t)) * (F.col("n") + F.col("nb")) - 1e-9
-        pairs = mine.join(other, "bucket").where(F.expr(order) & (F.col("n") >= F.lit(t) * F.col("nb") - 1e-9) & enough)
+        differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(WORDS64)), F.lit(0))
+        alike = differ <= F.lit((1 - t) / (1 + t)) * (F.col("n") + F.col("nb")) + 1e-9
+        pairs = mine.join(other, "bucket").where(F.expr(order) & (F.col("n") >= F.lit(t) * F.col("nb") - 1e-9) & enough & alike)
         return pairs.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb")
 
 
@@ -320,11 +343,11 @@ def near_duplicates(
     reps = signed.join(copies.select(F.col("rep").alias("node")), "node", "left_semi")
     spread = materialized(reps.select("node", "n", F.explode("bands").alias("bucket")))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").drop("_size")
-    members = materialized(spread.join(shared, "bucket"))
+    members = materialized(spread.join(shared, "bucket").groupBy("node").agg(F.first("n").alias("n"), F.collect_list(F.struct("bucket")).alias("items")))
     if members.isEmpty():
         classes = copies.withColumn("root", F.col("rep"))
     else:
-        wanted = materialized(signed.join(members.select("node").distinct(), "node", "left_semi").select(F.col("path").alias("_path"), F.col("row").alias("_row"), "node", "n"))
+        wanted = materialized(signed.join(members.select("node"), "node", "left_semi").select(F.col("path").alias("_path"), F.col("row").alias("_row"), "node", "n"))
         texts = docs.select("_path", "_row", F.col(f"`{text}`").alias("_text"))
         bags = materialized(texts.join(small_enough(wanted), ["_path", "_row"]).select("node", "n", _bag(F.col("_text"), size).alias("bag")))
         linker = _Linker(bags, similarity)

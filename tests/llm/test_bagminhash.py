@@ -129,3 +129,40 @@ def test_prefixes_of_similar_bags_meet():
         if B.overlap(a, b) >= 0.8:
             often = rng.integers(0, 5, 64)
             assert np.intersect1d(B.rarest(a, often, 0.8), B.rarest(b, often, 0.8)).size
+
+
+def test_sketches_differ_in_no_more_bits_than_bags_in_items():
+    rng = np.random.default_rng(6)
+    for n in (1, 7, 100, 3000):
+        a = np.sort(rng.integers(0, max(2, n // 2), n))
+        b = np.sort(np.concatenate([a[rng.random(n) < 0.8], rng.integers(0, n + 1, n // 5)]))
+        counts = [np.bincount(x, minlength=n + 1) for x in (a, b)]
+        bits = int(np.bitwise_count((B.parity(a) ^ B.parity(b)).view(np.uint64)).sum())
+        assert bits <= np.abs(counts[0] - counts[1]).sum() and (n > 7 or bits > 0 or (counts[0] == counts[1]).all())
+
+
+def test_a_chained_group_verifies_few_pairs(spark, monkeypatch):
+    """Edits of one text, some 0.7 alike and linked in chains: verified pairs grow with the texts, not with their square."""
+    tested = []
+    verify = B._Linker.verify
+
+    def counted(self, pairs):
+        verify(self, pairs)
+        tested.append(self.tested.count())
+
+    monkeypatch.setattr(B._Linker, "verify", counted)
+    per_text = []
+    for n in (200, 400):
+        rng = np.random.default_rng(9)
+        word = lambda: "w" + str(rng.integers(1 << 40))
+        base, rows = [word() for _ in range(120)], []
+        for i in range(n):
+            text = list(base)
+            for k in rng.integers(0, 120, 2):
+                text[k] = word()
+            rows.append((i, " ".join(text)))
+        docs = exact.located(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, k int"))
+        places = {(r._path, r._row): r.k for r in docs.select("_path", "_row", "k").collect()}
+        check(rows, B.near_duplicates(docs).collect(), places)
+        per_text.append(tested[-1] / n)
+    assert per_text[1] < 60 and per_text[1] < 1.7 * per_text[0]
