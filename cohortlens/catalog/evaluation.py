@@ -77,6 +77,10 @@ def _bootstrap(spark, d):
     return r6(ev.bootstrap_difference(_labelled(spark, d), "id", "label", "score", "other", reps=REPS))
 
 
+def _bootstrap_of(metric, *horizon):
+    return lambda s, d: r6(metric(base.scored(s, d), "id", *horizon, "score", "other", reps=REPS))
+
+
 def _threshold(spark, d):
     wide = ev.decision_table(_labelled(spark, d), "score", "label", [0.4], by="site")
     long = wide.unpivot(["site"], ["sensitivity", "specificity", "ppv"], "metric", "value")
@@ -112,6 +116,9 @@ QUERIES = {
     "K6_fairness_gap": _gap,
     "K7_compare": _compare,
     "K7_bootstrap_difference": _bootstrap,
+    "K7_bootstrap_cindex": _bootstrap_of(ev.bootstrap_cindex),
+    "K7_bootstrap_auc": _bootstrap_of(ev.bootstrap_auc, HORIZON),
+    "K7_bootstrap_brier": _bootstrap_of(ev.bootstrap_brier, HORIZON),
     "K8_meets_threshold": _threshold,
     "K9_detection_delay": _delays,
     "K9_delay_summary": _delay_summary,
@@ -180,6 +187,32 @@ def _calibration_sql(horizon: int) -> str:
 
 _POISSON = "CASE " + " ".join(f"WHEN u < {e!r}::DOUBLE THEN {k}" for k, e in enumerate(ev.poisson_edges())) + " ELSE 12 END"
 _LOW = int((1 - 0.95) / 2 * (REPS - 1))
+#: The weight of every row in every replicate; replicate -1 weighs each once.
+_DRAWS = f"""SELECT id, r, CASE WHEN r < 0 THEN 1 ELSE {_POISSON} END AS w FROM (
+  SELECT id, r, CAST('0x' || substr(md5('boot' || r || ':' || id), 1, 8) AS BIGINT) / {2**32}.0::DOUBLE AS u FROM scor, range(-1, {REPS}) g(r))"""
+_DIFFERENCE = (
+    f"SELECT {rd('max(m) FILTER (r < 0)')} AS model, {rd('max(c) FILTER (r < 0)')} AS comparator, {rd('max(m - c) FILTER (r < 0)')} AS difference, "
+    f"{rd(f'list_sort(list(m - c) FILTER (r >= 0))[{_LOW + 1}]')} AS lower, {rd(f'list_sort(list(m - c) FILTER (r >= 0))[{REPS - _LOW}]')} AS upper FROM reps"
+)
+
+
+def _won(s: str) -> str:
+    return f"sum(a.w * b.w * k * (CASE WHEN a.{s} > b.{s} THEN 1.0 WHEN a.{s} = b.{s} THEN 0.5 ELSE 0.0 END)) / sum(a.w * b.w * k)"
+
+
+def _weighted_sql(body: str, **more: str) -> str:
+    """``_DIFFERENCE`` over ``body``, with the chance of being followed until before each time and until the horizon."""
+    life = life_table("0")
+    return sql(
+        "scor", _DIFFERENCE, draws=_DRAWS, cnt=life["cnt"].replace("FROM surv", "FROM scor"), lt=life["lt"],
+        stay="SELECT time, CASE WHEN n > d THEN 1.0 - c / (n - d) ELSE 1.0 END AS stay FROM lt",
+        gb="SELECT a.time, coalesce(product(b.stay ORDER BY b.time) FILTER (b.time < a.time), 1.0) AS before FROM stay a JOIN stay b ON b.time <= a.time GROUP BY a.time",
+        state=f"SELECT s.id, score, other, CAST(event = 1 AND s.time <= {HORIZON} AS INTEGER) AS hit, CASE WHEN event = 1 AND s.time <= {HORIZON} THEN 1.0 / before "
+        f"ELSE 1.0 / (SELECT product(stay ORDER BY time) FROM stay WHERE time <= {HORIZON}) END AS k FROM scor s JOIN gb USING (time) WHERE event = 1 AND s.time <= {HORIZON} OR s.time > {HORIZON}",
+        **more, reps=body,
+    )
+
+
 _DELAY = (
     "SELECT f.id, CAST(date_diff('day', event_t, (SELECT min(t) FROM v WHERE v.id = f.id AND prio = '1-URGENT' AND t >= event_t)) AS INTEGER) AS delay_days FROM firsts f"
 )
@@ -232,6 +265,19 @@ SQL = {
         f"FROM dif, range({REPS}) g(r)",
         reps=f"SELECT r, sum(dd * w ORDER BY id) / sum(w) AS b FROM (SELECT *, {_POISSON} AS w FROM drawn) GROUP BY r",
     ),
+    "K7_bootstrap_cindex": sql(
+        "scor", _DIFFERENCE, draws=_DRAWS,
+        reps=f"SELECT a.r, {_won('score')} AS m, {_won('other')} AS c FROM (SELECT *, 1.0 AS k FROM scor JOIN draws USING (id) WHERE event = 1) a "
+        "JOIN (SELECT * FROM scor JOIN draws USING (id)) b ON a.r = b.r AND (a.time < b.time OR (a.time = b.time AND b.event = 0)) GROUP BY a.r",
+    ),
+    "K7_bootstrap_auc": _weighted_sql(
+        f"SELECT a.r, {_won('score')} AS m, {_won('other')} AS c FROM (SELECT * FROM state JOIN draws USING (id) WHERE hit = 1) a "
+        "JOIN (SELECT id, r, w, score, other FROM state JOIN draws USING (id) WHERE hit = 0) b ON a.r = b.r GROUP BY a.r"
+    ),
+    "K7_bootstrap_brier": _weighted_sql(
+        "SELECT r, sum(pow(score - hit, 2) * k * w ORDER BY id) / sum(k * w ORDER BY id) AS m, sum(pow(other - hit, 2) * k * w ORDER BY id) / sum(k * w ORDER BY id) AS c "
+        "FROM state JOIN draws USING (id) GROUP BY r"
+    ),
     "K8_meets_threshold": sql(
         "scor",
         " UNION ALL ".join(

@@ -17,6 +17,7 @@ from cohortlens.functions.time import days_between
 from cohortlens.operators.survival import ipcw, km, surv_at
 from cohortlens.plans.ranks import dense_ranks
 from cohortlens.plans.skew import as_list, attach, lookup_join, skew_join
+from cohortlens.session import materialized
 
 # Distinct scores one window may hold; wider spans are ranked in two levels.
 WINDOW_SPAN = 1_000_000
@@ -47,7 +48,12 @@ def keyed(df: DataFrame, score: str, digits: int | None) -> tuple[DataFrame, int
 
 
 def sum_below(table: DataFrame, parts: Sequence[str], key: str, value: str, span: int, out: str) -> DataFrame:
-    """Sum of ``value`` over rows of the same part with a strictly smaller ``key``.
+    """Sum of ``value`` over rows of the same part with a strictly smaller ``key``, as ``sums_below``."""
+    return sums_below(table, parts, key, {out: value}, span)
+
+
+def sums_below(table: DataFrame, parts: Sequence[str], key: str, values: Mapping[str, str], span: int) -> DataFrame:
+    """Per new column of ``values``, the sum of its column over rows of the same part with a strictly smaller ``key``.
 
     Keys are distinct within a part and lie in a range of ``span`` whole numbers. Past
     ``WINDOW_SPAN`` the range is cut into about sqrt(span) chunks; sums within a chunk and
@@ -55,16 +61,16 @@ def sum_below(table: DataFrame, parts: Sequence[str], key: str, value: str, span
     """
     parts = list(parts)
     w = lambda cols, order: Window.partitionBy(*cols).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0)
+    before = lambda c, cols, order: F.coalesce(F.sum(c).over(w(cols, order)), F.lit(0))
     if span <= WINDOW_SPAN:
-        return table.withColumn(out, F.coalesce(F.sum(value).over(w(parts, key)), zero))
+        return table.select("*", *[before(v, parts, key).alias(out) for out, v in values.items()])
     width = math.isqrt(span) + 1
     chunked = table.withColumn("_chunk", F.floor(F.col(key) / F.lit(float(width))).cast("bigint"))
-    totals = chunked.groupBy(*parts, "_chunk").agg(F.sum(value).alias("_sum"))
-    totals = totals.select(*parts, "_chunk", F.coalesce(F.sum("_sum").over(w(parts, "_chunk")), zero).alias("_base"))
-    inside = chunked.withColumn("_in", F.coalesce(F.sum(value).over(w([*parts, "_chunk"], key)), zero))
+    totals = chunked.groupBy(*parts, "_chunk").agg(*[F.sum(v).alias(f"_sum_{out}") for out, v in values.items()])
+    totals = totals.select(*parts, "_chunk", *[before(f"_sum_{out}", parts, "_chunk").alias(f"_base_{out}") for out in values])
+    inside = chunked.select("*", *[before(v, [*parts, "_chunk"], key).alias(f"_in_{out}") for out, v in values.items()])
     both = attach(inside, totals, [*parts, "_chunk"], small=False, how="inner")
-    return both.withColumn(out, F.col("_in") + F.col("_base")).drop("_chunk", "_in", "_base")
+    return both.select(*table.columns, *[(F.col(f"_in_{out}") + F.col(f"_base_{out}")).alias(out) for out in values])
 
 
 def cindex(
@@ -362,6 +368,128 @@ def bootstrap_difference(
     return out.select("difference", F.col("_draws")[lo].alias("lower"), F.col("_draws")[reps - 1 - lo].alias("upper"))
 
 
+def replicated(df: DataFrame, id: str, columns: Sequence[str], reps: int) -> tuple[DataFrame, list[str]]:
+    """``columns`` with a weight per replicate, written, and the weights' names; the first replicate weighs every row once.
+
+    A row's weights are Poisson draws fixed by its entity, so all metrics and all models see the
+    same replicates, on every run.
+    """
+    hashed = lambda r: hash32(F.concat(r.cast("string"), F.lit(":"), F.col(id).cast("string")), "boot") / F.lit(float(SPAN))
+    drawn = df.withColumn("_u", F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), hashed))
+    reached = lambda k: sum((F.when(F.col("_u")[k] >= F.lit(e), 1).otherwise(0) for e in poisson_edges()), F.lit(0))
+    names = [f"_w{k}" for k in range(reps + 1)]
+    weights = [F.lit(1).alias("_w0"), *[reached(k).alias(f"_w{k + 1}") for k in range(reps)]]
+    return materialized(drawn.select(*columns, *weights)), names
+
+
+def _weighted_cindex(rows: DataFrame, score: str, time: str, event: str, names: Sequence[str]) -> DataFrame:
+    """One row, ``values``: the concordance index under every weight; a pair weighs the product of its rows' weights.
+
+    ``cindex`` with a column per weight: rows are counted by (code, score) first, and all weights
+    go through the digits of the codes, the running sums and the totals together.
+    """
+    known, span = keyed(rows, score, None)
+    coded = known.withColumn("_code", F.col(time).cast("bigint") * 2 + (1 - F.col(event).cast("bigint")))
+    limits = coded.agg(F.min("_code").alias("lo"), F.max("_code").alias("hi")).first()
+    least = int(limits["lo"] or 0) // 2 * 2
+    levels = max((int(limits["hi"] or 0) - least).bit_length(), 1)
+    counted = coded.groupBy((F.col("_code") - F.lit(least)).alias("_code"), "_s").agg(*[F.sum(n).alias(n) for n in names])
+    spread = counted.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    upper = F.expr("shiftright(_code, _level) & 1") == 1
+    lower = ~upper & (F.col("_code") % 2 == 0)
+    spread = spread.where(upper | lower).select("_level", F.expr("shiftright(_code, _level + 1)").alias("_prefix"), "_s", upper.alias("_up"), *names)
+    parts, zero = ["_level", "_prefix"], F.lit(0)
+    sides = spread.groupBy(*parts, "_s").agg(
+        *[F.sum(F.when(F.col("_up"), zero).otherwise(F.col(n))).alias(f"_l{n}") for n in names],
+        *[F.sum(F.when(F.col("_up"), F.col(n)).otherwise(zero)).alias(f"_r{n}") for n in names],
+    )
+    ranked = sums_below(sides, parts, "_s", {f"_b{n}": f"_r{n}" for n in names}, span)
+    wide = lambda c: F.col(c).cast("double")
+    per_part = ranked.groupBy(*parts).agg(
+        *[F.sum(wide(f"_l{n}") * (wide(f"_b{n}") + wide(f"_r{n}") / 2.0)).alias(f"_c{n}") for n in names],
+        *[(F.sum(wide(f"_l{n}")) * F.sum(wide(f"_r{n}"))).alias(f"_p{n}") for n in names],
+    )
+    return per_part.agg(F.array(*[F.try_divide(F.sum(f"_c{n}"), F.sum(f"_p{n}")) for n in names]).alias("values"))
+
+
+def _weighted_auc(rows: DataFrame, score: str, case: Column, weight: str, names: Sequence[str]) -> DataFrame:
+    """One row, ``values``: AUROC under every replicate's weights; a case also weighs ``weight``, and controls weigh alike."""
+    known, span = keyed(rows, score, None)
+    per_score = known.groupBy("_s").agg(
+        *[F.sum(F.when(case, F.col(n) * F.col(weight)).otherwise(F.lit(0.0))).alias(f"_l{n}") for n in names],
+        *[F.sum(F.when(case, F.lit(0)).otherwise(F.col(n))).alias(f"_r{n}") for n in names],
+    )
+    ranked = sums_below(per_score.withColumn("_all", F.lit(0)), ["_all"], "_s", {f"_b{n}": f"_r{n}" for n in names}, span)
+    won = lambda n: F.sum(F.col(f"_l{n}") * (F.col(f"_b{n}") + F.col(f"_r{n}") / F.lit(2.0)))
+    value = lambda n: F.try_divide(won(n), F.sum(f"_l{n}") * F.sum(f"_r{n}").cast("double"))
+    return ranked.agg(F.array(*[value(n) for n in names]).alias("values"))
+
+
+def _interval(model: DataFrame, comparator: DataFrame, reps: int, level: float) -> DataFrame:
+    """(model, comparator, difference, lower, upper) from the two models' values in every replicate."""
+    both = model.withColumn("_model", F.lit(True)).unionByName(comparator.withColumn("_model", F.lit(False)))
+    pair = both.agg(F.max(F.when(F.col("_model"), F.col("values"))).alias("m"), F.max(F.when(~F.col("_model"), F.col("values"))).alias("c"))
+    pair = pair.withColumn("d", F.zip_with("m", "c", lambda m, c: m - c))
+    draws = F.array_sort(F.slice("d", 2, reps))
+    lo = int((1 - level) / 2 * (reps - 1))
+    return pair.select(
+        F.col("m")[0].alias("model"), F.col("c")[0].alias("comparator"), F.col("d")[0].alias("difference"),
+        draws[lo].alias("lower"), draws[reps - 1 - lo].alias("upper"),
+    )
+
+
+def bootstrap_cindex(
+    df: DataFrame, id: str, model: str, comparator: str, time: str = "time", event: str = "event", reps: int = 50, level: float = 0.95
+) -> DataFrame:
+    """Interval for the difference in concordance of two scores (K7), in one pass over the rows for all replicates.
+
+    Rows without a time, an event or either score take no part.
+    """
+    known = df.dropna(subset=[time, event, model, comparator])
+    rows, names = replicated(known, id, [time, event, model, comparator], reps)
+    return _interval(*(_weighted_cindex(rows, s, time, event, names) for s in (model, comparator)), reps, level)
+
+
+def _at_horizon(df: DataFrame, id: str, horizon: int, model: str, comparator: str, time: str, event: str, reps: int) -> tuple[DataFrame, list[str]]:
+    """Rows whose state at the horizon is known, with ``_case``, ``_g`` (1 over the chance of being followed) and the weights."""
+    known = df.dropna(subset=[time, event, model, comparator])
+    g = ipcw(known, time, event, [])
+    case = (F.col(event) == 1) & (F.col(time) <= horizon)
+    rows = known.where(case | (F.col(time) > horizon)).withColumn("_at", F.when(case, F.col(time)).otherwise(F.lit(None)))
+    followed = g.where(F.col("time") <= horizon).agg(F.max_by("g_at", "time")).first()[0]  # one number
+    rows = lookup_join(rows, g.select(F.col("time").alias("_at"), "g_before"), ["_at"])
+    late = F.lit(1.0 if followed is None else float(followed))
+    rows = rows.withColumns({"_case": case, "_g": F.try_divide(F.lit(1.0), F.when(case, F.col("g_before")).otherwise(late))})
+    return replicated(rows, id, [model, comparator, "_case", "_g"], reps)
+
+
+def bootstrap_auc(
+    df: DataFrame, id: str, horizon: int, model: str, comparator: str, time: str = "time", event: str = "event", reps: int = 50, level: float = 0.95
+) -> DataFrame:
+    """Interval for the difference in AUROC at a horizon, weighted for censoring (K7).
+
+    The censoring weights are those of all rows, in every replicate.
+    """
+    rows, names = _at_horizon(df, id, horizon, model, comparator, time, event, reps)
+    return _interval(*(_weighted_auc(rows, s, F.col("_case"), "_g", names) for s in (model, comparator)), reps, level)
+
+
+def bootstrap_brier(
+    df: DataFrame, id: str, horizon: int, model: str, comparator: str, time: str = "time", event: str = "event", reps: int = 50, level: float = 0.95
+) -> DataFrame:
+    """Interval for the difference in the Brier score at a horizon, weighted for censoring (K7).
+
+    Scores are risks by the horizon. A case weighs 1 over the chance of being followed until just
+    before its time, a row followed past the horizon 1 over that until the horizon; others, censored before,
+    count as rows only. The mean is over a replicate's rows whose state is known, by those weights.
+    """
+    rows, names = _at_horizon(df, id, horizon, model, comparator, time, event, reps)
+    error = lambda s: F.pow(F.col(s) - F.when(F.col("_case"), 1.0).otherwise(0.0), F.lit(2.0)) * F.col("_g")
+    value = lambda s, n: F.try_divide(F.sum(error(s) * F.col(n)), F.sum(F.col("_g") * F.col(n)))
+    values = lambda s: rows.agg(F.array(*[value(s, n) for n in names]).alias("values"))
+    return _interval(values(model), values(comparator), reps, level)
+
+
 def meets_threshold(metrics: DataFrame, limits: Mapping[str, float], metric: str = "metric", value: str = "value") -> DataFrame:
     """Whether each metric reaches the level stated as useful (K8); null where none is stated."""
     limit = F.lit(None).cast("double")
