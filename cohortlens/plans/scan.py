@@ -1,103 +1,39 @@
 """Ordered scans over each entity's rows, safe for entities of any size.
 
 ``ordered_scan`` adds previous-row values, last-non-null values and running sums along
-an order. Ordinarily it is one window, so one shuffle. Entities too big for one task
-are cut into consecutive time segments of about ``group_rows`` rows; each segment is
-scanned on its own and then receives what the segments before it carry forward. That is
-a two-level prefix scan: segment totals are a few rows per hot entity.
+an order. Ordinarily it is one window, so one shuffle. Rows of entities too big for one task
+are numbered along the order by range partitions and cut into segments of ``group_rows``
+rows; each segment is scanned on its own and then receives what the segments before it carry
+forward. That is a two-level prefix scan: segment totals are a row per segment. All other
+rows keep the plain window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cohortlens.plans.skew import GROUP_ROWS, as_list, attach, hot_keys
-from cohortlens.plans.sizes import pin
+from cohortlens.plans.ranks import positions
+from cohortlens.plans.skew import GROUP_ROWS, KEY_ROWS, as_list, attach, hot_keys
 
-SEG = "_seg"
-SLOT = "_slot"
-
-HOUR_SECONDS = 3600
-
-
-def slot_of(df: DataFrame, order: str) -> Column:
-    """A coarse, order-preserving integer of an order column: hours, days or units."""
-    dtype = df.schema[order].dataType
-    col = F.col(order)
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(col).cast("bigint")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        hours = F.floor(F.unix_micros(col.cast("timestamp")) / F.lit(HOUR_SECONDS * 1_000_000.0))
-        return hours.cast("bigint")
-    if isinstance(dtype, T.NumericType):
-        return F.floor(col).cast("bigint")
-    raise TypeError(f"cannot segment along {order}: {dtype.simpleString()}")
+SEG, PLACE = "_seg", "_place"
 
 
 def segment(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: tuple[DataFrame, bool], group_rows: int | None
-) -> tuple[DataFrame, list[str]]:
-    """Number each hot key's rows into consecutive segments along ``order``.
+) -> DataFrame:
+    """The rows of hot keys, with their place along the order within the key and their segment.
 
-    Counts per (hot key, slot) are summed along the slots and cut every ``group_rows``
-    rows. A slot that is itself too big, such as a default date, is cut further along the
-    next order columns. Returns the frame with a segment column, and the columns to
-    partition by.
+    A segment holds ``group_rows`` rows, the last of a key fewer, whatever the types and the
+    spread of the order's values.
     """
     limit = group_rows or GROUP_ROWS
-    hot, small = hot
-    slots = [f"{SLOT}0"]
-    slotted = df.withColumn(slots[0], F.coalesce(slot_of(df, order[0]), F.lit(-(2**62))))
-    rows = attach(slotted, hot.select(*keys), keys, small, "left_semi")
-    for column in order[1:]:
-        finer = _finer(rows, [*keys, *slots], column, limit)
-        if finer is None:
-            break
-        table, table_small = finer
-        slots.append(f"{SLOT}{len(slots)}")
-        at = F.floor((_number(df, column) - F.col("_from")) / F.col("_step")).cast("bigint")
-        cut = lambda frame: attach(frame, table, [*keys, *slots[:-1]], table_small).withColumn(
-            slots[-1], F.coalesce(at, F.lit(0))
-        ).drop("_from", "_step")
-        slotted, rows = cut(slotted), cut(rows)
-    counts = rows.groupBy(*keys, *slots).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*slots).rowsBetween(Window.unboundedPreceding, -1)
-    seg = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(limit)).cast("int")
-    cuts, cuts_small = pin(counts.select(*keys, *slots, seg.alias(SEG)))
-    out = attach(slotted, cuts, [*keys, *slots], cuts_small).drop(*slots)
-    return out.withColumn(SEG, F.coalesce(F.col(SEG), F.lit(0))), [*keys, SEG]
-
-
-def _number(df: DataFrame, column: str) -> Column | None:
-    """An order column as a number, or None if it has no natural one."""
-    dtype, col = df.schema[column].dataType, F.col(column)
-    if isinstance(dtype, T.NumericType):
-        return col.cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col.cast("timestamp")).cast("double")
-    return None
-
-
-def _finer(rows: DataFrame, group: list[str], column: str, limit: int) -> tuple[DataFrame, bool] | None:
-    """Even steps along ``column`` inside each group that holds too many rows."""
-    number = _number(rows, column)
-    if number is None:
-        return None
-    sizes = rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(number).alias("_from"), F.max(number).alias("_to")
-    )
-    step = (F.col("_to") - F.col("_from")) / F.ceil(F.lit(2.0) * F.col("_n") / F.lit(limit))
-    wide = sizes.where((F.col("_n") > limit) & (F.col("_from") < F.col("_to")))
-    table, small = pin(wide.select(*group, "_from", step.alias("_step")))
-    if table.isEmpty() and sizes.where(F.col("_n") > limit).isEmpty():
-        return None
-    return table, small
+    table, small = hot
+    rows = attach(df, table.select(*keys), keys, small, "left_semi")
+    held = int(table.agg(F.sum(KEY_ROWS)).first()[0])
+    return positions(rows, keys, order, PLACE, -(-2 * held // limit)).withColumn(SEG, F.floor(F.col(PLACE) / F.lit(limit)))
 
 
 def ordered_scan(
@@ -118,39 +54,45 @@ def ordered_scan(
     carry    {new: column}: the last non-null value up to and including this row
     running  {new: column}: the sum up to and including this row
 
-    ``order`` must be a total order within the key; its first column is the time along
-    which hot keys are cut. A caller that has already looked for hot keys passes them as
+    ``order`` must be a total order within the key. A caller that has already looked for hot keys passes them as
     ``hot`` with ``probe=False``.
     """
     keys, order = as_list(keys), as_list(order)
     prev, carry, running = dict(prev or {}), dict(carry or {}), dict(running or {})
     if probe:
         hot = hot_keys(df, keys, group_rows)
-    split = None if hot is None else segment(df, keys, order, hot, group_rows)
-    frame, parts = (df, keys) if split is None else split
     if prev:
-        frame = frame.withColumn("_row", F.struct(*[F.col(c).alias(n) for n, c in prev.items()]))
-    w = Window.partitionBy(*parts).orderBy(*order)
+        df = df.withColumn("_row", F.struct(*[F.col(c).alias(n) for n, c in prev.items()]))
+    if hot is None:
+        out = _scanned(df, Window.partitionBy(*keys).orderBy(*order), prev, carry, running)
+    else:
+        table, small = hot
+        cold = attach(df, table.select(*keys), keys, small, "left_anti")
+        out = _scanned(cold, Window.partitionBy(*keys).orderBy(*order), prev, carry, running)
+        cut = segment(df, keys, order, hot, group_rows)
+        own = _scanned(cut, Window.partitionBy(*keys, SEG).orderBy(PLACE), prev, carry, running)
+        out = out.unionByName(_carry_over(cut, own, keys, prev, carry, running).select(*out.columns))
+    cols = [F.col(c) for c in df.columns if not (prev and c == "_row")]
+    cols += [F.col("_prev")[n].alias(n) for n in prev]
+    cols += [F.col(f"_c_{n}").alias(n) for n in carry]
+    cols += [F.col(f"_r_{n}").alias(n) for n in running]
+    return out.select(*cols)
+
+
+def _scanned(df: DataFrame, w: WindowSpec, prev, carry, running) -> DataFrame:
+    """``df`` with the columns that one window gives."""
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = frame
-    if prev:
-        out = out.withColumn("_prev", F.lag("_row").over(w))
+    out = df.withColumn("_prev", F.lag("_row").over(w)) if prev else df
     for name, col in carry.items():
         out = out.withColumn(f"_c_{name}", F.last(col, ignorenulls=True).over(upto))
     for name, col in running.items():
         out = out.withColumn(f"_r_{name}", F.sum(col).over(upto))
-    if split is not None:
-        out = _carry_over(frame, out, keys, order, prev, carry, running)
-    cols = [F.col(c) for c in df.columns]
-    cols += [F.col("_prev")[n].alias(n) for n in prev]
-    cols += [F.col(f"_c_{n}").alias(n) for n in carry]
-    cols += [F.col(f"_r_{n}").alias(n) for n in running]
-    return out.select(*cols)
+    return out
 
 
-def _carry_over(frame, scanned, keys, order, prev, carry, running):
+def _carry_over(frame, scanned, keys, prev, carry, running):
     """Give each segment what the earlier segments of its key hand on."""
-    position = F.struct(*order)
+    position = F.col(PLACE)
     totals = []
     if prev:
         totals.append(F.max_by("_row", position).alias("_t_row"))

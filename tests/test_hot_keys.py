@@ -202,10 +202,46 @@ def test_one_instant_holding_most_rows_is_cut(spark):
     data = [(1, start, k, float(k) if k % 3 else None) for k in range(100)]
     data += [(1, start + dt.timedelta(days=k), 100 + k, float(k)) for k in range(20)]
     df = spark.createDataFrame(data, "id INT, t TIMESTAMP, vk INT, x DOUBLE")
-    cut, _ = segment(df, ["id"], ["t", "vk"], hot_keys(df, "id", LIMIT), LIMIT)
+    cut = segment(df, ["id"], ["t", "vk"], hot_keys(df, "id", LIMIT), LIMIT)
     sizes = [r["count"] for r in cut.groupBy(SEG).count().collect()]
     assert sum(sizes) == 120 and max(sizes) <= 2 * LIMIT
     same(temporal.locf(df, "id", ["t", "vk"], "x"), temporal.locf(df, "id", ["t", "vk"], "x", None, LIMIT))
     left, right = df.where("vk % 2 = 0").select("id", "t", "vk"), df.where("vk % 2 = 1").select("id", "t", "vk", "x")
     how = dict(by="id", t="t", left_order=["vk"], right_order=["vk"])
     same(temporal.asof(left, right, **how), temporal.asof(left, right, group_rows=LIMIT, **how))
+
+
+@pytest.mark.parametrize("kind", ["outlier", "fractions", "strings", "equal"])
+def test_segments_are_even_however_the_order_lies(spark, kind):
+    """One far value, fractions with a text after them, texts alone, rows equal in the whole order."""
+    from cohortlens.plans.scan import SEG, segment
+
+    value = {
+        "outlier": lambda k: (1e15 if k == 7 else float(k % 500), str(k)),
+        "fractions": lambda k: (k % 5 / 10, f"n{k:04d}"),
+        "strings": lambda k: (0.0, f"{k * 7919 % 1000:03d}-{k}"),
+        "equal": lambda k: (1.0, "same"),
+    }[kind]
+    data = [(1, *value(k), float(k) if k % 3 else None) for k in range(1000)] + [(None, *value(k), 1.0) for k in range(300)] + [(2, 0.0, "cold", 5.0)]
+    df = spark.createDataFrame(data, "id INT, t DOUBLE, vk STRING, x DOUBLE").repartition(5)
+    cut = segment(df, ["id"], ["t", "vk"], hot_keys(df, "id", 50), 50)
+    sizes = {(r["id"], r[SEG]): r["count"] for r in cut.groupBy("id", SEG).count().collect()}
+    assert sorted(sizes.values()) == [50] * 26 and sum(k[0] is None for k in sizes) == 6
+    how = dict(prev={"p": "x"}, carry={"c": "x"}, running={"r": "x"})
+    plain, split = (ordered_scan(df, "id", ["t", "vk"], group_rows=g, **how) for g in (None, 50))
+    if kind == "equal":  # any order is right: the last sums are the same
+        plain, split = (d.groupBy("id").agg(F.max("r").alias("r"), F.count("p").alias("n"), F.count("c").alias("m")) for d in (plain, split))
+        plain, split = plain.drop("m"), split.drop("m")
+    same(plain, split)
+
+
+def test_cold_rows_keep_one_shuffle(spark):
+    """With a hot key, the branch of the other rows has the exchange of its window and no other."""
+    from tests.test_plans import exchanges, plan
+
+    df = spark.createDataFrame([(1, k, float(k)) for k in range(200)] + [(k, 0, 1.0) for k in range(2, 50)], "id INT, t INT, x DOUBLE")
+    out = ordered_scan(df, "id", ["t"], carry={"c": "x"}, group_rows=20)
+    text = plan(out)
+    cold = text.split("\n\n")[0].split("Union")[1]
+    first = cold.index("LeftAnti") if "LeftAnti" in cold else cold.index("Anti")
+    assert cold[:first].count("Exchange") <= 2 and exchanges(text) >= 1
