@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.catalog import base
@@ -58,6 +61,34 @@ def _pwe(spark, d):
     return models.fit_pwe(rows, COLUMNS).transform(rows).select("id", "period", F.col("prediction").alias("expected_events"))
 
 
+def _met(equations):
+    """Without the fitted sums, which are equal within the tolerance only."""
+    return r6(equations.select("term", "n", "observed", "is_met"), 2)
+
+
+def _terms():
+    return {"intercept": F.lit(1.0), **{c: F.col(c).cast("double") for c in COLUMNS}}
+
+
+def _aft_equations(spark, d):
+    f = _features(spark, d)
+    return _met(models.aft_equations(models.fit_aft(f, COLUMNS), f, COLUMNS))
+
+
+def _hazard_equations(spark, d):
+    rows = _periods(spark, d)
+    scored = models.probability(models.fit_hazard(rows, [*COLUMNS, "period"]), rows)
+    return _met(models.score_equations(scored, F.col("period_event"), F.col("score"), _terms() | {"period": F.col("period").cast("double")}))
+
+
+def _pwe_equations(spark, d):
+    """Of each period events against expected ones; and of each feature."""
+    rows = _periods(spark, d).where("exposure > 0")
+    scored = models.fit_pwe(rows, COLUMNS).transform(rows)
+    each = {f"period {k}": F.when(F.col("period") == k, 1.0).otherwise(0.0) for k in range(-(-HORIZON // 365))}
+    return _met(models.score_equations(scored, F.col("period_event"), F.col("prediction"), _terms() | each))
+
+
 def _gbt(spark, d):
     rows = _labelled(spark, d)
     return models.probability(models.fit_gbt(rows, COLUMNS, weight="weight", max_iter=10), rows).select("id", "label", "score")
@@ -102,13 +133,19 @@ def _flow(spark, d):
                              id="id", order=["t", "vk"], x="x", index="index_t", landmark=365)
     columns = ["index_x", "balance", "slope_per_year", "latest", "n_measures"]
     _, _, metrics = train_and_evaluate(rows, columns, id="id", horizon=1461)
-    return metrics["calibration"].select("bin", "n", "predicted", "observed")
+    c, a, b = metrics["concordance"], metrics["auc"], metrics["calibration"]
+    long = lambda df, name, n, value, of="NULL": df.selectExpr(f"'{name}' AS metric", f"CAST({of} AS INT) AS bin", f"CAST({n} AS BIGINT) AS n", f"{value} AS value")
+    parts = [long(c, "concordance", "comparable", "c_index"), long(a, "auc", "n_cases + n_controls", "auc"), long(b, "predicted", "n", "predicted", "bin"), long(b, "observed", "n", "observed", "bin")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 QUERIES = {
     "I1_fit_aft": _aft,
     "I2_fit_hazard": _hazard,
     "I3_fit_pwe": _pwe,
+    "I1_aft_equations": _aft_equations,
+    "I2_hazard_equations": _hazard_equations,
+    "I3_pwe_equations": _pwe_equations,
     "I4_fit_gbt": _gbt,
     "I5_baseline_score": _baseline,
     "I6_ensemble": _ensemble,
@@ -122,7 +159,34 @@ _TERMS = " UNION ALL ".join(
     f"SELECT id, '{c}' AS feature, ({b!r}::DOUBLE) * (CAST({c} AS DOUBLE) - {MEANS[c]!r}::DOUBLE) AS v FROM coh" for c, b in COEF.items()
 )
 
+_FEAT = (
+    "SELECT s.id, time, event, CAST(index_x AS DOUBLE) AS index_x, CAST(balance AS DOUBLE) AS balance, n_early FROM surv s JOIN "
+    "(SELECT v.id, CAST(count(*) AS DOUBLE) AS n_early FROM v JOIN surv USING (id) WHERE date_diff('day', index_t, v.t) <= 365 GROUP BY v.id) USING (id)"
+)
+_ENDS = f"SELECT *, least(greatest(time, 0), {HORIZON}) AS stop, CASE WHEN time <= {HORIZON} THEN event ELSE 0 END AS had FROM feat"
+_PP = (
+    "SELECT *, CASE WHEN period = last THEN had ELSE 0 END AS y, least(stop, (period + 1) * 365) - period * 365 AS exposure FROM "
+    "(SELECT *, unnest(range(0, last + 1)) AS period FROM (SELECT *, CASE WHEN stop > 0 AND stop % 365 = 0 THEN stop // 365 - 1 ELSE stop // 365 END AS last FROM stops))"
+)
+
+
+def _equations(rows: str, y: str, terms: dict[str, str]) -> str:
+    """What the sums over the observed values must be, every equation being met."""
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS term, count(*) AS n, {rd(f'sum(CAST({y} AS DOUBLE) * {x} ORDER BY id)', 2)} AS observed, CAST(1 AS INTEGER) AS is_met FROM {rows}" for t, x in terms.items()
+    )
+
+
+_TERM_SQL = {"intercept": "1.0::DOUBLE", **{c: c for c in COLUMNS}}
+
 SQL = {
+    "I1_aft_equations": sql("surv v", _equations("(SELECT * FROM feat WHERE time > 0)", "event", _TERM_SQL | {"shape": "1.0::DOUBLE"}), feat=_FEAT),
+    "I2_hazard_equations": sql("surv v", _equations("pp", "y", _TERM_SQL | {"period": "CAST(period AS DOUBLE)"}), feat=_FEAT, stops=_ENDS, pp=_PP),
+    "I3_pwe_equations": sql(
+        "surv v",
+        _equations("(SELECT * FROM pp WHERE exposure > 0)", "y", _TERM_SQL | {f"period {k}": f"CAST(period = {k} AS DOUBLE)" for k in range(-(-HORIZON // 365))}),
+        feat=_FEAT, stops=_ENDS, pp=_PP,
+    ),
     "I5_baseline_score": sql("scor", "SELECT id, other, time, other AS score FROM scor"),
     "I6_ensemble": sql(
         "scor",

@@ -101,6 +101,33 @@ def fit_pwe(
     return Pipeline(stages=stages).fit(rows)
 
 
+def score_equations(df: DataFrame, observed: Column, fitted: Column, terms: Mapping[str, Column], tolerance: float = 1e-4) -> DataFrame:
+    """(term, n, observed, fitted, gradient, is_met): whether a likelihood is at its maximum, from all rows in one pass.
+
+    At the maximum of a likelihood whose gradient by a coefficient is the sum of (observed -
+    fitted) * term, the two sums agree. ``gradient`` is their difference as a share of the sum of
+    the observed sizes, or of the rows where nothing was observed; ``is_met`` tells whether that is within ``tolerance``. Rows without an
+    observed or fitted value or a term are left out of that term.
+    """
+    sums = []
+    for name, x in terms.items():
+        o, f = observed * x, fitted * x
+        known = o.isNotNull() & f.isNotNull()
+        total = lambda c: F.coalesce(F.sum(F.when(known, c).cast("double")), F.lit(0.0))  # noqa: B023  used at once
+        sums.append(F.struct(F.lit(name).alias("term"), F.count_if(known).alias("n"), total(o).alias("observed"), total(f).alias("fitted"), total(F.abs(o)).alias("_size")))
+    rows = df.agg(F.array(*sums).alias("_t")).select(F.inline("_t"))
+    gradient = F.try_divide(F.col("observed") - F.col("fitted"), F.when(F.col("_size") > 0, F.col("_size")).otherwise(F.col("n")))
+    return rows.select("term", "n", "observed", "fitted", gradient.alias("gradient"), (F.abs(gradient) <= tolerance).cast("int").alias("is_met"))
+
+
+def aft_equations(model: WeibullModel, df: DataFrame, features: Sequence[str], time: str = "time", event: str = "event", tolerance: float = 1e-4) -> DataFrame:
+    """``score_equations`` of a Weibull model: events against exp(e), e the standardised log time, and for the shape e * (exp(e) - event)."""
+    rows = model.transform(df.where(F.col(time) > 0)).withColumn("_e", F.log(F.col(time) / F.col("scale")) * F.lit(model.shape))
+    d = F.col(event).cast("double")
+    ends = score_equations(rows, d, F.exp("_e"), {"intercept": F.lit(1.0), **{c: F.col(c).cast("double") for c in features}}, tolerance)
+    return ends.unionByName(score_equations(rows, d, F.col("_e") * (F.exp("_e") - d), {"shape": F.lit(1.0)}, tolerance))
+
+
 def fit_gbt(
     df: DataFrame, features: Sequence[str], label: str = "label", weight: str | None = None, seed: int = 7,
     max_iter: int = 20, max_depth: int = 4,
