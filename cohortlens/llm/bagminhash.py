@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.exact import located
-from cohortlens.llm.rows import small_batches, small_enough
+from cohortlens.llm.rows import RowMarks, small_batches, small_enough
 from cohortlens.session import materialized
 
 WORDS, SIMILARITY = 5, 0.8
@@ -349,6 +349,10 @@ def near_duplicates(
     else:
         wanted = materialized(signed.join(members.select("node"), "node", "left_semi").select(F.col("path").alias("_path"), F.col("row").alias("_row"), "node", "n"))
         texts = docs.select("_path", "_row", F.col(f"`{text}`").alias("_text"))
+        marks = RowMarks(wanted, {"wanted": F.lit(True)})
+        if marks.bits is not None:  # only texts that are compared meet the join
+            marked, is_set = marks.on(texts)
+            texts = marked.where(is_set["wanted"]).select("_path", "_row", "_text")
         bags = materialized(texts.join(small_enough(wanted), ["_path", "_row"]).select("node", "n", _bag(F.col("_text"), size).alias("bag")))
         linker = _Linker(bags, similarity)
         linker.verify(linker.led(linker.open(members)))

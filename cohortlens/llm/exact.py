@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.rows import small_enough
+from cohortlens.llm.rows import RowMarks, small_enough
 from cohortlens.session import materialized, shared_dir
 
 #: Settings of the keyed state: on disk, with its memory on an executor bounded.
@@ -136,6 +136,11 @@ def _unequal(docs: DataFrame, groups: DataFrame, id: str, text: str, digest: Cal
 
 
 def kept_rows(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of located ``docs`` that stay, with their own columns."""
+    """The rows of located ``docs`` that stay, with their own columns; they are told by marks, so texts stay where they are."""
     gone = materialized(classes.where("not kept").select(F.col("path").alias("_path"), F.col("row").alias("_row")))
-    return docs.join(small_enough(gone), ["_path", "_row"], "left_anti").drop("_path", "_row")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("_path", "_row")]
+    marks = RowMarks(gone, {"gone": F.lit(True)})
+    if marks.bits is None:
+        return docs.join(gone, ["_path", "_row"], "left_anti").select(*own)
+    marked, is_set = marks.on(docs)
+    return marked.where(~is_set["gone"]).select(*own)

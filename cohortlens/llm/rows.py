@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,10 @@ BATCH_BYTES = str(4 << 20)
 BROADCAST_ROWS = 200_000
 
 
+#: The most bytes that the marks of all files' rows may take together to be broadcast: a bit a row.
+MARK_BYTES = 32 << 20
+
+
 def small_batches(spark: SparkSession) -> SparkSession:
     """Hand texts to Python workers a few hundred at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
@@ -62,6 +66,34 @@ def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+class RowMarks:
+    """Marks on rows of files, a bit for every row: so a table is told which of its rows, while it is scanned and stays where it is.
+
+    ``rows`` is a written table with ``_path`` and ``_row``; ``marks`` names conditions on it. ``bits``
+    is None if the marks would take more than ``MARK_BYTES``; then rows are to be joined.
+    """
+
+    def __init__(self, rows: DataFrame, marks: Mapping[str, Column]):
+        self.marks = list(marks)
+        ends = materialized(rows.groupBy("_path").agg(F.max("_row").alias("_end")))
+        size = ends.agg(F.sum(F.octet_length("_path") + (F.shiftright("_end", 6) + 1) * 8 * len(self.marks))).first()[0] or 0
+        self.bits = None
+        if size <= MARK_BYTES:
+            own = F.expr("shiftleft(1L, CAST(_row % 64 AS INT))")
+            words = rows.groupBy("_path", F.shiftright("_row", 6).alias("_word")).agg(*[F.bit_or(F.when(c, own).otherwise(F.lit(0).cast("bigint"))).alias(f"_bits_{m}") for m, c in marks.items()])
+            every = ends.select("_path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright("_end", 6))).alias("_word"))
+            inner = every.join(words, ["_path", "_word"], "left").groupBy("_path").agg(F.sort_array(F.collect_list(F.struct("_word", *[f"_bits_{m}" for m in marks]))).alias("_all"))
+            self.bits = materialized(inner.select("_path", *[F.col(f"_all._bits_{m}").alias(f"_bits_{m}") for m in marks]))
+
+    def on(self, df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+        """``df``, which has ``_path`` and ``_row``, joined to its files' bits by a broadcast; and each mark as a condition on that."""
+        names = {m: free_name(df, f"_bits_{m}") for m in self.marks}
+        named = self.bits.withColumnsRenamed({f"_bits_{m}": n for m, n in names.items()})
+        word = lambda n: F.get(F.col(n), F.shiftright("_row", 6).cast("int"))
+        is_set = lambda n: F.coalesce(F.getbit(word(n), (F.col("_row") % 64).cast("int")) == 1, F.lit(False))
+        return df.join(F.broadcast(named), "_path", "left"), {m: is_set(n) for m, n in names.items()}
+
+
 def about(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     """About ``rows`` of ``total`` rows, if those are more: the ones whose key's hash is low.
 

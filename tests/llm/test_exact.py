@@ -6,7 +6,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm import exact, queries
+from cohortlens.llm import exact, queries, rows
+from cohortlens.session import materialized
 
 
 def brute(rows):
@@ -56,3 +57,14 @@ def test_empty(spark):
 def test_query_runs_no_python(spark):
     plan = queries.op3_exact_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("most", [32 << 20, 0])
+def test_kept_rows_are_told_by_marks_or_by_a_join(spark, monkeypatch, most):
+    """Several files, marks on every kind of place in a word of bits, columns called as the marks."""
+    monkeypatch.setattr(rows, "MARK_BYTES", most)
+    df = spark.range(700).select(F.col("id").alias("doc_id"), (F.col("id") % 450).cast("string").alias("text"), F.lit("x").alias("_bits_gone"), F.lit(1).alias("path")).repartition(3)
+    docs = exact.located(materialized(df))
+    kept = exact.kept_rows(docs, exact.dedup(docs))
+    assert kept.columns == ["doc_id", "text", "_bits_gone", "path"] and sorted(r.doc_id for r in kept.collect()) == list(range(450))
+    assert exact.kept_rows(docs.limit(0), exact.dedup(exact.located(df.limit(0)))).count() == 0
