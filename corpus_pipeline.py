@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import bagminhash, bpe, exact, language, mixing
-from cohortlens.llm.rows import free_name, small_batches, small_enough
+from cohortlens.llm.rows import RowMarks, free_name, small_batches
 from cohortlens.session import materialized, shared_dir
 
 #: Language ID rejects texts in no language, and those whose best language is less likely than this.
@@ -86,8 +86,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = exact.located(docs)
     often, copy = free_name(docs, "often"), free_name(docs, "copy")
     taken = materialized(mixing.mixed(placed, keep=["_path", "_row"]).where("copies > 0").select("_path", "_row", F.col("copies").alias(often)))
-    out = placed.join(small_enough(taken), ["_path", "_row"]).withColumn(copy, F.explode(F.sequence(F.lit(1), often)))
-    return out.drop("_path", "_row", often, copy)
+    marks = RowMarks(taken, {"once": F.col(often) >= 1, "twice": F.col(often) >= 2})  # MOST allows no third copy
+    if marks.bits is None:
+        out = placed.join(taken, ["_path", "_row"])
+    else:  # texts stay where they are
+        marked, is_set = marks.on(placed)
+        out = marked.where(is_set["once"]).withColumn(often, F.when(is_set["twice"], 2).otherwise(1))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), often))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
