@@ -17,6 +17,7 @@ HORIZONS = (730, 1461, 1826)
 CUTS = (0.2, 0.4, 0.6, 0.8)
 PLAN = {"Low": 730, "Moderate": 365, "High": 180}
 TIERS = (0.3, 0.7)
+BALANCES, VISITS = (0.0, 5_000.0), (8, 15)
 REPS = 40
 
 
@@ -64,6 +65,15 @@ def _gap(spark, d):
     return r6(ev.fairness_gap(m, "subgroup", ["sensitivity", "specificity"]))
 
 
+def _bands(spark, d):
+    rows = ev.banded(ev.banded(_labelled(spark, d), "balance", BALANCES, "balance_band"), "n_visits", VISITS, "visits_band")
+    return r6(ev.decision_by_subgroups(rows, "score", "label", [0.4], ["balance_band", "visits_band"], (5.0, 1.0)))
+
+
+def _cutoffs(spark, d):
+    return r6(ev.group_cutoffs(materialized(_labelled(spark, d)), "score", "label", "site", 0.8))
+
+
 def _metrics(labelled, score):
     return ev.decision_table(labelled, score, "label", CUTS, by="site").select("site", "cut", "sensitivity", "specificity")
 
@@ -112,8 +122,10 @@ QUERIES = {
     "K3_calibration_horizons": lambda s, d: r6(ev.calibration(_predictions(s, d), "score", HORIZONS, bins=5)),
     "K4_decision_table": _decision,
     "K5_decision_by_subgroups": _subgroups,
+    "K5_decision_by_bands": _bands,
     "K5_cindex_by_subgroup": _cindex_by,
     "K6_fairness_gap": _gap,
+    "K6_group_cutoffs": _cutoffs,
     "K7_compare": _compare,
     "K7_bootstrap_difference": _bootstrap,
     "K7_bootstrap_cindex": _bootstrap_of(ev.bootstrap_cindex),
@@ -156,6 +168,11 @@ _SETS = (
 )
 
 
+def _band_sql(x: str, cuts: tuple[float, float]) -> str:
+    a, b = cuts
+    return f"CASE WHEN {x} < {a} THEN '< {a:g}' WHEN {x} < {b} THEN '{a:g} to {b:g}' WHEN {x} >= {b} THEN '>= {b:g}' END"
+
+
 def _auc_sql(by: str, on: str, horizon: int = HORIZON) -> str:
     life = life_table(by)
     return sql(
@@ -233,6 +250,24 @@ SQL = {
         + " UNION ALL " + _pair_sql("'segment' AS subgroup, a.segment AS level") + " AND a.segment = b.segment GROUP BY a.segment"
         + " UNION ALL " + _pair_sql("'site' AS subgroup, a.site AS level") + " AND a.site = b.site GROUP BY a.site",
     ),
+    "K5_decision_by_bands": sql(
+        "scor",
+        f"SELECT subgroup, level, cut, {_RATES} FROM c",
+        lab=_LAB,
+        c=" UNION ALL ".join(
+            _counts_sql(f"'{name}' AS subgroup, {level} AS level,", cuts="(0.4::DOUBLE)")
+            for name, level in (("all", "'all'"), ("balance_band", _band_sql("balance", BALANCES)), ("visits_band", _band_sql("n_visits", VISITS)))
+        ),
+    ),
+    "K6_group_cutoffs": sql(
+        "scor",
+        f"SELECT site, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, {rd('cut')} AS cut, {rd('count(*) FILTER (label = 1 AND score >= cut) / n_pos')} AS sensitivity, "
+        f"{rd('count(*) FILTER (label = 0 AND score < cut) / n_neg')} AS specificity FROM lab JOIN best USING (site) WHERE label IS NOT NULL GROUP BY site, n_pos, n_neg, cut",
+        lab=_LAB,
+        tot="SELECT site, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg FROM lab GROUP BY site",
+        best="SELECT site, n_pos, n_neg, max(score) AS cut FROM (SELECT a.site, a.score, n_pos, n_neg FROM lab a JOIN tot USING (site) JOIN lab b ON a.site = b.site AND b.score >= a.score "
+        "AND b.label = 1 WHERE a.label IS NOT NULL GROUP BY a.site, a.score, a.id, n_pos, n_neg HAVING count(*) >= 0.8 * n_pos) GROUP BY site, n_pos, n_neg",
+    ),
     "K6_fairness_gap": sql(
         "scor",
         " UNION ALL ".join(

@@ -139,6 +139,7 @@ QUERIES = {
     "G5_leakage_found": _leaky,
     "G5_leakage_sound": _sound,
     "G6_class_weights": _weights,
+    "G6_group_label_weights": lambda s, d: r6(splits.group_label_weights(base.survival(s, d).select("id", "site", "event"), "site", "event")),
 }
 
 
@@ -227,6 +228,12 @@ SQL = {
     "G4_folds": sql("pat", f"SELECT id, CAST({hashed('id', 'fold')} % 5 AS INTEGER) AS fold FROM pat"),
     "G5_leakage_found": _leak_sql("vk", "bad", "1999-01-01"),
     "G5_leakage_sound": _leak_sql("id", "good", "2001-01-01"),
+    "G6_group_label_weights": sql(
+        "surv",
+        "SELECT id, site, event, "
+        + rd("(count(*) OVER (PARTITION BY site)) * (count(*) OVER (PARTITION BY event)) / ((count(*) OVER ()) * 1.0::DOUBLE * (count(*) OVER (PARTITION BY site, event)))")
+        + " AS weight FROM surv",
+    ),
     "G6_class_weights": sql(
         "surv",
         f"SELECT id, event, {rd('(count(*) OVER ()) / (2.0 * count(*) OVER (PARTITION BY event))')} AS weight FROM surv",

@@ -10,6 +10,7 @@ from cohortlens.operators import features, temporal
 from cohortlens.operators.cohort import index_event
 from cohortlens.operators.splits import split_entity
 from cohortlens.plans.skew import skew_join
+from cohortlens.session import materialized
 from cohortlens.sources import load
 
 ORDER = ["t", "vk"]
@@ -50,6 +51,13 @@ def _missed(spark, d):
                                      every_days=EVERY, tol_days=TOL))
 
 
+def _missingness(spark, d):
+    s = materialized(base.survival(spark, d))
+    grid = temporal.visit_grid(s, "id", "index_t", EVERY, UNTIL)
+    missed = temporal.missed_visits(grid, base.visits(spark, d), s, id="id", t="t", index="index_t", every_days=EVERY, tol_days=TOL)
+    return r6(temporal.events_by_missingness(missed, s, id="id", every_days=EVERY, until_days=UNTIL))
+
+
 def _locf(max_age):
     return lambda s, d: r6(
         temporal.locf(base.gappy_visits(s, d).select("id", "t", "vk", "x"), "id", ORDER, "x", max_age)
@@ -131,6 +139,7 @@ QUERIES = {
     "D2_asof_tolerance": _asof(365),
     "D3_visit_grid": _grid,
     "D4_missed_visits": _missed,
+    "D4_events_by_missingness": _missingness,
     "D5_locf": _locf(None),
     "D5_locf_max_age": _locf(365),
     "D6_visit_gaps": _gaps,
@@ -227,6 +236,13 @@ SQL = {
         f"FROM coh, generate_series(1, {UNTIL // EVERY}) s(slot) WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.id = coh.id AND "
         f"abs(date_diff('day', coh.index_t, v.t) - slot * {EVERY}) <= {TOL})",
     ),
+    "D4_events_by_missingness": sql(
+        "surv v",
+        f"SELECT CASE WHEN due <= 0 THEN 'none due' WHEN gone = 0 THEN 'none' WHEN 2 * gone <= due THEN 'some' ELSE 'most' END AS status, count(*) AS n, "
+        f"count(*) FILTER (event = 1) AS n_event, CAST(sum(time) AS BIGINT) AS days, {rd('count(*) FILTER (event = 1) * 36525.0::DOUBLE / sum(time)')} AS rate FROM "
+        f"(SELECT *, least(time // {EVERY}, {UNTIL // EVERY}) AS due, (SELECT count(*) FROM generate_series(1, {UNTIL // EVERY}) s(slot) WHERE slot * {EVERY} <= surv.time "
+        f"AND NOT EXISTS (SELECT 1 FROM v WHERE v.id = surv.id AND abs(date_diff('day', surv.index_t, v.t) - slot * {EVERY}) <= {TOL})) AS gone FROM surv) GROUP BY 1",
+    ),
     "D5_locf": _locf_sql(None),
     "D5_locf_max_age": _locf_sql(365),
     "D6_visit_gaps": sql("v", f"SELECT id, {day('t')} AS t, vk, gap_days, max_gap_days, n_recent FROM gaps", **_GAPS),

@@ -321,6 +321,37 @@ def fairness_gap(metrics: DataFrame, group: str | Sequence[str], values: Sequenc
     )
 
 
+def group_cutoffs(df: DataFrame, p: str, label: str, group: str | Sequence[str], sensitivity: float) -> DataFrame:
+    """Per group the highest cutoff that reaches a sensitivity, and what it gives: alarms equally sensitive for all (K6).
+
+    Rows are counted by distinct prediction; a group without positives has no cutoff. Rows without a label or a prediction are left out.
+    """
+    by = as_list(group)
+    rows, span = keyed(df.where(F.col(label).isNotNull()), p, None)
+    counts = rows.groupBy(*by, "_s", p).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
+    ranked = sums_below(counts, by, "_s", {"_pos_below": "_pos", "_neg_below": "_neg"}, span)
+    totals = counts.groupBy(*by).agg(F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
+    both = attach(ranked, totals, by, small=False, how="inner")
+    found = F.col("n_pos") - F.col("_pos_below")
+    reached = (F.col("n_pos") > 0) & (found >= F.lit(float(sensitivity)) * F.col("n_pos"))
+    best = F.max(F.when(reached, F.struct(F.col(p).alias("cut"), found.alias("tp"), F.col("_neg_below").alias("tn")))).alias("_best")
+    out = both.groupBy(*by, "n_pos", "n_neg").agg(best)
+    ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    return out.select(*by, "n_pos", "n_neg", F.col("_best.cut").alias("cut"), ratio("_best.tp", "n_pos").alias("sensitivity"), ratio("_best.tn", "n_neg").alias("specificity")).withColumn(
+        "specificity", F.when(F.col("cut").isNotNull(), F.col("specificity"))
+    )
+
+
+def banded(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> DataFrame:
+    """A number as a subgroup (K5): ``out`` is the band between two cuts that it lies in, the lower one included; null stays null."""
+    cuts = [float(c) for c in sorted(cuts)]
+    names = [f"< {cuts[0]:g}", *[f"{a:g} to {b:g}" for a, b in zip(cuts, cuts[1:])], f">= {cuts[-1]:g}"]
+    x, band = F.col(column).cast("double"), F.lit(names[-1])
+    for cut, name in reversed(list(zip(cuts, names))):
+        band = F.when(x < F.lit(cut), F.lit(name)).otherwise(band)
+    return df.withColumn(out, F.when(x.isNotNull(), band))
+
+
 def compare(a: DataFrame, b: DataFrame, on: str | Sequence[str], values: Sequence[str]) -> DataFrame:
     """Metric differences, model minus comparator, paired on ``on`` (K7)."""
     on = as_list(on)

@@ -78,3 +78,15 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     every = Window.partitionBy(F.lit(0))
     weight = F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n").cast("double"))
     return lookup_join(df, counts.select(label, weight.alias(out)), label)
+
+
+def group_label_weights(df: DataFrame, group: str, label: str, out: str = "weight") -> DataFrame:
+    """Weight each row by n_group * n_label / (n * n_both), so that label and group are independent in training.
+
+    Rows without a label get no weight; those without a group are a group. The counts have a row
+    per group and label, which the windows over them hold.
+    """
+    counts = df.where(F.col(label).isNotNull()).groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
+    own, same, every = (Window.partitionBy(*cols) for cols in ([group], [label], [F.lit(0)]))
+    expected = F.sum("_n").over(own).cast("double") * F.sum("_n").over(same) / F.sum("_n").over(every)
+    return lookup_join(df, counts.select(group, label, (expected / F.col("_n")).alias(out)), [group, label])

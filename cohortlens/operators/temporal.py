@@ -142,6 +142,26 @@ def missed_visits(
     return grid.join(met, [id, "slot"], "left_anti")
 
 
+def events_by_missingness(
+    missed: DataFrame, survival: DataFrame, *, id: str, every_days: int, until_days: int, time: str = "time", event: str = "event"
+) -> DataFrame:
+    """(status, n, n_event, days, rate) by how many of the visits due in follow-up were missed (D4 against F4).
+
+    Only visits due up to the end of an entity's follow-up count, so that dying or leaving early
+    is not itself missingness: ``none due``, ``none``, ``some`` (up to half) or ``most`` missed. The
+    rate is events per 100 years at risk. Tells whether absence is informative.
+    """
+    late = skew_join(missed.select(id, "slot"), survival.select(id, time), id).where(F.col("slot") * every_days <= F.col(time))
+    counted = survival.where(F.col(time).isNotNull() & F.col(event).isNotNull()).join(late.groupBy(id).agg(F.count(F.lit(1)).alias("_missed")), id, "left")
+    due = F.least(F.floor(F.col(time) / F.lit(float(every_days))), F.lit(until_days // every_days))
+    gone = F.coalesce("_missed", F.lit(0))
+    status = F.when(due <= 0, "none due").when(gone == 0, "none").when(2 * gone <= due, "some").otherwise("most")
+    out = counted.groupBy(status.alias("status")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(event) == 1).alias("n_event"), F.sum(F.col(time).cast("bigint")).alias("days")
+    )
+    return out.withColumn("rate", F.try_divide(F.col("n_event") * F.lit(36525.0), F.col("days").cast("double")))
+
+
 def locf(
     df: DataFrame,
     id: str,
