@@ -333,7 +333,9 @@ def near_duplicates(
     texts of the same words, also those without any (null counts as empty). Texts with fewer
     words than a shingle takes have one shingle. ``class_id`` is the smallest identifier of the
     class, null only if all are; its row stays, the first by place of equal ones. An empty
-    table gives no rows. A link is missed only if its texts share none of the bands.
+    table gives no rows. A link is missed only if its texts share none of the bands. Texts are
+    compared whole; one text is signed in one piece, which takes some hundred bytes a word. Other
+    columns of ``docs`` are not read, whatever their names.
     """
     spark = small_batches(docs.sparkSession)
     signed = docs.select(F.col(f"`{id}`").alias("id"), F.col("_path").alias("path"), F.col("_row").alias("row"), _signed(F.col(f"`{text}`"), size, bands, rows).alias("s"))

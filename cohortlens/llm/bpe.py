@@ -223,7 +223,7 @@ def codec(key: int, shared: Broadcast) -> Codec:
 class Tokenizer:
     """Column expressions for one rank file. The vocabulary is broadcast: its size is that of the file.
 
-    A null text counts as empty and gives no ids; null ids give null bytes. Every text is
+    A null text counts as empty and gives no ids; null ids give null bytes; no rows give none. Every text is
     encoded whole, whatever its length, and its blocks are bounded. Rows, ties and extra
     columns play no part: each value is mapped alone.
     """

@@ -99,7 +99,8 @@ def dedup(
     only if all are null; of equal identifiers the first by place, so that exactly one row
     stays. Null text is empty text. ``folder`` keeps landing files and state for a later call,
     whose ``arrived`` are the rows of ``docs`` that are new; without it a fresh one is used and
-    all of ``docs`` arrive. An empty table gives no rows.
+    all of ``docs`` arrive. An empty table gives no rows. Texts of any length are compared whole; other
+    columns are not read, whatever their names, but ``_path`` and ``_row`` are the places of rows.
     """
     spark = docs.sparkSession
     base = folder or f"{shared_dir(spark)}/exact-{uuid.uuid4().hex}"

@@ -187,7 +187,8 @@ def identified(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     """(id, held_out, lang_pred, score) per row, from a model of the rows that are not held out.
 
     Null languages teach nothing. Texts are scored whole, one by one; ties between languages go
-    to the first in order; an empty table gives no rows.
+    to the first in order; an empty table gives no rows. Repeated rows are scored alike, and copies
+    under one identifier teach once; other columns are not read, whatever their names.
     """
     model = fit(df.where(~held_out(F.col(f"`{id}`"))), id, text, lang)
     out = df.select(F.col(f"`{id}`"), held_out(F.col(f"`{id}`")).alias("held_out"), language(model, df, F.col(f"`{text}`")).alias("_found"))

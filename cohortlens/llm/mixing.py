@@ -62,7 +62,8 @@ def mixed(
     ``size`` counts words (null text: 0), ``copies`` is 0 to ``most``, ``taken`` is their product.
     A source takes words up to the document that brings it nearest its target, so it misses by
     half a document at most. Null sources are a source of their own; equal identifiers share u
-    and are ranked one after another; an empty table gives no rows. Rows of a source are never
+    and are ranked one after another; an empty table gives no rows. Words of whole texts are counted, of
+    any length; other columns are not read but for those in ``keep``. Rows of a source are never
     in one task: sums are per source and doubling of size, and ranks come from range partitions.
     """
     narrow = materialized(

@@ -109,7 +109,8 @@ def judged(
 
     ``target`` says which rows are trusted; with none, or an empty table, every ratio is 0 and
     only the base rules reject. Null text has no words; a text without words has ratio 0. Each
-    row is judged alone, so repeated rows get equal verdicts.
+    row is judged alone, so repeated rows get equal verdicts. Texts are counted whole, of any length
+    that a row can hold; other columns are not read, unless ``target`` does.
     """
     table = log_ratios(bucket_counts(df, text, target, buckets), buckets, prior)
     values = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")  # a constant of the plan

@@ -80,7 +80,8 @@ def ring_shards(df: DataFrame, key: str, columns: dict[str, Column], shards: int
     up to (1 + slack) times its share and fewer keys overflow. Rows with equal or null keys have
     one place on the ring, follow one another along it, and overflow alike; which of them comes
     first depends on the input's order when they are otherwise equal. Empty tables give no rows.
-    Names of ``columns`` may be those of ``df``; they come from the expressions given.
+    Names of ``columns`` may be those of ``df``; they come from the expressions given, which also say
+    what a null text is; no other column is read. Texts play no part in the placing, however long.
     """
     spark = df.sparkSession
     narrow = df.select(

@@ -170,7 +170,11 @@ def scored(evidence: DataFrame, id: str = "id", host: str = "host", path: str =
 def classified(
     docs: DataFrame, labels: DataFrame, host: Column, path: Column, id: str = "doc_id", text: str = "text", label: str = "quality", keep: float = KEEP,
 ) -> DataFrame:
-    """``scored`` for every row of ``docs``; null text is empty text. Each text is measured once, whole."""
+    """``scored`` for every row of ``docs``; null text is empty text. Each text is measured once, whole.
+
+    A score equal to ``keep`` is kept. Repeated rows count each in their site and get equal scores;
+    other columns are not read, unless ``host`` or ``path`` do; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     model = fit(docs, labels, id, text, label)
     evidence = materialized(docs.select(F.col(f"`{id}`").alias("id"), host.alias("host"), path.alias("path"), log_odds(model, docs, text).alias("odds")))

@@ -121,7 +121,9 @@ def judged(
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest
     decides, and of equally long ones the first listed. Null URLs have an empty host and path,
-    fit no rule and hold no term, so they are allowed. Each row is judged alone.
+    fit no rule and hold no term, so they are allowed. Each row is judged alone and whole, so repeated
+    rows and URLs of any length have one verdict each; an empty table gives no rows. Other columns
+    are not read, whatever their names.
     """
     d = df.select(F.col(f"`{id}`"), F.col(f"`{url}`").alias("_url"))
     d = d.select(F.col(f"`{id}`"), host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), term_hits(F.col("_url"), strict, soft).alias("_hits"))

@@ -181,7 +181,8 @@ def write_archives(
 
     Null payloads are empty, null URLs are marked, null ids are left out of the record. Of rows
     with one payload that with the smallest id is the response; rows that repeat its id are
-    responses, too. An empty table writes no archive.
+    responses, too. Payloads of any length are written whole, one record each; other columns are not
+    read, whatever their names. An empty table writes no archive.
     """
     date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = linked(df, id, url, payload, revisit_from)

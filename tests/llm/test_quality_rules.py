@@ -72,3 +72,14 @@ def test_query(spark):
     assert sum(good) > 0.98 * len(good) and sum(poor) < 0.1 * len(poor)
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+D = "/root/testdata/sf0.001"
+
+
+def test_query_with_columns_called_as_those_that_are_added(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels"))
+    docs.withColumns({c: F.lit(True) for c in ("trusted", "ratio", "kept", "n_words", "_hashes")}).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda r: r.doc_id
+    assert sorted(queries.op5_quality_rules(spark, str(tmp_path)).collect(), key=key) == sorted(queries.op5_quality_rules(spark, D).collect(), key=key)

@@ -70,3 +70,9 @@ def test_terms_are_sought_in_the_decoded_url(spark):
     got = {r.page_id: r for r in urls.judged(df, rules=()).collect()}
     assert [(got[i].strict_terms, got[i].soft_terms) for i in range(len(cases))] == list(cases.values())
     assert got[0].path == "/free%20casino"  # host and path are the raw URL's
+
+
+def test_columns_called_as_those_that_are_added(spark):
+    df = spark.createDataFrame([(1, "http://a.org/casino-win", "x", "y", "z", "w"), (1, None, "x", "y", "z", "w")], "page_id long, url string, host string, path string, _url string, rule string")
+    out = urls.judged(df).collect()
+    assert sorted((r.host, r.path) for r in out) == [("", ""), ("a.org", "/casino-win")]
