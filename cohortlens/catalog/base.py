@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from cohortlens.operators.cohort import index_event
 from cohortlens.operators.endpoints import competing, first_event, survival_table
 from cohortlens.operators.features import from_baseline
-from cohortlens.plans.flows import time_to_crossing
+from cohortlens.plans.flows import time_to_causes, time_to_crossing
 from cohortlens.plans.skew import skew_join
 from cohortlens.sources import load
 
@@ -93,6 +93,16 @@ def causes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def competing_table(spark: SparkSession, d: str) -> DataFrame:
+    """(id, segment, site, time, cause) from one pass over the visits."""
+    others = shipped(spark, d).where(F.col("kind") == "R").withColumn("cause", F.lit(2))
+    return time_to_causes(
+        visits(spark, d), patients(spark, d), others, id="id", order=["t", "vk"], x="x", rise=RISE, level=LEVEL,
+        t="t", after_days=730, keep=["segment", "site"],
+    )
+
+
+def competing_by_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the separate operators: cohort, causes, last contact."""
     return competing(
         cohort(spark, d), causes(spark, d), visits(spark, d),
         id="id", index="index_t", t="t", cause="cause", last_t="t", keep=["segment", "site"],

@@ -127,6 +127,7 @@ QUERIES = {
     "F3_resolve_truth": _truth,
     "F4_survival_table": _survival,
     "F5_competing": _competing,
+    "F5_competing_by_steps": lambda s, d: base.competing_by_steps(s, d).select("id", "time", "cause"),
     "F6_horizon_label": _horizons,
     "F7_endpoints": _endpoints,
     "F8_label_agreement": _agreement,
@@ -192,6 +193,7 @@ SQL = {
     ),
     "F4_survival_table": sql("surv", "SELECT id, time, event FROM surv"),
     "F5_competing": sql("comp", "SELECT id, time, cause FROM comp"),
+    "F5_competing_by_steps": sql("comp", "SELECT id, time, cause FROM comp"),
     "F6_horizon_label": sql(
         "surv",
         "SELECT id, CAST(h AS INTEGER) AS horizon, CAST(CASE WHEN time <= h AND event = 1 THEN 1 WHEN time < h THEN NULL ELSE 0 END AS INTEGER) AS label "

@@ -19,6 +19,9 @@ from cohortlens.operators.temporal import value_at
 from cohortlens.plans.skew import hot_keys, skew_join
 from cohortlens.session import materialized
 
+#: More than the number of any cause: a day and a cause are packed into one whole number, which a hash aggregate holds.
+CAUSES = 1 << 16
+
 
 def time_to_crossing(
     visits: DataFrame, entities: DataFrame, *, id: str, order: Sequence[str], x: str, rise: float, level: float,
@@ -31,14 +34,42 @@ def time_to_crossing(
     is too big for one task, the same steps run as aggregates and split joins instead.
     """
     t = order[0]
-    visits = visits.where(F.col(t).isNotNull() & F.col(id).isNotNull()).select(id, *order, x)
-    plan = _crossing_one_shuffle if hot_keys(visits, id, group_rows) is None else _crossing_split
-    per = plan(visits, id, list(order), x, rise, level, group_rows)
+    per = _crossing_history(visits, id, order, x, rise, level, group_rows)
     index = [f"index_{t}", f"index_{x}", "n_visits"]
     joined = per.join(entities.select(id, *keep), id)
     return joined.select(id, *keep, *index, *censored(F.col(f"index_{t}"), F.col("_event"), F.col("_last")))
 
 
+def time_to_causes(
+    visits: DataFrame, entities: DataFrame, others: DataFrame, *, id: str, order: Sequence[str], x: str, rise: float, level: float,
+    t: str, cause: str = "cause", after_days: int = 0, keep: Sequence[str] = (), group_rows: int | None = None,
+) -> DataFrame:
+    """Records to a competing-risks table (time, cause): the measure's crossing is cause 1, dated ``others`` are theirs.
+
+    ``others`` count when they are dated more than ``after_days`` after the index; on one day the lowest
+    cause wins, and cause 0 is censoring at the last visit. Index, crossing and last visit come from
+    one pass over the visits, written as a row per entity, which the others then look up.
+    """
+    index = f"index_{order[0]}"
+    known = materialized(_crossing_history(visits, id, order, x, rise, level, group_rows).join(entities.select(id, *keep), id))
+    dated = skew_join(others.select(id, F.col(t).cast("date").alias("_t"), F.col(cause).alias("_c")), known.select(id, index), id, "inner", group_rows)
+    packed = lambda day, number: F.unix_date(day).cast("bigint") * CAUSES + number
+    first = dated.where(F.datediff("_t", index) > after_days).groupBy(id).agg(F.min(packed(F.col("_t"), F.col("_c"))).alias("_other"))
+    first_cause = F.least(packed(F.col("_event").cast("date"), F.lit(1)), F.col("_other"))
+    both = known.join(first, id, "left").withColumns({"_f": first_cause, "_end": F.unix_date(F.col("_last").cast("date"))})
+    occurred = F.coalesce(F.floor(F.col("_f") / F.lit(float(CAUSES))) <= F.col("_end"), F.lit(False))
+    day = F.when(occurred, F.floor(F.col("_f") / F.lit(float(CAUSES)))).otherwise(F.col("_end"))
+    time = F.greatest((day - F.unix_date(F.col(index).cast("date"))).cast("int"), F.lit(0))
+    return both.select(id, *keep, time.alias("time"), F.when(occurred, F.pmod(F.col("_f"), F.lit(CAUSES)).cast("int")).otherwise(F.lit(0)).alias("cause"))
+
+
+def _crossing_history(visits, id, order, x, rise, level, group_rows):
+    """(id, index time and measure, n_visits, _event, _last) per entity."""
+    visits = visits.where(F.col(order[0]).isNotNull() & F.col(id).isNotNull()).select(id, *order, x)
+    plan = _crossing_one_shuffle if hot_keys(visits, id, group_rows) is None else _crossing_split
+    return plan(visits, id, list(order), x, rise, level, group_rows)
+
+
 def _crossed(x: str, rise: float, level: float):
     return (F.col(x) - F.col(f"index_{x}") >= rise) & (F.col(x) >= level)
 

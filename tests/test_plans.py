@@ -143,3 +143,9 @@ def test_repeated_labels_and_codes_do_not_pair_up(spark):
     codes = spark.createDataFrame([("a", "X"), ("a", "Y")], "code STRING, canonical STRING")
     rows = spark.createDataFrame([("a",), ("b",)], "code STRING")
     assert sorted(r.canonical for r in harmonize_codes(rows, codes, "code").collect()) == ["X", "b"]
+
+
+def test_competing_risks_read_each_table_once_and_hash(spark):
+    text = plan(base.competing_table(spark, D))
+    tree = text.split("\n\n")[0]
+    assert tree.count("Scan parquet") <= 4 and "SortAggregate" not in tree  # line items, orders, and the written row per entity
