@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions.keys import is_fixed, order_key
 from cohortlens.functions.time import days_between, years
 from cohortlens.plans.skew import as_list, skew_join
 
@@ -16,8 +17,13 @@ def index_event(
 ) -> DataFrame:
     """First row per entity: its time and the values of ``cols`` as baselines.
 
-    An aggregate, not a window, so each map task sends at most one row per entity.
+    An aggregate, not a window, so each map task sends at most one row per entity. It hashes where
+    the order packs into one key and the values are of fixed width, and sorts otherwise.
     """
+    key = order_key(df, [t, *as_list(tiebreak)])
+    if key is not None and all(is_fixed(df, c) for c in cols):
+        firsts = [F.min_by(c, key).alias(f"{prefix}{c}") for c in cols]
+        return df.where(F.col(t).isNotNull()).groupBy(id).agg(F.min(t).alias(f"{prefix}{t}"), *firsts, F.count(F.lit(1)).alias("n_visits"))
     first = F.min_by(F.struct(t, *cols), F.struct(t, *as_list(tiebreak)))
     picked = df.where(F.col(t).isNotNull()).groupBy(id).agg(first.alias("_first"), F.count(F.lit(1)).alias("n_visits"))
     return picked.select(

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from cohortlens import sources
 from cohortlens.catalog import base
-from cohortlens.operators import cleaning, endpoints, scoring, splits, temporal
+from cohortlens.functions.keys import order_key
+from cohortlens.operators import cleaning, cohort, endpoints, scoring, splits, temporal
 from cohortlens.operators.evaluation import decision_table
 from cohortlens.plans import sizes
 from cohortlens.plans.flows import time_to_crossing
@@ -149,3 +150,24 @@ def test_competing_risks_read_each_table_once_and_hash(spark):
     text = plan(base.competing_table(spark, D))
     tree = text.split("\n\n")[0]
     assert tree.count("Scan parquet") <= 4 and "SortAggregate" not in tree  # line items, orders, and the written row per entity
+
+
+def test_first_values_hash(spark):
+    text = plan(cohort.index_event(base.visits(spark, D), "id", "t", ["x"], "vk"))
+    assert "SortAggregate" not in text and "HashAggregate" in text
+    assert "SortAggregate" not in plan(base.cohort(spark, D))
+
+
+@pytest.mark.parametrize("kind", ["DATE", "TIMESTAMP", "INT"])
+def test_packed_order_is_the_order(spark, kind):
+    """Times before and after 1970, ties of both signs, the least and greatest, and null."""
+    big = 2**63 - 1
+    rows = [(k, t, v) for k, (t, v) in enumerate((t, v) for t in (-40_000, -1, 0, 1, 30_000) for v in (None, -big - 1, -7, 0, 3, big))]
+    df = spark.createDataFrame(rows, "k INT, n INT, vk BIGINT")
+    t = {"DATE": F.date_from_unix_date("n"), "TIMESTAMP": F.timestamp_seconds(F.col("n").cast("bigint") * 86_400), "INT": F.col("n")}[kind]
+    df = df.select("k", t.alias("t"), "vk")
+    packed = [r.k for r in df.orderBy(order_key(df, ["t", "vk"])).collect()]
+    assert packed == list(range(len(rows)))
+    first = cohort.index_event(df.withColumn("id", F.lit(1)), "id", "t", ["k"], "vk").first()
+    assert first.index_k == 0 and first.n_visits == len(rows)
+    assert order_key(df, ["vk", "t"]) is None and order_key(df, ["t"]) is not None
