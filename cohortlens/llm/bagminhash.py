@@ -37,8 +37,8 @@ BANDS, ROWS = 32, 4
 PAIRED = 24
 #: 64-bit words of a parity sketch: texts of a few thousand shingles differ in about as many bits as in shingles.
 WORDS64 = 16
-#: Slots in which the frequencies of shingles are counted where rare ones are sought.
-SLOTS = 1 << 16
+#: Slots in which the frequencies of shingles are counted where rare ones are sought: 4 MB of counts.
+SLOTS = 1 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -142,14 +142,20 @@ def portions(texts: pa.Array, limit: int = 1 << 19) -> Iterator[list[bytes]]:
         yield part
 
 
-def rarest(bag: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
-    """The first n - ceil(t n) + 1 items of a sorted bag of n, by how often their slot occurs; repeats are items of their own."""
+def prefix(bag: np.ndarray, often: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """``rarest``, and how often the slot of each item occurs."""
     n = len(bag)
     repeat = (np.arange(n) - np.searchsorted(bag, bag)).astype(np.uint64)
     with np.errstate(over="ignore"):
         items = mixed(bag.view(np.uint64) + repeat * GOLDEN).view(np.int64)
-    order = np.lexsort((items, often[bag & (len(often) - 1)]))
-    return items[order[: n - ceil(similarity * n - 1e-9) + 1]]
+    counts = often[bag & (len(often) - 1)]
+    order = np.lexsort((items, counts))[: n - ceil(similarity * n - 1e-9) + 1]
+    return items[order], counts[order]
+
+
+def rarest(bag: np.ndarray, often: np.ndarray, similarity: float) -> np.ndarray:
+    """The first n - ceil(t n) + 1 items of a sorted bag of n, by how often their slot occurs; repeats are items of their own."""
+    return prefix(bag, often, similarity)[0]
 
 
 def parity(bag: np.ndarray) -> np.ndarray:
@@ -261,8 +267,19 @@ class _Linker:
         ``nodes`` has a row per node with its ``items``, structs with ``bucket``; components are
         joined to nodes, and buckets taken apart after that.
         """
-        own = nodes.join(small_enough(self.roots), "node", "left") if self.roots is not None else nodes.withColumn("root", F.lit(None).cast("long"))
-        rows = own.withColumn("root", F.coalesce("root", "node")).select(*[c for c in own.columns if c != "items"], F.inline("items"))
+        own = self._rooted(nodes)
+        return self._parted(own.select(*[c for c in own.columns if c != "items"], F.inline("items")))
+
+    def reopen(self, members: DataFrame) -> DataFrame:
+        """What ``open`` would give now of the nodes that gave ``members``: buckets only close, so the closed ones are not taken apart again."""
+        return self._parted(self._rooted(members.drop("root", "size")))
+
+    def _rooted(self, nodes: DataFrame) -> DataFrame:
+        if self.roots is None:
+            return nodes.withColumn("root", F.col("node"))
+        return nodes.join(small_enough(self.roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def _parted(self, rows: DataFrame) -> DataFrame:
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi")
         return materialized(rows.join(small_enough(materialized(sizes.drop("_lo", "_hi"))), "bucket"))
 
@@ -282,14 +299,17 @@ class _Linker:
     def rare(self, nodes: DataFrame) -> DataFrame:
         """(node, n, sketch, items): nodes with the rarest of their shingles among them, repeats numbered, as (bucket, place).
 
+        Shingles that are alone in their slot are in no other bag: they keep their place but are not
+        among the items, since nothing can meet there.
+
         Of two bags with similarity t, each shares one of its n - ceil(t n) + 1 first items, in any
         order common to all, with the other's, so no link is lost. Rare shingles come first; how
         rare they are is counted in ``SLOTS`` slots, which need not tell every shingle apart.
         """
         own = materialized(self.bags.join(small_enough(nodes), "node", "left_semi"))
-        slots = own.select(F.explode(F.transform("bag", lambda x: x.bitwiseAND(SLOTS - 1))).alias("slot")).groupBy("slot").count().collect()
-        often = np.zeros(SLOTS, np.int64)
-        often[[r["slot"] for r in slots]] = [r["count"] for r in slots]
+        slots = own.select(F.explode(F.transform("bag", lambda x: x.bitwiseAND(SLOTS - 1))).alias("slot")).groupBy("slot").count().where("count > 1").toArrow()
+        often = np.ones(SLOTS, np.int32)
+        often[slots["slot"].to_numpy()] = np.minimum(slots["count"].to_numpy(), np.iinfo(np.int32).max)
         shared, t = own.sparkSession.sparkContext.broadcast(often), self.similarity
         kind = pa.struct([("items", pa.list_(pa.struct([("bucket", pa.int64()), ("place", pa.int32())]))), ("sketch", pa.list_(pa.int64()))])
 
@@ -297,7 +317,7 @@ class _Linker:
         def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for bags in batches:
                 bags = [x.values.to_numpy() for x in bags]
-                lists = [[{"bucket": b, "place": i} for i, b in enumerate(rarest(x, shared.value, t).tolist(), 1)] for x in bags]
+                lists = [[{"bucket": b, "place": i} for i, (b, c) in enumerate(zip(*prefix(x, shared.value, t), strict=True), 1) if c > 1] for x in bags]
                 yield pa.array([{"items": i, "sketch": parity(x).tolist()} for i, x in zip(lists, bags, strict=True)], kind)
 
         return materialized(own.select("node", "n", first("bag").alias("_f")).select("node", "n", "_f.*"))
@@ -365,8 +385,9 @@ def near_duplicates(
             linker.verify(pairs)
         else:
             rare = linker.rare(large)
-            linker.verify(pairs.unionByName(linker.led(linker.open(rare))))
-            linker.verify(linker.placed(linker.open(rare)))
+            met = linker.open(rare)
+            linker.verify(pairs.unionByName(linker.led(met)))
+            linker.verify(linker.placed(linker.reopen(met)))
         classes = copies.withColumn("root", F.col("rep"))
         if linker.roots is not None:
             classes = copies.join(small_enough(linker.roots.withColumnRenamed("node", "rep")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))

@@ -131,6 +131,18 @@ def test_prefixes_of_similar_bags_meet():
             assert np.intersect1d(B.rarest(a, often, 0.8), B.rarest(b, often, 0.8)).size
 
 
+def test_shingles_of_one_text_are_not_taken_apart(spark):
+    """Of the rarest shingles only those remain that another bag may have; places stay those of the whole prefix."""
+    common = list(range(1000, 1080))
+    bags = [(k, 100, sorted(common + [10_000 * (k + 1) + i for i in range(20)])) for k in range(30)] + [(30, 5, [1, 1, 1, 2, 3])]
+    linker = B._Linker(spark.createDataFrame(bags, "node long, n int, bag array<long>"), 0.8)
+    got = {r.node: r for r in linker.rare(spark.createDataFrame([(b[0],) for b in bags], "node long")).collect()}
+    buckets = [{i.bucket for i in got[k]["items"]} for k in range(30)]
+    assert all(b == buckets[0] for b in buckets) and len(buckets[0]) == 1
+    assert {i.place for k in range(30) for i in got[k]["items"]} == {21}
+    assert [i.place for i in got[30]["items"]] == []  # 2 and 3 are alone and come before the repeated 1
+
+
 def test_sketches_differ_in_no_more_bits_than_bags_in_items():
     rng = np.random.default_rng(6)
     for n in (1, 7, 100, 3000):
