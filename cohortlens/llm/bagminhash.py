@@ -198,6 +198,17 @@ def _bag(text: Column, size: int) -> Column:
     return sort(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, count) of the shingles of a task's bags: a row per slot that occurs."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        np.add.at(counts, batch.column(0).flatten().to_numpy() & (SLOTS - 1), 1)
+    slot = np.flatnonzero(counts)
+    for at in range(0, len(slot), 1 << 16):
+        part = slot[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], ["slot", "count"])
+
+
 def _similar(a: str, b: str) -> Column:
     @F.arrow_udf("double")
     def measure(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -307,7 +318,7 @@ class _Linker:
         rare they are is counted in ``SLOTS`` slots, which need not tell every shingle apart.
         """
         own = materialized(self.bags.join(small_enough(nodes), "node", "left_semi"))
-        slots = own.select(F.explode(F.transform("bag", lambda x: x.bitwiseAND(SLOTS - 1))).alias("slot")).groupBy("slot").count().where("count > 1").toArrow()
+        slots = own.select("bag").mapInArrow(_slots, "slot bigint, count bigint").groupBy("slot").agg(F.sum("count").alias("count")).where("count > 1").toArrow()
         often = np.ones(SLOTS, np.int32)
         often[slots["slot"].to_numpy()] = np.minimum(slots["count"].to_numpy(), np.iinfo(np.int32).max)
         shared, t = own.sparkSession.sparkContext.broadcast(often), self.similarity
