@@ -170,14 +170,16 @@ def _batch_score(spark, d):
 
 def _stream_overdue(spark, d):
     """Users without an event in the two days after one."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, arrivals.ROCKSDB)
+    settings = {"spark.sql.streaming.stateStore.providerClass": arrivals.ROCKSDB, arrivals.MERGE_LOCALLY: "true"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         alerts = arrivals.stream_overdue(_stream(spark, d), "user_id", "ts", DUE_DAYS, DELAY)
         return _landed(spark, alerts, "id BIGINT, last_ms BIGINT, due_ms BIGINT")
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 QUERIES = {

@@ -6,14 +6,10 @@ Event times must be TIMESTAMP, since a watermark cannot be set on TIMESTAMP_NTZ;
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from typing import Any
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cohortlens.plans.skew import as_list
 
@@ -50,47 +46,8 @@ def stream_score(
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class OverdueProcessor(StatefulProcessor):
-    """Per entity: the time slots whose last visit's due time has not passed yet, each with its first and last visit.
-
-    A visit is answered if another follows by its due time. Within a slot, which is shorter than
-    the due interval, each visit but the last is answered by the last; the last is, if some later
-    slot's first visit is early enough. A timer fires at the end of the slot that holds the due
-    time, when every slot that could answer has arrived, however arrivals were cut into batches.
-    """
-
-    def __init__(self, due_ms: int, slot_ms: int):
-        self.due_ms, self.slot_ms = due_ms, slot_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        ms = lambda *names: T.StructType([T.StructField(n, T.LongType()) for n in names])
-        self.handle = handle
-        self.slots = handle.getMapState("slots", ms("last"), ms("first"))
-
-    def _timer(self, last: int) -> int:
-        return ((last + self.due_ms) // self.slot_ms + 1) * self.slot_ms
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            for first, last in zip(pdf["first_ms"].tolist(), pdf["last_ms"].tolist(), strict=True):
-                self.slots.updateValue((last,), (first,))
-                self.handle.registerTimer(self._timer(last))
-        return iter(())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        held = [(last[0], first[0]) for last, first in self.slots.iterator()]
-        for last in sorted(last for last, _ in held if self._timer(last) == at):
-            due = last + self.due_ms
-            came = any(last < first <= due for _, first in held)
-            self.slots.removeKey((last,))
-            if not came:
-                yield pd.DataFrame({"id": [key[0]], "last_ms": [last], "due_ms": [due]})
-
-    def close(self) -> None:
-        pass
+#: Merges sessions within map tasks before they are shuffled.
+MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def stream_overdue(
@@ -100,28 +57,28 @@ def stream_overdue(
 
     ``last_ms`` is the visit, ``due_ms`` when the next was due; both are exact, to the
     millisecond. Alerts fire as the watermark passes the slot that holds the due time, so a
-    stream that stops sending altogether raises none until something arrives. Visits are first
-    aggregated to the first and last per entity and slot, in state keyed by both: a busy
-    entity's rows are spread over its slots and combined before they are shuffled, and its own
-    state holds at most one entry per slot of the due interval.
+    stream that stops sending altogether raises none until something arrives, and results do not
+    depend on how arrivals were cut into batches. A visit opens a session up to its due time,
+    which a visit by then extends; the last one of a session was not followed in time. State holds
+    a row per open session and one per session that waits for the end of its slot, however many
+    visits there are. With ``MERGE_LOCALLY`` a busy entity's visits are merged before they are shuffled.
 
-    Needs the RocksDB state store (``ROCKSDB`` in ``spark.sql.streaming.stateStore.providerClass``).
+    A visit that comes later than ``delay`` still counts if its own due time has not passed.
     """
     if slot_seconds >= due_days * 86_400:
         raise ValueError("a slot must be shorter than the due interval")
-    ms = F.unix_millis(t)
-    slots = (
-        stream.withWatermark(t, delay)
-        .groupBy(F.col(id).alias("id"), F.window(t, f"{slot_seconds} seconds").alias("slot"))
-        .agg(F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"))
-        .select("id", "first_ms", "last_ms")
+    due_ms = due_days * 86_400_000
+    # visits lie on whole milliseconds and sessions that touch are merged: one closes after its due time, before the next millisecond
+    visits = stream.withColumn(t, F.date_trunc("millisecond", t)).withWatermark(t, delay)
+    sessions = (
+        visits.groupBy(F.col(id).alias("id"), F.session_window(t, f"{due_ms * 1000 + 999} microseconds").alias("open"))
+        .agg(F.max(F.unix_millis(t)).alias("last_ms"))
     )
-    id_type = stream.schema[id].dataType.simpleString()
-    return slots.groupBy("id").transformWithStateInPandas(
-        OverdueProcessor(due_days * 86_400_000, slot_seconds * 1000),
-        outputStructType=f"id {id_type}, last_ms BIGINT, due_ms BIGINT",
-        outputMode="Append",
-        timeMode="EventTime",
+    # sessions of an entity end further apart than a slot is long, so each is alone in its slot
+    return (
+        sessions.groupBy("id", F.window(F.window_time("open"), f"{slot_seconds} seconds").alias("slot"))
+        .agg(F.max("last_ms").alias("last_ms"))
+        .select("id", "last_ms", (F.col("last_ms") + F.lit(due_ms)).alias("due_ms"))
     )
 
 

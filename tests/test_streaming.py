@@ -74,3 +74,26 @@ def test_a_gap_a_little_over_due_is_an_alert(spark, tmp_path, rocksdb):
     base = int(START.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
     found = sorted((r.id, round((r.last_ms - base) / 3_600_000, 2)) for r in got.collect())
     assert found == [(1, 0.75), (1, 97.4), (2, 96.1)] and all(r.due_ms - r.last_ms == 48 * 3_600_000 for r in got.collect())
+
+
+def test_state_grows_with_open_sessions_not_with_visits(spark, tmp_path, rocksdb):
+    """One row per open session: a user with a visit in each of 400 hours takes no more state than one with a single visit."""
+    source = str(tmp_path / "in")
+    batch(spark, [(i, 1, i, 0.0) for i in range(400)]).coalesce(1).write.mode("append").parquet(source)
+    batch(spark, [(400, 9, 1000, 0.0)]).coalesce(1).write.mode("append").parquet(source)
+    stream = arrivals.stream_overdue(arrivals.read_file_stream(spark, source, SCHEMA, files_per_trigger=1), "user_id", "ts", 2, "2 hours")
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(sum(o.numRowsTotal for o in p.stateOperators) for p in query.recentProgress) <= 4
+    base = int(START.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    assert [(r.id, (r.last_ms - base) / 3_600_000) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 399)]
+
+
+def test_a_visit_at_the_due_time_itself_is_in_time(spark, tmp_path, rocksdb):
+    day = 24.0
+    rows = [(1, 1, 0.0, 0.0), (2, 1, 2 * day, 0.0), (3, 2, 0.0, 0.0), (4, 2, 2 * day + 0.001 / 3600, 0.0), (5, 9, 1000, 0.0)]
+    for cut in (1, 5):
+        files = [rows[i : i + cut] for i in range(0, len(rows), cut)]
+        got = feed(spark, tmp_path / str(cut), files, lambda s: arrivals.stream_overdue(s, "user_id", "ts", 2, "200 hours"))
+        base = int(START.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+        assert sorted((r.id, r.last_ms - base) for r in got.collect()) == [(1, 172_800_000), (2, 0), (2, 172_800_001)]
