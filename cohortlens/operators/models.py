@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import AFTSurvivalRegression, GeneralizedLinearRegression
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
@@ -87,15 +87,23 @@ def fit_pwe(
     """Piecewise-exponential proportional hazards as a Poisson model with log exposure.
 
     Each period has its own baseline hazard. Its coefficients estimate those of a Cox model.
+    There is no penalty, so that periods with few events are fitted as exactly as others: hazards
+    are relative to the period with the most events, and those after the last one are as in the last.
     """
     rows = person_period.where(F.col(exposure) > 0)
+    seen = rows.groupBy(period).agg(F.sum(event).alias("_n")).where(F.col(period).isNotNull()).collect()
+    busiest = max(seen, key=lambda r: (r["_n"] or 0, -r[period]))[period] if seen else None
+    last = max((r[period] for r in seen), default=None)
+    each = {f"_period_{i}": f"{period} {'>=' if k == last else '='} {k}" for i, k in enumerate(sorted(r[period] for r in seen)) if k != busiest}
     stages = [
-        SQLTransformer(statement=f"SELECT *, ln(CAST({exposure} AS DOUBLE)) AS _offset FROM __THIS__"),
-        OneHotEncoder(inputCols=[period], outputCols=["_period_vec"], handleInvalid="keep"),
-        _assembler([*features, "_period_vec"]),
+        SQLTransformer(
+            statement=f"SELECT *, ln(CAST({exposure} AS DOUBLE)) AS _offset"
+            + "".join(f", CAST({test} AS DOUBLE) AS {name}" for name, test in each.items()) + " FROM __THIS__"
+        ),
+        _assembler([*features, *each]),
         GeneralizedLinearRegression(
             family="poisson", link="log", featuresCol="features", labelCol=event, offsetCol="_offset",
-            maxIter=25, regParam=1e-6,
+            maxIter=25, regParam=0.0,
         ),
     ]
     return Pipeline(stages=stages).fit(rows)
