@@ -117,13 +117,18 @@ def _suppressed(spark, d):
 
 
 def _scores(spark, d):
-    """Each user's mean value per event type, cut to a score of 1 to 6; a 6 is out of range."""
-    mean = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("m"))
+    """Each user's mean value per event type, cut to a score of 1 to 6; a 6 is out of range.
+
+    Values are read to six decimals and added as whole numbers, so that means at an edge do not depend on the order of rows.
+    """
+    micro = F.floor(F.col("value") * F.lit(1e6) + F.lit(0.5)).cast("bigint")
+    sums = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.sum(micro).alias("s"), (F.count("value") * F.lit(15_000_000)).alias("width"))
+    whole = F.when(F.col("width") > 0, F.expr("(s - pmod(s, width)) div width + 1"))
     criterion = F.lit(None).cast("string")
     for kind, name in CRITERIA.items():
         criterion = F.when(F.col("event_type") == kind, F.lit(name)).otherwise(criterion)
-    score = F.least(F.lit(6), F.floor(F.col("m") / 15.0).cast("int") + 1)
-    return mean.select(F.col("user_id").alias("entity"), criterion.alias("criterion"), score.alias("score"))
+    score = F.greatest(F.lit(0), F.least(F.lit(6), whole)).cast("int")
+    return sums.select(F.col("user_id").alias("entity"), criterion.alias("criterion"), score.alias("score"))
 
 
 def _cards(spark, d):
@@ -211,7 +216,9 @@ _DEV = {
 }
 _CRIT = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {w}" for (k, n), w in zip(CRITERIA.items(), scorecard.CRITERION_WEIGHTS.values())) + " END"
 _CARDS = {
-    "sc": f"SELECT user_id AS entity, event_type, {_CRIT} AS w, CAST(least(6, floor(avg(value) / 15.0::DOUBLE) + 1) AS INTEGER) AS score FROM events GROUP BY user_id, event_type",
+    # Values to six decimals, added as whole numbers: sums of doubles would depend on the order of rows.
+    "su": f"SELECT user_id AS entity, event_type, {_CRIT} AS w, sum(CAST(floor(value * 1e6::DOUBLE + 0.5::DOUBLE) AS BIGINT)) AS s, nullif(count(value), 0) * 15000000 AS width FROM events GROUP BY user_id, event_type",
+    "sc": "SELECT entity, event_type, w, CAST(greatest(0, least(6, (s - ((s % width) + width) % width) // width + 1)) AS INTEGER) AS score FROM su",
     "cards": "SELECT entity, count(*) AS n_scores, CAST(sum(CAST(score NOT BETWEEN 1 AND 5 AS INTEGER)) AS BIGINT) AS n_rejected, "
     "CAST(count(DISTINCT event_type) = 5 AND max(score) <= 5 AND min(score) >= 1 AS INTEGER) AS is_valid, "
     "CAST(CASE WHEN count(DISTINCT event_type) = 5 AND max(score) <= 5 AND min(score) >= 1 THEN sum(score * w) END AS DOUBLE) AS weighted_score "
