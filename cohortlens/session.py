@@ -8,6 +8,7 @@ used throughout this package.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,11 +22,32 @@ RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+#: The most that a task reads, as stored: sorts and hash tables hold some ten times that. Smaller values of the session stay.
+TASK_BYTES = {
+    "spark.sql.files.maxPartitionBytes": 32 << 20,
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": 16 << 20,
+}
+#: Parts that a shuffle is cut into at least before adaptive execution joins the small ones: with the session's number
+#: alone, often that of its cores, a task's memory grows with the input.
+PARTS = 400
+
+
+def _bytes(setting: str) -> int:
+    """The number of bytes of a size as Spark writes it, such as 128MB, 16m or 67108864b."""
+    number, unit = re.fullmatch(r"(\d+)\s*([a-z]*)", setting.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit[:1] or "b")
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings above to a running session."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    for key, most in TASK_BYTES.items():
+        if _bytes(spark.conf.get(key)) > most:
+            spark.conf.set(key, f"{most}b")
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return spark
 
 
