@@ -39,6 +39,8 @@ PAIRED = 24
 WORDS64 = 16
 #: Slots in which the frequencies of shingles are counted where rare ones are sought: 4 MB of counts.
 SLOTS = 1 << 20
+#: Parts of the slots that are added up in one place each; a task gives a row for each.
+SLOT_PARTS = 16
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -199,14 +201,30 @@ def _bag(text: Column, size: int) -> Column:
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slot, count) of the shingles of a task's bags: a row per slot that occurs."""
+    """(part, slots, counts) of the shingles of a task's bags: a row per part of the slots, with those that occur packed."""
     counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
         np.add.at(counts, batch.column(0).flatten().to_numpy() & (SLOTS - 1), 1)
-    slot = np.flatnonzero(counts)
-    for at in range(0, len(slot), 1 << 16):
-        part = slot[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], ["slot", "count"])
+    yield from _packed(counts, 0)
+
+
+def _slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same with the counts of all tasks added, of slots that occur more than once."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for slots, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            counts[np.frombuffer(slots, np.int32)] += np.frombuffer(n, np.int64)  # each slot is once in a row
+    yield from _packed(counts, 1)
+
+
+def _packed(counts: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    width = SLOTS // SLOT_PARTS
+    for part in range(SLOT_PARTS):
+        own = counts[part * width : (part + 1) * width]
+        slot = np.flatnonzero(own > least)
+        if len(slot):
+            row = [part], [(slot + part * width).astype(np.int32).tobytes()], [own[slot].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int32()), pa.array(row[1], pa.binary()), pa.array(row[2], pa.binary())], ["part", "slots", "counts"])
 
 
 def _similar(a: str, b: str) -> Column:
@@ -318,9 +336,11 @@ class _Linker:
         rare they are is counted in ``SLOTS`` slots, which need not tell every shingle apart.
         """
         own = materialized(self.bags.join(small_enough(nodes), "node", "left_semi"))
-        slots = own.select("bag").mapInArrow(_slots, "slot bigint, count bigint").groupBy("slot").agg(F.sum("count").alias("count")).where("count > 1").toArrow()
+        kind = "part int, slots binary, counts binary"
+        sums = own.select("bag").mapInArrow(_slots, kind).repartition(SLOT_PARTS, "part").mapInArrow(_slot_sums, kind)
         often = np.ones(SLOTS, np.int32)
-        often[slots["slot"].to_numpy()] = np.minimum(slots["count"].to_numpy(), np.iinfo(np.int32).max)
+        for row in sums.collect():
+            often[np.frombuffer(row["slots"], np.int32)] = np.minimum(np.frombuffer(row["counts"], np.int64), np.iinfo(np.int32).max)
         shared, t = own.sparkSession.sparkContext.broadcast(often), self.similarity
         kind = pa.struct([("items", pa.list_(pa.struct([("bucket", pa.int64()), ("place", pa.int32())]))), ("sketch", pa.list_(pa.int64()))])
 

@@ -178,3 +178,17 @@ def test_a_chained_group_verifies_few_pairs(spark, monkeypatch):
         check(rows, B.near_duplicates(docs).collect(), places)
         per_text.append(tested[-1] / n)
     assert per_text[1] < 60 and per_text[1] < 1.7 * per_text[0]
+
+
+def test_a_task_counts_slots_in_a_few_rows(spark):
+    """However many shingles there are: a row per part of the slots, and the sums are those of all bags."""
+    bags = [np.random.default_rng(i).integers(-(2**63), 2**63 - 1, 5000, np.int64) for i in range(12)] * 2
+    kind = "part int, slots binary, counts binary"
+    frame = spark.createDataFrame([(b.tolist(),) for b in bags], "bag array<bigint>").repartition(6)
+    each = frame.mapInArrow(B._slots, kind)
+    assert each.count() <= 6 * B.SLOT_PARTS  # before: a row per slot
+    got = Counter()
+    for row in each.repartition(3, "part").mapInArrow(B._slot_sums, kind).collect():
+        got.update(dict(zip(np.frombuffer(row["slots"], np.int32).tolist(), np.frombuffer(row["counts"], np.int64).tolist(), strict=True)))
+    want = Counter(np.concatenate([b & (B.SLOTS - 1) for b in bags]).tolist())
+    assert got == {s: n for s, n in want.items() if n > 1}
