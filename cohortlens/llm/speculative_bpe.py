@@ -38,6 +38,10 @@ LAST = int(NEVER)
 BETWEEN = chr(256)
 #: The longest word, in bytes, that is scanned for the next merge; longer ones use a heap.
 SCANNED = 64
+#: Words that are merged at once with array operations.
+TOGETHER = 1 << 14
+#: Characters of a text that are looked up at once.
+LOOKED_UP = 1 << 20
 # How the library's byte-level pre-tokenizer cuts a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Code points that `regex` knows as letters or numbers and that library, of an earlier Unicode, does not.
@@ -47,11 +51,23 @@ LATER = (
     "18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
     "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
+_later = np.zeros(sys.maxunicode + 1, bool)
+for _span in LATER.split():
+    _lo, _, _hi = _span.partition("-")
+    _later[int(_lo, 16) : int(_hi or _lo, 16) + 1] = True
 _LATER = "".join("-".join(f"\\U{int(c, 16):08x}" for c in span.split("-")) for span in LATER.split())
 #: The same pattern for texts that hold such code points, which count as neither letters nor numbers.
 CAREFUL = "(?V1)" + PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{_LATER}]]").replace(r" ?\p{L}+", rf" ?[\p{{L}}--[{_LATER}]]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--[{_LATER}]]+")
 
 
+def has_later(text: str) -> bool:
+    """Whether a text holds one of the code points of ``LATER``, which is a look-up for each character."""
+    if text.isascii():
+        return False
+    parts = (text[lo : lo + LOOKED_UP] for lo in range(0, len(text), LOOKED_UP))
+    return any(_later[np.frombuffer(part.encode("utf-32-le"), np.uint32)].any() for part in parts)
+
+
 def byte_chars() -> list[str]:
     """The character that stands for each byte in the file: itself if it prints, else the next one from 256 on."""
     prints = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -176,6 +192,7 @@ class Codec:
         made = np.flatnonzero(vocabulary.born >= 0)
         made = made[np.argsort(vocabulary.born[made])]
         self.made = made.tolist()  # by rank
+        self.made_at, self.byte_at = made, np.array(self.byte, np.int64)
         self.rank = {k: r for r, k in enumerate((self.pairs.left[made] * self.pairs.n + self.pairs.right[made]).tolist())}
         self.cut, self.careful, self.later = regex.compile(PATTERN), regex.compile(CAREFUL), regex.compile(f"[{_LATER}]")
         names = sorted(vocabulary.special, key=len, reverse=True)
@@ -210,6 +227,47 @@ class Codec:
                 ranks[i] = get(own * n + part[i + 1], LAST)
         return part
 
+    def merged_all(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids that ``merged`` gives of every word, none empty; those that would be scanned take a merge each at a time, together."""
+        out = [packed_ids(self.merged(w)) if len(w) > SCANNED else b"" for w in words]
+        short = [k for k, w in enumerate(words) if len(w) <= SCANNED]
+        for lo in range(0, len(short), TOGETHER):
+            some = short[lo : lo + TOGETHER]
+            for k, ids in zip(some, self._merged_together([words[k] for k in some]), strict=True):
+                out[k] = ids
+        return out
+
+    def _merged_together(self, words: list[bytes]) -> list[bytes]:
+        """``merged_all`` of words that lie one after another in one array, where each round merges one pair of every word that has one left."""
+        out: list[bytes] = [b""] * len(words)
+        size, number = np.array([len(w) for w in words], np.int64), np.arange(len(words))
+        part = self.byte_at[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.append(self.pairs.rank(part[:-1], part[1:]), NEVER)
+        rank[np.cumsum(size) - 1] = NEVER
+        while len(size):
+            ends = np.cumsum(size)
+            starts = ends - size
+            low = np.minimum.reduceat(rank, starts)
+            if not (live := low < NEVER).all():
+                flat, at = part.astype(np.uint32).tobytes(), np.flatnonzero(~live)
+                for k, lo, hi in zip(number[at].tolist(), (4 * starts[at]).tolist(), (4 * ends[at]).tolist(), strict=True):
+                    out[k] = flat[lo:hi]
+                inside = np.repeat(live, size)
+                part, rank, size, number, low = part[inside], rank[inside], size[live], number[live], low[live]
+                starts = np.cumsum(size) - size
+            # the leftmost pair of the lowest rank of each word
+            hits, of = np.flatnonzero(rank == np.repeat(low, size)), np.arange(len(size))
+            place = hits[np.searchsorted(hits, starts)]
+            part[place] = self.made_at[low]
+            stays = np.ones(len(part), bool)
+            stays[place + 1] = False
+            rank[place] = rank[place + 1]  # that of the last part of a word is NEVER
+            part, rank, place, size, starts = part[stays], rank[stays], place - of, size - 1, starts - of
+            left, right = place[place > starts], place[place + 1 < starts + size]
+            rank[left - 1] = self.pairs.rank(part[left - 1], part[left])
+            rank[right] = self.pairs.rank(part[right], part[right + 1])
+        return out
+
     def _merged_long(self, part: list[int]) -> list[int]:
         """``merged`` with a heap of the pairs, for words too long to be scanned for every merge."""
         size, n, get = len(part), self.pairs.n, self.rank.get
@@ -255,32 +313,31 @@ class Codec:
             failing = np.zeros(len(longer), bool)
             failing[of[1:][inside][~good[place]]] = True
             starts, flat = (4 * np.searchsorted(of, np.arange(len(longer) + 1))).tolist(), ids.astype(np.uint32).tobytes()
-            for k, lo, hi, fails in zip(longer, starts[:-1], starts[1:], failing.tolist(), strict=True):
-                out[k] = packed_ids(self.merged(keys[k])) if fails else flat[lo:hi]
+            for k, lo, hi in zip(longer, starts[:-1], starts[1:], strict=True):
+                out[k] = flat[lo:hi]
+            again = [longer[i] for i in np.flatnonzero(failing).tolist()]
+            for k, own in zip(again, self.merged_all([keys[k] for k in again]), strict=True):
+                out[k] = own
             self.merged_words += int(failing.sum())
         return out
 
     def _words(self, text: str) -> Iterator[str]:
-        cut = self.cut if text.isascii() or not self.later.search(text) else self.careful
+        cut = self.careful if has_later(text) else self.cut
         return (m.group() for m in cut.finditer(text)) if len(text) > PIECES else iter(cut.findall(text))
 
     def pieces(self, text: str) -> Iterator[str | int]:
         """The words of a text in order; a special token as its id."""
         if self.special is None or not self.special.search(text):
-            yield from self._words(text)
-            return
-        for i, part in enumerate(self.special.splititer(text)):
-            if i % 2:
-                yield self.vocabulary.special[part]
-            else:
-                yield from self._words(part)
+            return self._words(text)
+        parts = enumerate(self.special.splititer(text))
+        return chain.from_iterable([self.vocabulary.special[part]] if i % 2 else self._words(part) for i, part in parts)
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and how many each text has."""
         counts, found, block, held = [], [], [], 0
 
         def flush() -> None:
-            ids = self.learned({w for _, words in block for w in words if type(w) is str})
+            ids = self.learned(set().union(*(words for _, words in block)).difference(self.vocabulary.special.values()))
             ids |= {i: packed_ids((i,)) for i in self.vocabulary.special.values()}
             for k, words in block:
                 found.append(np.frombuffer(b"".join(map(ids.__getitem__, words)), np.uint32))

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer as Library
 
 from cohortlens.llm import queries
-from cohortlens.llm.speculative_bpe import PATTERN, Codec, Tokenizer, Vocabulary, packed
+from cohortlens.llm.speculative_bpe import PATTERN, SCANNED, Codec, Tokenizer, Vocabulary, has_later, packed
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
@@ -101,6 +101,30 @@ def test_pairs_decide_on_small_vocabularies(seed):
         assert got == by_scanning(v, word.encode()) == codec.merged(word.encode()) == codec._merged_long([codec.byte[x] for x in word.encode()])
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_failing_words_are_merged_together(seed, monkeypatch):
+    """All at once gives what one at a time does, and no short word is merged alone."""
+    rng = random.Random(seed)
+    codec = Codec(small(rng, "ab" if seed % 2 else "abc", 12))
+    words = ["".join(rng.choices("abc", k=rng.choice([1, 2, 5, 20, SCANNED, SCANNED + 1, 90]))).encode() for _ in range(500)]
+    want = [codec.merged(w) for w in words]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in codec.merged_all(words)] == want
+    assert codec.merged_all([]) == []
+    monkeypatch.setattr("cohortlens.llm.speculative_bpe.TOGETHER", 7)
+    alone = []
+    monkeypatch.setattr(codec, "merged", lambda w, merged=codec.merged: alone.append(len(w)) or merged(w))
+    got = codec.learned([w.decode() for w in words])
+    assert [np.frombuffer(got[w.decode()], np.uint32).tolist() for w in words] == want
+    assert codec.merged_words >= len(alone) and min(alone, default=SCANNED + 1) > SCANNED
+
+
+def test_later_code_points(own, monkeypatch):
+    monkeypatch.setattr("cohortlens.llm.speculative_bpe.LOOKED_UP", 2)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert [c for c in points if has_later(c)] == own.later.findall("".join(points))
+    assert has_later("ab\u0558") and has_later("abc\u0558d") and not has_later("abéd") and not has_later("")
+
+
 def test_vocabularies_that_pairs_cannot_decide():
     tokens = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"bc": 258}
     with pytest.raises(ValueError):
