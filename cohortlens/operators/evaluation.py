@@ -28,12 +28,13 @@ def score_key(score: str, digits: int) -> Column:
     return F.round(F.col(score).cast("double") * F.lit(10.0**digits)).cast("bigint")
 
 
-def keyed(df: DataFrame, score: str, digits: int | None) -> tuple[DataFrame, int]:
+def keyed(df: DataFrame, score: str, digits: int | None, columns: int = 1) -> tuple[DataFrame, int]:
     """``df`` with ``_s``, by which scores compare, and a bound on its distinct values.
 
     With ``digits`` the score as a whole number. Otherwise the score itself, or, past
-    ``WINDOW_SPAN`` distinct ones, its rank among them, so that chunks of ranks hold equal
-    numbers of scores however those are spread. Rows without a score are left out.
+    ``WINDOW_SPAN`` distinct ones (shared among the ``columns`` that are summed over them), its
+    rank among them, so that chunks of ranks hold equal numbers of scores however those are
+    spread. Rows without a score are left out.
     """
     rows = df.where(F.col(score).isNotNull())
     if digits is not None:
@@ -41,7 +42,7 @@ def keyed(df: DataFrame, score: str, digits: int | None) -> tuple[DataFrame, int
         limits = rows.agg(F.min("_s").alias("lo"), F.max("_s").alias("hi")).first()
         return rows, int((limits["hi"] or 0) - (limits["lo"] or 0)) + 1
     distinct = int(rows.select(score).distinct().count())
-    if distinct <= WINDOW_SPAN:
+    if distinct <= WINDOW_SPAN // columns:
         return rows.withColumn("_s", F.col(score)), distinct
     ranks = dense_ranks(rows, score, "_s")
     return skew_join(rows, ranks, score), distinct
@@ -52,17 +53,17 @@ def sum_below(table: DataFrame, parts: Sequence[str], key: str, value: str, span
     return sums_below(table, parts, key, {out: value}, span)
 
 
-def sums_below(table: DataFrame, parts: Sequence[str], key: str, values: Mapping[str, str], span: int) -> DataFrame:
+def sums_below(table: DataFrame, parts: Sequence[str], key: str, values: Mapping[str, str], span: int, columns: int = 1) -> DataFrame:
     """Per new column of ``values``, the sum of its column over rows of the same part with a strictly smaller ``key``.
 
     Keys are distinct within a part and lie in a range of ``span`` whole numbers. Past
-    ``WINDOW_SPAN`` the range is cut into about sqrt(span) chunks; sums within a chunk and
-    over the chunks before it are then both small windows.
+    ``WINDOW_SPAN`` (shared among ``columns``, as in ``keyed``) the range is cut into about
+    sqrt(span) chunks; sums within a chunk and over the chunks before it are then both small windows.
     """
     parts = list(parts)
     w = lambda cols, order: Window.partitionBy(*cols).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c, cols, order: F.coalesce(F.sum(c).over(w(cols, order)), F.lit(0))
-    if span <= WINDOW_SPAN:
+    if span <= WINDOW_SPAN // columns:
         return table.select("*", *[before(v, parts, key).alias(out) for out, v in values.items()])
     width = math.isqrt(span) + 1
     chunked = table.withColumn("_chunk", F.floor(F.col(key) / F.lit(float(width))).cast("bigint"))
@@ -419,7 +420,7 @@ def _weighted_cindex(rows: DataFrame, score: str, time: str, event: str, names:
     ``cindex`` with a column per weight: rows are counted by (code, score) first, and all weights
     go through the digits of the codes, the running sums and the totals together.
     """
-    known, span = keyed(rows, score, None)
+    known, span = keyed(rows, score, None, len(names))
     coded = known.withColumn("_code", F.col(time).cast("bigint") * 2 + (1 - F.col(event).cast("bigint")))
     limits = coded.agg(F.min("_code").alias("lo"), F.max("_code").alias("hi")).first()
     least = int(limits["lo"] or 0) // 2 * 2
@@ -434,7 +435,7 @@ def _weighted_cindex(rows: DataFrame, score: str, time: str, event: str, names:
         *[F.sum(F.when(F.col("_up"), zero).otherwise(F.col(n))).alias(f"_l{n}") for n in names],
         *[F.sum(F.when(F.col("_up"), F.col(n)).otherwise(zero)).alias(f"_r{n}") for n in names],
     )
-    ranked = sums_below(sides, parts, "_s", {f"_b{n}": f"_r{n}" for n in names}, span)
+    ranked = sums_below(sides, parts, "_s", {f"_b{n}": f"_r{n}" for n in names}, span, len(names))
     wide = lambda c: F.col(c).cast("double")
     per_part = ranked.groupBy(*parts).agg(
         *[F.sum(wide(f"_l{n}") * (wide(f"_b{n}") + wide(f"_r{n}") / 2.0)).alias(f"_c{n}") for n in names],
@@ -445,12 +446,12 @@ def _weighted_cindex(rows: DataFrame, score: str, time: str, event: str, names:
 
 def _weighted_auc(rows: DataFrame, score: str, case: Column, weight: str, names: Sequence[str]) -> DataFrame:
     """One row, ``values``: AUROC under every replicate's weights; a case also weighs ``weight``, and controls weigh alike."""
-    known, span = keyed(rows, score, None)
+    known, span = keyed(rows, score, None, len(names))
     per_score = known.groupBy("_s").agg(
         *[F.sum(F.when(case, F.col(n) * F.col(weight)).otherwise(F.lit(0.0))).alias(f"_l{n}") for n in names],
         *[F.sum(F.when(case, F.lit(0)).otherwise(F.col(n))).alias(f"_r{n}") for n in names],
     )
-    ranked = sums_below(per_score.withColumn("_all", F.lit(0)), ["_all"], "_s", {f"_b{n}": f"_r{n}" for n in names}, span)
+    ranked = sums_below(per_score.withColumn("_all", F.lit(0)), ["_all"], "_s", {f"_b{n}": f"_r{n}" for n in names}, span, len(names))
     won = lambda n: F.sum(F.col(f"_l{n}") * (F.col(f"_b{n}") + F.col(f"_r{n}") / F.lit(2.0)))
     value = lambda n: F.try_divide(won(n), F.sum(f"_l{n}") * F.sum(f"_r{n}").cast("double"))
     return ranked.agg(F.array(*[value(n) for n in names]).alias("values"))
